@@ -20,8 +20,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-IN_TASK_ROWS = 5_000_000
-ACCURACY = 200_000
+from plumbspark.functions.groups import BROADCAST_GROUPS, count_groups
+
+IN_TASK_ROWS = 200_000
+LEAST_ACCURACY, MOST_ACCURACY = 20_000, 1_000_000
+ROWS_PER_RANK_STEP = 50_000
 SALTS = 32
 
 _VALUE = "__value"
@@ -35,13 +38,14 @@ def exact_quantiles(
     names: Sequence[str],
     by: Sequence[str] = (),
     rows: int | None = None,
+    groups: int | None = None,
     in_task_rows: int = IN_TASK_ROWS,
-    accuracy: int = ACCURACY,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """``[*by, n, *names]``: values counted and one quantile per fraction; NULLs are skipped.
 
-    ``rows`` saves the counting job when the caller knows an upper bound. On the
-    large path a group without any value has no row.
+    ``rows`` and ``groups`` save counting jobs when the caller knows upper bounds.
+    On the large path a group without any value has no row.
     """
     data = df.select(*by, value.cast("double").alias(_VALUE))
     if rows is None:
@@ -50,7 +54,12 @@ def exact_quantiles(
         packed = F.percentile(_VALUE, F.array(*[F.lit(float(f)) for f in fractions])).alias("__q")
         out = data.groupBy(*by).agg(F.count(_VALUE).alias("n"), packed)
         return out.select(*by, "n", *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
-    return _bracketed(data, list(fractions), list(names), list(by), accuracy)
+    if accuracy is None:  # a bracket then holds about four rank steps of rows
+        accuracy = min(max(rows // ROWS_PER_RANK_STEP, LEAST_ACCURACY), MOST_ACCURACY)
+    if by and groups is None:
+        groups = count_groups(df, by)
+    salted = bool(by) and groups > BROADCAST_GROUPS
+    return _bracketed(data, list(fractions), list(names), list(by), accuracy, salted)
 
 
 def approx_quantiles(
@@ -69,7 +78,7 @@ def approx_quantiles(
 
 
 def _bracketed(
-    data: DataFrame, fractions: list[float], names: list[str], by: list[str], accuracy: int
+    data: DataFrame, fractions: list[float], names: list[str], by: list[str], accuracy: int, salted: bool
 ) -> DataFrame:
     keys = by or ["__all"]
     if not by:
@@ -100,15 +109,17 @@ def _bracketed(
 
     # Count equal values first: a value held by a large share of the rows becomes one row.
     counts = data.groupBy(*keys, _VALUE).agg(F.count(F.lit(1)).alias("__c"))
-    if by:
-        # Spread each group over SALTS tasks; the bracket side is one row per group and salt.
+    if salted:
+        # Many groups: spread each over SALTS tasks, one bracket row per group and salt.
         counts = counts.withColumn("__salt", F.pmod(F.xxhash64(_VALUE), F.lit(SALTS)).cast("int"))
-        spread = brackets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = counts.join(spread, [*_null_safe(counts, spread, keys)], "inner").select(
-            *[counts[c] for c in keys], _VALUE, "__c", "__n", "__t"
-        )
+        side_rows = brackets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        match = counts["__salt"] == side_rows["__salt"]
     else:
-        joined = counts.join(F.broadcast(brackets), keys)  # an aggregate without keys: one row
+        side_rows = F.broadcast(brackets)  # the number of groups was checked
+        match = F.lit(True)
+    for c in keys:
+        match = match & counts[c].eqNullSafe(side_rows[c])
+    joined = counts.join(side_rows, match).select(*[counts[c] for c in keys], _VALUE, "__c", "__n", "__t")
 
     side = (
         F.when(F.col(_VALUE) < F.col("t.lo"), F.lit(_BELOW))
@@ -157,7 +168,3 @@ def _bracketed(
         *[F.max(F.when(F.col("q") == i, value)).alias(n) for i, n in enumerate(names)]
     )
     return out.select(*by, "n", *names)
-
-
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> list[Column]:
-    return [left[c].eqNullSafe(right[c]) for c in keys] + [left["__salt"] == right["__salt"]]

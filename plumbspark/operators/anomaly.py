@@ -1,18 +1,19 @@
 """Outlier detection against thresholds, over a whole column or per group.
 
 Thresholds of a whole column are a one-row aggregate that reaches the filter as
-a scalar subquery; thresholds per group are joined on the group, and Spark
-chooses broadcast or a skew-split sort-merge join from the sizes it measures.
+a scalar subquery. Thresholds per group are attached by group: broadcast while
+the number of groups is small (it is counted), joined on the group beyond that.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbspark.functions.columns import clean_double, percent, quoted
+from plumbspark.functions.groups import attach, count_groups
 from plumbspark.functions.quantiles import approx_quantiles, exact_quantiles
 
 IQR_FACTOR = 1.5
@@ -27,11 +28,12 @@ def iqr_thresholds(
     by: Sequence[str] = (),
     exact: bool = True,
     rows: int | None = None,
+    groups: int | None = None,
 ) -> DataFrame:
     """``[*by, n, q1, q3, iqr, lower_bound, upper_bound]``; NULL bounds below four values."""
     value = clean_double(df, column)
     if exact:
-        quartiles = exact_quantiles(df, value, [0.25, 0.75], ["q1", "q3"], by=by, rows=rows)
+        quartiles = exact_quantiles(df, value, [0.25, 0.75], ["q1", "q3"], by=by, rows=rows, groups=groups)
     else:
         quartiles = approx_quantiles(df, value, [0.25, 0.75], ["q1", "q3"], by=by)
     enough = F.col("n") >= IQR_MIN_ROWS
@@ -67,22 +69,15 @@ def zscore_thresholds(
     )
 
 
-def _same(by: Sequence[str], left: str, right: str) -> Column:
-    out = F.lit(True)
-    for b in by:
-        out = out & F.col(f"{left}.{quoted(b)}").eqNullSafe(F.col(f"{right}.{quoted(b)}"))
-    return out
-
-
-def _with_thresholds(df: DataFrame, limits: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFrame:
+def _with_thresholds(
+    df: DataFrame, limits: DataFrame, names: Sequence[str], by: Sequence[str], groups: int | None
+) -> DataFrame:
     if not by:
         one = limits.select(F.struct(*names)).scalar()  # one subquery, whatever reads its fields
         return df.select("*", one.alias("__t")).select(
             *[F.col(quoted(c)) for c in df.columns], *[F.col("__t")[n].alias(n) for n in names]
         )
-    return df.alias("d").join(limits.alias("t"), _same(by, "d", "t"), "left").select(
-        "d.*", *[F.col(f"t.{n}") for n in names]
-    )
+    return attach(df, limits, by, names, groups)
 
 
 def flag_iqr(
@@ -91,11 +86,14 @@ def flag_iqr(
     by: Sequence[str] = (),
     exact: bool = True,
     rows: int | None = None,
+    groups: int | None = None,
     limits: DataFrame | None = None,
 ) -> DataFrame:
-    """All rows plus ``value``, ``score`` (iqr widths beyond the near quartile) and ``is_anomaly``."""
-    limits = iqr_thresholds(df, column, by, exact, rows) if limits is None else limits
-    data = _with_thresholds(df, limits, ["q1", "q3", "iqr", "lower_bound", "upper_bound"], by)
+    """All rows plus ``__value``, ``__score`` (iqr widths beyond the near quartile), ``is_anomaly``."""
+    if by and groups is None:
+        groups = count_groups(df, by)
+    limits = iqr_thresholds(df, column, by, exact, rows, groups) if limits is None else limits
+    data = _with_thresholds(df, limits, ["q1", "q3", "iqr", "lower_bound", "upper_bound"], by, groups)
     value = clean_double(df, column)
     low, high = value < F.col("lower_bound"), value > F.col("upper_bound")
     beyond = F.when(high, value - F.col("q3")).when(low, F.col("q1") - value)
@@ -112,11 +110,12 @@ def flag_zscore(
     column: str,
     by: Sequence[str] = (),
     limit: float = ZSCORE_LIMIT,
+    groups: int | None = None,
     limits: DataFrame | None = None,
 ) -> DataFrame:
-    """All rows plus ``value``, ``score`` (absolute z-score) and ``is_anomaly``."""
+    """All rows plus ``__value``, ``__score`` (absolute z-score) and ``is_anomaly``."""
     limits = zscore_thresholds(df, column, by, limit) if limits is None else limits
-    data = _with_thresholds(df, limits, ["mean", "std"], by)
+    data = _with_thresholds(df, limits, ["mean", "std"], by, groups)
     value = clean_double(df, column)
     score = F.abs(F.try_divide(value - F.col("mean"), F.col("std")))
     return data.select(

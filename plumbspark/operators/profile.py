@@ -145,7 +145,7 @@ def numeric_profile(
     if exact and rows is None:
         rows = df.count()
     pick = exact_quantiles if exact else approx_quantiles
-    extra = {"rows": rows} if exact else {}
+    extra = {"rows": rows * len(fields), "groups": len(fields)} if exact else {}
     quartiles = pick(
         values,
         F.col("value"),
@@ -181,14 +181,45 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = TOP_VALUES) -> DataFrame:
-    """Most frequent values per text column; equal counts go by value."""
+def top_values(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    k: int = TOP_VALUES,
+    long_text: Sequence[str] = (),
+) -> DataFrame:
+    """``(column_name, rank, value, count)``: the most frequent values per text column.
+
+    Equal counts go by value. Columns named in ``long_text`` are counted by the
+    SHA-256 of the value, equal counts go by that digest, and only the texts of
+    the k winners are fetched in a second scan: whole texts never cross the shuffle.
+    """
     columns = columns if columns is not None else columns_of_kind(df, CATEGORICAL)
+    short = [c for c in columns if c not in long_text]
+    parts = []
+    if short:
+        order = [F.col("count").desc(), F.col("value").asc()]
+        parts.append(top_k(value_counts(df, short), ["column_name"], order, k))
+    if long_text:
+        parts.append(_top_texts(df, [c for c in columns if c in long_text], k))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _top_texts(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
+    keyed = df.select(*[F.sha2(quoted(c), 256).alias(c) for c in columns])
     order = [F.col("count").desc(), F.col("value").asc()]
-    return top_k(value_counts(df, columns), ["column_name"], order, k)
+    best = top_k(value_counts(keyed, columns), ["column_name"], order, k).withColumnRenamed("value", "__key")
+    texts = df.select(*[F.col(quoted(c)) for c in columns]).unpivot(
+        [], [F.col(quoted(c)) for c in columns], "column_name", "value"
+    )
+    found = texts.withColumn("__key", F.sha2("value", 256)).join(
+        F.broadcast(best), ["column_name", "__key"]  # k rows per column
+    )
+    return found.groupBy("column_name", "rank", "count").agg(F.any_value("value").alias("value"))
 
 
-def categorical_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def categorical_profile(
+    df: DataFrame, columns: Sequence[str] | None = None, long_text: Sequence[str] = ()
+) -> DataFrame:
     """Top value, its count and its share of the non-null rows, and the top ten."""
     columns = columns if columns is not None else columns_of_kind(df, CATEGORICAL)
     present = _long(
@@ -199,7 +230,7 @@ def categorical_profile(df: DataFrame, columns: Sequence[str] | None = None) ->
         ],
     )
     packed = (
-        top_values(df, columns)
+        top_values(df, columns, long_text=long_text)
         .groupBy("column_name")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "value", "count"))).alias("__top"))
         .select(
@@ -241,13 +272,19 @@ def datetime_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     return _long(df.agg(*rows), [F.col(f"c{i}") for i in range(len(fields))])
 
 
-def column_profile(df: DataFrame, table_name: str, exact: bool = True, rows: int | None = None) -> DataFrame:
+def column_profile(
+    df: DataFrame,
+    table_name: str,
+    exact: bool = True,
+    rows: int | None = None,
+    long_text: Sequence[str] = (),
+) -> DataFrame:
     """All statistics of all columns in one long frame."""
     out = base_profile(df, exact=exact)
     if columns_of_kind(df, NUMERIC):
         out = out.join(numeric_profile(df, exact=exact, rows=rows), "column_name", "left")
     if columns_of_kind(df, CATEGORICAL):
-        out = out.join(categorical_profile(df), "column_name", "left")
+        out = out.join(categorical_profile(df, long_text=long_text), "column_name", "left")
     if columns_of_kind(df, DATETIME):
         out = out.join(datetime_profile(df), "column_name", "left")
     return out.select(F.lit(table_name).alias("table_name"), "*")

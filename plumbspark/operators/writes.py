@@ -39,8 +39,11 @@ def route(batch: DataFrame, table_column: str = "table") -> DataFrame:
 
 
 def append_routed(batch: DataFrame, folder: str, table_column: str = "table") -> None:
-    """One pass over a mixed batch, appended to one folder per named table."""
-    route(batch, table_column).write.mode("append").partitionBy(table_column).parquet(folder)
+    """One pass over a mixed batch, appended to one folder per named table.
+
+    Rebalancing gathers a table's rows into few files and splits a dominant table.
+    """
+    route(batch, table_column).hint("rebalance", table_column).write.mode("append").partitionBy(table_column).parquet(folder)
 
 
 def routed_counts(batch: DataFrame, table_column: str = "table") -> DataFrame:

@@ -59,17 +59,17 @@ def profile_numeric_lineitem(spark, folder):
     return rounded(P.numeric_profile(table(spark, folder, "lineitem"), columns))
 
 
-_DOC_TEXT = ["lang", "source", "text"]
 _TOP_SQL = "\nUNION ALL ".join(
-    f"""SELECT * FROM (SELECT '{c}' AS column_name, CAST(row_number() OVER (ORDER BY COUNT(*) DESC, {c}) AS INTEGER) AS rank,
+    f"""SELECT * FROM (SELECT '{c}' AS column_name, CAST(row_number() OVER (ORDER BY COUNT(*) DESC, {tie}) AS INTEGER) AS rank,
         {c} AS value, COUNT(*) AS count FROM documents WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 10"""
-    for c in _DOC_TEXT
+    for c, tie in (("lang", "lang"), ("source", "source"), ("text", "sha256(text)"))
 )
 
 
 @query("profile_top_values", _TOP_SQL)
 def profile_top_values(spark, folder):
-    return P.top_values(table(spark, folder, "documents"), _DOC_TEXT).select("column_name", "rank", "value", "count")
+    top = P.top_values(table(spark, folder, "documents"), ["lang", "source", "text"], long_text=["text"])
+    return top.select("column_name", "rank", "value", "count")
 
 
 _CATEGORICAL_SQL = "\nUNION ALL ".join(
