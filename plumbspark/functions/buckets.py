@@ -12,7 +12,9 @@ def equal_width_bin(value: Column, low: Column, high: Column, bins: int) -> Colu
     """Bin number 0..bins-1; values outside fall into the edge bins, zero width into bin 0."""
     position = F.floor(F.try_divide((value - low) * bins, high - low))
     inside = F.greatest(F.least(position, F.lit(bins - 1)), F.lit(0))
-    return F.when(value.isNull(), F.lit(None)).otherwise(F.coalesce(inside, F.lit(0))).cast("int")
+    return (
+        F.when(value.isNull(), F.lit(None)).when(high <= low, F.lit(0)).otherwise(inside).cast("int")
+    )
 
 
 def daily_partition(ts: Column, prefix: str) -> Column:

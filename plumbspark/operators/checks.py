@@ -22,8 +22,6 @@ STATUS_RANK = {"pass": 0, "error": 1, "warning": 2, "critical": 3}
 # Fixed value: from this many anomalies over all rules of a table on, the table is critical.
 MANY_ANOMALIES = 10
 
-CHECK_FIELDS = ("table_name", "check_name", "status", "metric", "threshold", "message")
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -244,7 +242,7 @@ def table_checks(df: DataFrame, check: TableCheck, as_of) -> DataFrame:
                 _say(nulls, " nulls in ", limit.column),
             )
         )
-    source = fused_aggregates(df, check) if _needs_scan(check) else df.sparkSession.range(1)
+    source = fused_aggregates(df, check) if _needs_scan(check) else df.sparkSession.range(0, 1, 1, 1)
     if check.expected_columns is not None:
         status, missing, extra = schema_difference(df.columns, check.expected_columns)
         rows.append(
@@ -410,7 +408,12 @@ def rule_samples(df: DataFrame, check: TableCheck, id_cols: Sequence[str], k: in
 
 
 def error_rows(spark: SparkSession, table_name: str, check_name: str, message: str) -> DataFrame:
-    return spark.createDataFrame(
-        [(table_name, check_name, "error", None, None, message)],
-        "table_name STRING, check_name STRING, status STRING, metric DOUBLE, threshold DOUBLE, message STRING",
+    """The one row of a check that could not be made."""
+    return spark.range(0, 1, 1, 1).select(
+        F.lit(table_name).alias("table_name"),
+        F.lit(check_name).alias("check_name"),
+        F.lit("error").alias("status"),
+        F.lit(None).cast("double").alias("metric"),
+        F.lit(None).cast("double").alias("threshold"),
+        F.lit(message).alias("message"),
     )

@@ -11,7 +11,7 @@ from plumbspark.functions.columns import quoted
 
 
 def file_stream(
-    spark: SparkSession, path: str, schema: T.StructType, ts: str | None = None, files_per_batch: int | None = None
+    spark: SparkSession, path: str, schema: T.StructType | str, ts: str | None = None, files_per_batch: int | None = None
 ) -> DataFrame:
     """Parquet files of a folder as a stream; ``ts`` becomes a timestamp usable by watermarks.
 

@@ -196,9 +196,8 @@ def drift_profile(spark, folder):
 
 
 def _bin_sql(value: str, lo: str, hi: str, bins: int) -> str:
-    return (
-        f"CAST(COALESCE(greatest(least(floor(({value} - {lo}) * {bins} / NULLIF({hi} - {lo}, 0)), {bins - 1}), 0), 0) AS INTEGER)"
-    )
+    inside = f"greatest(least(floor(({value} - {lo}) * {bins} / ({hi} - {lo})), {bins - 1}), 0)"
+    return f"CAST(CASE WHEN {hi} <= {lo} THEN 0 ELSE {inside} END AS INTEGER)"
 
 
 @query(
