@@ -1,4 +1,4 @@
-"""Attach one small row per group to the rows of that group."""
+"""Attach one aggregate row to all rows, or one row per group to the rows of that group."""
 
 from __future__ import annotations
 
@@ -13,6 +13,14 @@ from plumbspark.functions.columns import quoted
 BROADCAST_GROUPS = 200_000
 
 
+def attach_one(df: DataFrame, one_row: DataFrame, names: Sequence[str]) -> DataFrame:
+    """All rows with the named columns of a one-row aggregate, through one scalar subquery."""
+    packed = one_row.select(F.struct(*names)).scalar()
+    return df.select("*", packed.alias("__one")).select(
+        *[F.col(quoted(c)) for c in df.columns], *[F.col("__one")[n].alias(n) for n in names]
+    )
+
+
 def count_groups(df: DataFrame, by: Sequence[str]) -> int:
     """Number of groups: reads the group columns only."""
     return df.select(*by).distinct().count()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbspark.functions.columns import clean_double, percent, quoted
-from plumbspark.functions.groups import attach, count_groups
+from plumbspark.functions.groups import attach, attach_one, count_groups
 from plumbspark.functions.quantiles import approx_quantiles, exact_quantiles
 
 IQR_FACTOR = 1.5
@@ -73,10 +73,7 @@ def _with_thresholds(
     df: DataFrame, limits: DataFrame, names: Sequence[str], by: Sequence[str], groups: int | None
 ) -> DataFrame:
     if not by:
-        one = limits.select(F.struct(*names)).scalar()  # one subquery, whatever reads its fields
-        return df.select("*", one.alias("__t")).select(
-            *[F.col(quoted(c)) for c in df.columns], *[F.col("__t")[n].alias(n) for n in names]
-        )
+        return attach_one(df, limits, names)
     return attach(df, limits, by, names, groups)
 
 

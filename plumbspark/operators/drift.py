@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbspark.functions.buckets import equal_width_bin
 from plumbspark.functions.columns import clean_double
+from plumbspark.functions.groups import attach_one
 from plumbspark.operators.profile import base_profile, numeric_profile
 
 SMOOTHING = 1e-4
@@ -46,21 +47,26 @@ def psi_bins(baseline: DataFrame, current: DataFrame, column: str, bins: int = 1
     """Per bin of the baseline's range: both shares and the bin's part of the index."""
     old = baseline.select(clean_double(baseline, column).alias("v"), F.lit(0).alias("side"))
     new = current.select(clean_double(current, column).alias("v"), F.lit(1).alias("side"))
-    span = old.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi")).alias("s")).scalar()
+    span = old.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     counts = (
-        old.unionByName(new)
-        .filter("v IS NOT NULL")
-        .select("side", equal_width_bin(F.col("v"), span["lo"], span["hi"], bins).alias("bin"))
+        attach_one(old.unionByName(new).filter("v IS NOT NULL"), span, ["lo", "hi"])
+        .select("side", equal_width_bin(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin"))
         .groupBy("bin")
         .agg(F.count_if(F.col("side") == 0).alias("n_old"), F.count_if(F.col("side") == 1).alias("n_new"))
     )
-    total = counts.agg(F.struct(F.sum("n_old").alias("o"), F.sum("n_new").alias("n")).alias("s")).scalar()
     every = baseline.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    filled = every.join(counts, "bin", "left").select(
+    all_bins = Window.partitionBy(F.lit(0))  # one row per bin
+    dense = every.join(counts, "bin", "left").select(
         "bin",
-        F.greatest(F.coalesce(F.try_divide("n_old", total["o"]), F.lit(0.0)), F.lit(SMOOTHING)).alias("p"),
-        F.greatest(F.coalesce(F.try_divide("n_new", total["n"]), F.lit(0.0)), F.lit(SMOOTHING)).alias("q"),
+        F.coalesce("n_old", F.lit(0)).alias("n_old"),
+        F.coalesce("n_new", F.lit(0)).alias("n_new"),
     )
+
+    def share(c: str):
+        part = F.try_divide(F.col(c), F.sum(c).over(all_bins))
+        return F.greatest(F.coalesce(part, F.lit(0.0)), F.lit(SMOOTHING))
+
+    filled = dense.select("bin", share("n_old").alias("p"), share("n_new").alias("q"))
     return filled.withColumn("psi", (F.col("p") - F.col("q")) * F.ln(F.col("p") / F.col("q")))
 
 

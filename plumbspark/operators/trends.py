@@ -2,51 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbspark.functions.buckets import equal_width_bin
 from plumbspark.functions.columns import clean_double, percent, quoted
+from plumbspark.functions.groups import attach_one
 
 BINS = 30
 
 
-def _span(df: DataFrame, value: Column) -> Column:
-    """Smallest and largest value as one scalar subquery."""
-    return df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("s")).scalar()
+def _binned(values: DataFrame, bins: int) -> DataFrame:
+    """Rows of ``values`` (column ``v`` and others) with ``lo``, ``hi`` and their ``bin``."""
+    span = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    present = attach_one(values.filter("v IS NOT NULL"), span, ["lo", "hi"])
+    return present.withColumn("bin", equal_width_bin(F.col("v"), F.col("lo"), F.col("hi"), bins))
 
 
 def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     """``bins`` equal-width bins with edges and counts; empty bins count 0."""
-    v = clean_double(df, column)
-    span = _span(df, v)
-    counts = (
-        df.select(equal_width_bin(v, span["lo"], span["hi"], bins).alias("bin"))
-        .filter("bin IS NOT NULL")
-        .groupBy("bin")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
-    width = (span["hi"] - span["lo"]) / bins
+    values = df.select(clean_double(df, column).alias("v"))
+    counts = _binned(values, bins).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return every.join(counts, "bin", "left").select(
+    span = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    return attach_one(every.join(counts, "bin", "left"), span, ["lo", "hi"]).select(
         "bin",
-        (span["lo"] + width * F.col("bin")).alias("bin_start"),
-        (span["lo"] + width * (F.col("bin") + 1)).alias("bin_end"),
+        (F.col("lo") + width * F.col("bin")).alias("bin_start"),
+        (F.col("lo") + width * (F.col("bin") + 1)).alias("bin_end"),
         F.coalesce("count", F.lit(0).cast("bigint")).alias("count"),
     )
 
 
 def histogram_by_flag(flagged: DataFrame, bins: int = BINS) -> DataFrame:
     """Bin counts of flagged rows (see ``flag_anomalies``) split into normal and anomaly."""
-    v = F.col("__value")
-    span = _span(flagged.select("__value"), v)
     label = F.when(F.col("is_anomaly"), "Anomaly").otherwise("Normal")
-    return (
-        flagged.select(equal_width_bin(v, span["lo"], span["hi"], bins).alias("bin"), label.alias("label"))
-        .filter("bin IS NOT NULL")
-        .groupBy("bin", "label")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+    values = flagged.select(F.col("__value").alias("v"), label.alias("label"))
+    return _binned(values, bins).groupBy("bin", "label").agg(F.count(F.lit(1)).alias("count"))
 
 
 def _dense_days(daily: DataFrame) -> DataFrame:

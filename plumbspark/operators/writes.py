@@ -105,11 +105,11 @@ def replace_in_chunks(
     numbered = batch.withColumn("__chunk", F.floor(F.col(quoted(position)) / F.lit(chunk_size)))
     last = numbered.filter(complete).groupBy(*keys).agg(F.max("__chunk").alias("__chunk"))
     kept = numbered.filter(complete).join(last, [*keys, "__chunk"], "left_semi").select(*batch.columns)
-    return replace(target, kept.unionByName(batch.filter(~complete)), keys)
+    return insert(without_keys_of(target, batch, keys), kept.unionByName(batch.filter(~complete)))
 
 
 def replace_last_wins(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    return replace(target, last_rows(batch, keys, order), keys)
+    return insert(without_keys_of(target, batch, keys), last_rows(batch, keys, order))
 
 
 def _unique(batch: DataFrame, keys: Sequence[str]) -> DataFrame:
