@@ -87,29 +87,51 @@ def base_profile(
     )
 
 
-def _distinct_key(field: T.StructField) -> Column:
-    c = clean(field)
-    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        return (c + F.lit(0.0)).cast("string")  # -0.0 and 0.0 are one value
-    if isinstance(field.dataType, T.StringType):
-        return F.when(F.length(c) > _LONG_TEXT, F.sha2(c, 256)).otherwise(c)
-    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-        return F.when(c.isNotNull(), F.sha2(F.to_json(c), 256))
-    return c.cast("string")
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _distinct_key(field: T.StructField) -> tuple[str, Column]:
+    """Type family a column is counted in, and the value as that type."""
+    c, dtype = clean(field), field.dataType
+    if isinstance(dtype, _INTEGRAL):
+        return "bigint", c.cast("bigint")
+    if isinstance(dtype, T.DateType):
+        return "bigint", F.unix_date(c).cast("bigint")
+    if isinstance(dtype, T.TimestampType):
+        return "bigint", F.unix_micros(c)
+    if isinstance(dtype, T.TimestampNTZType):
+        return "bigint", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c)
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return "double", c.cast("double")  # grouping takes -0.0 and 0.0 as one value
+    if isinstance(dtype, T.StringType):
+        return "string", F.when(F.length(c) > _LONG_TEXT, F.sha2(c, 256)).otherwise(c)
+    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
+        return "string", F.when(c.isNotNull(), F.sha2(F.to_json(c), 256))
+    return "string", c.cast("string")
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact distinct values per column through one shuffle on (column, value)."""
-    fields = _fields(df, columns)
-    keys = df.select(*[_distinct_key(f).alias(f.name) for f in fields])
-    pairs = keys.unpivot([], [F.col(quoted(f.name)) for f in fields], "column_name", "__key")
-    return (
-        pairs.filter(F.col("__key").isNotNull())
-        .groupBy("column_name", "__key")
-        .agg(F.lit(1).alias("__one"))
-        .groupBy("column_name")
-        .agg(F.count(F.lit(1)).alias("unique_count"))
-    )
+    """Exact distinct values per column through a shuffle on (column, value).
+
+    Columns go together by type family, so every column is read once and numbers
+    are grouped as numbers; long texts are represented by a digest.
+    """
+    families: dict[str, list[tuple[str, Column]]] = {}
+    for f in _fields(df, columns):
+        family, key = _distinct_key(f)
+        families.setdefault(family, []).append((f.name, key))
+    parts = []
+    for members in families.values():
+        keys = df.select(*[key.alias(name) for name, key in members])
+        pairs = keys.unpivot([], [F.col(quoted(name)) for name, _ in members], "column_name", "__key")
+        parts.append(
+            pairs.filter(F.col("__key").isNotNull())
+            .groupBy("column_name", "__key")
+            .agg(F.lit(1).alias("__one"))
+            .groupBy("column_name")
+            .agg(F.count(F.lit(1)).alias("unique_count"))
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
 def numeric_profile(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -98,20 +98,30 @@ def list_tables(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "table_name STRING, is_temporary BOOLEAN")
 
 
-def row_counts(tables: Mapping[str, DataFrame | None]) -> DataFrame:
-    """``(table_name, row_count)``; a table that could not be opened (None) counts 0."""
-    parts = []
-    spark = None
-    for name, df in tables.items():
+def row_counts(tables: Mapping[str, DataFrame | Callable[[], DataFrame] | None]) -> DataFrame:
+    """``(table_name, row_count)``; a table that cannot be opened counts 0.
+
+    Tables come as frames or as functions that open them; None marks a lost one.
+    """
+    parts, lost, spark = [], [], None
+    for name, source in tables.items():
+        try:
+            df = source() if callable(source) and not isinstance(source, DataFrame) else source
+        except Exception:
+            df = None
         if df is None:
+            lost.append(name)
             continue
         spark = df.sparkSession
-        parts.append(df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count"))
+        parts.append(
+            df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
+        )
     if spark is None:
         raise ValueError("no readable table")
-    lost = [(name, 0) for name, df in tables.items() if df is None]
-    if lost:
-        parts.append(spark.createDataFrame(lost, "table_name STRING, row_count BIGINT"))
+    for name in lost:
+        parts.append(
+            spark.range(0, 1, 1, 1).select(F.lit(name).alias("table_name"), F.lit(0).cast("bigint").alias("row_count"))
+        )
     return reduce(DataFrame.unionByName, parts)
 
 

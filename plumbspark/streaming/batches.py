@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from plumbspark.functions.columns import quoted
 from plumbspark.operators.checks import TableCheck
 from plumbspark.operators.writes import upsert
-from plumbspark.plans.check_run import check_results
+from plumbspark.plans.check_run import run_checks
 
 
 def _write_batch(rows: DataFrame, batch_id: int, folder: str) -> None:
@@ -40,10 +40,13 @@ def _start(stream: DataFrame, each, checkpoint: str) -> StreamingQuery:
 
 
 def check_stream(stream: DataFrame, check: TableCheck, as_of, history: str, checkpoint: str) -> StreamingQuery:
-    """Run a table's checks on every micro-batch and keep the results by batch."""
+    """Run a table's checks on every micro-batch and keep the results by batch.
+
+    A rule that fails on a batch gives an ``error`` row; the stream goes on.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        results = check_results(batch.sparkSession, {check.table_name: batch}, [check], as_of)
+        results, _ = run_checks(batch.sparkSession, {check.table_name: batch}, [check], as_of)
         _write_batch(results, batch_id, history)
 
     return _start(stream, each, checkpoint)

@@ -59,10 +59,10 @@ def rel_topk(spark, folder):
     "rel_user_activity",
     f"""SELECT user_id, COUNT(*) AS event_count, COUNT(DISTINCT event_type) AS event_types,
               {time_text_sql('MIN(ts)')} AS first_event, {time_text_sql('MAX(ts)')} AS last_event
-       FROM events WHERE user_id < 100 GROUP BY user_id ORDER BY event_count DESC, user_id LIMIT 20""",
+       FROM events WHERE event_type <> 'view' GROUP BY user_id ORDER BY event_count DESC, user_id LIMIT 20""",
 )
 def rel_user_activity(spark, folder):
-    busy = R.activity(table(spark, folder, "events").filter("user_id < 100"), "user_id", "event_type", "ts")
+    busy = R.activity(table(spark, folder, "events").filter("event_type <> 'view'"), "user_id", "event_type", "ts")
     top = R.page(busy, [F.col("event_count").desc(), F.col("user_id")], 0, 20)
     return top.withColumn("first_event", time_text(F.col("first_event"))).withColumn("last_event", time_text(F.col("last_event")))
 

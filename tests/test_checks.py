@@ -144,8 +144,10 @@ def test_run_from_config_and_precedence(spark, rows):
 def test_failure_while_running_stays_in_its_check(spark):
     df = spark.createDataFrame([("1",), ("x",)], "s STRING")
     check = C.TableCheck("t", row_count_min=1, anomaly_rules=(C.Rule("bad", "CAST(s AS INT) > 0"),))
-    results, timing = R.run_checks(spark, {"t": df}, [check], AS_OF)
-    assert {r.check_name: r.status for r in results.collect()} == {"row_count": "pass", "anomalies": "error"}
+    other = C.TableCheck("u", row_count_min=1)
+    results, timing = R.run_checks(spark, {"t": df, "u": df}, [check, other], AS_OF)
+    got = {(r.table_name, r.check_name): r.status for r in results.collect()}
+    assert got == {("t", "row_count"): "pass", ("t", "anomalies"): "error", ("u", "row_count"): "pass"}
     assert timing["duration_seconds"] >= 0
 
 

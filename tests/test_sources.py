@@ -39,7 +39,8 @@ def test_query_forms(spark):
 
 
 def test_row_counts_of_a_lost_table(spark, rows):
-    assert rows(tables.row_counts({"a": spark.range(3).toDF("x"), "gone": None})) == [("a", 3), ("gone", 0)]
+    found = tables.row_counts({"a": spark.range(3).toDF("x"), "gone": None, "bad": lambda: spark.table("no_such_table")})
+    assert rows(found) == [("a", 3), ("bad", 0), ("gone", 0)]
 
 
 def test_files(spark, tmp_path):
