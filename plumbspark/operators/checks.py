@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbspark.functions.columns import clean_column, hours_between, moment, naive, quoted
 from plumbspark.functions.ranking import top_k
+from plumbspark.functions.sizes import broadcast_if_small
 
 # Order of severity, worst last. An error ranks below a warning.
 STATUS_RANK = {"pass": 0, "error": 1, "warning": 2, "critical": 3}
@@ -366,11 +367,16 @@ def email_like(column: str) -> Column:
     return F.col(quoted(column)).rlike("(?i)" + EMAIL_PATTERN)
 
 
+def violation_count(constraint: str | Column) -> Column:
+    """Rows that break a constraint. A NULL outcome does not."""
+    condition = F.expr(constraint) if isinstance(constraint, str) else constraint
+    return F.count_if(~F.coalesce(condition, F.lit(True)))
+
+
 def violations(df: DataFrame, constraints: Mapping[str, str | Column]) -> DataFrame:
-    """Violating rows per named constraint, in one scan. A NULL outcome is not a violation."""
+    """Violating rows per named constraint, in one scan."""
     names = list(constraints)
-    conditions = [F.expr(c) if isinstance(c, str) else c for c in constraints.values()]
-    one = df.agg(*[F.count_if(~F.coalesce(c, F.lit(True))).alias(f"v{i}") for i, c in enumerate(conditions)])
+    one = df.agg(*[violation_count(c).alias(f"v{i}") for i, c in enumerate(constraints.values())])
     rows = [
         F.struct(
             F.lit(name).alias("constraint_name"),
@@ -382,14 +388,24 @@ def violations(df: DataFrame, constraints: Mapping[str, str | Column]) -> DataFr
     return one.select(F.inline(F.array(*rows)))
 
 
-def foreign_key_violations(child: DataFrame, columns: Sequence[str], parent: DataFrame, parent_columns: Sequence[str]) -> DataFrame:
-    """Child rows whose complete key has no parent."""
+def foreign_key_violations(
+    child: DataFrame,
+    columns: Sequence[str],
+    parent: DataFrame,
+    parent_columns: Sequence[str],
+    small: bool | None = None,
+) -> DataFrame:
+    """Child rows whose complete key has no parent.
+
+    The parent's keys are measured (or called ``small``): few are broadcast, so the
+    child stays where it is; many are joined by key.
+    """
     keys = parent.select(*[F.col(quoted(p)).alias(f"__p{i}") for i, p in enumerate(parent_columns)])
     complete, same = F.lit(True), F.lit(True)
     for i, c in enumerate(columns):
         complete = complete & F.col(quoted(c)).isNotNull()
         same = same & (F.col(quoted(c)) == F.col(f"__p{i}"))
-    return child.filter(complete).join(keys, same, "left_anti")
+    return child.filter(complete).join(broadcast_if_small(keys, small), same, "left_anti")
 
 
 def rule_samples(df: DataFrame, check: TableCheck, id_cols: Sequence[str], k: int = 5) -> DataFrame:

@@ -2,6 +2,10 @@
 
 Rows with a NULL in a key column never match anything. They are kept out of
 the joins, so that they neither change the result nor pile up in one task.
+
+A batch is usually small beside its target. Its size is measured (or given as
+``small``): a small batch is broadcast and the target is not shuffled at all; a
+large one takes shuffled joins.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbspark.functions.columns import all_set, quoted
+from plumbspark.functions.sizes import broadcast_if_small, is_small
 
 
 def _aligned(batch: DataFrame, target: DataFrame) -> DataFrame:
@@ -54,17 +59,32 @@ def routed_counts(batch: DataFrame, table_column: str = "table") -> DataFrame:
     )
 
 
-def without_keys_of(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+def without_keys_of(
+    target: DataFrame, batch: DataFrame, keys: Sequence[str], small: bool | None = None
+) -> DataFrame:
     """Delete-using: target rows whose key is not in the batch."""
     complete = all_set(list(keys))
-    gone = batch.filter(complete).select(*keys).distinct()
+    gone = broadcast_if_small(batch.filter(complete).select(*keys).distinct(), small)
     kept = target.filter(complete).join(gone, list(keys), "left_anti").select(*target.columns)
     return kept.unionByName(target.filter(~complete))
 
 
-def replace(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _unknown_rows(
+    batch: DataFrame, target: DataFrame, keys: list[str], small: bool
+) -> DataFrame:
+    """Batch rows (complete, unique keys) the target has no row for."""
+    if not small:
+        return batch.join(target.select(*keys), keys, "left_anti").select(*batch.columns)
+    # The keys both sides hold are at most as many as the batch has rows.
+    both = target.select(*keys).join(F.broadcast(batch.select(*keys)), keys, "left_semi").distinct()
+    return batch.join(F.broadcast(both), keys, "left_anti").select(*batch.columns)
+
+
+def replace(
+    target: DataFrame, batch: DataFrame, keys: Sequence[str], small: bool | None = None
+) -> DataFrame:
     """Delete target rows with a key of the batch, then insert every batch row."""
-    return insert(without_keys_of(target, batch, keys), batch)
+    return insert(without_keys_of(target, batch, keys, small), batch)
 
 
 def last_rows(batch: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -92,7 +112,12 @@ def first_rows(batch: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def replace_in_chunks(
-    target: DataFrame, batch: DataFrame, keys: Sequence[str], position: str, chunk_size: int
+    target: DataFrame,
+    batch: DataFrame,
+    keys: Sequence[str],
+    position: str,
+    chunk_size: int,
+    small: bool | None = None,
 ) -> DataFrame:
     """Replace chunk after chunk: a later chunk removes what an earlier one inserted for a key.
 
@@ -105,11 +130,14 @@ def replace_in_chunks(
     numbered = batch.withColumn("__chunk", F.floor(F.col(quoted(position)) / F.lit(chunk_size)))
     last = numbered.filter(complete).groupBy(*keys).agg(F.max("__chunk").alias("__chunk"))
     kept = numbered.filter(complete).join(last, [*keys, "__chunk"], "left_semi").select(*batch.columns)
-    return insert(without_keys_of(target, batch, keys), kept.unionByName(batch.filter(~complete)))
+    return insert(without_keys_of(target, batch, keys, small), kept.unionByName(batch.filter(~complete)))
 
 
-def replace_last_wins(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    return insert(without_keys_of(target, batch, keys), last_rows(batch, keys, order))
+def replace_last_wins(
+    target: DataFrame, batch: DataFrame, keys: Sequence[str], order: str, small: bool | None = None
+) -> DataFrame:
+    """Replace where only the last batch row of each key counts."""
+    return insert(without_keys_of(target, batch, keys, small), last_rows(batch, keys, order))
 
 
 def _unique(batch: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -129,6 +157,7 @@ def upsert(
     batch: DataFrame,
     keys: Sequence[str],
     update_columns: Sequence[str] | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Insert new keys; on a known key set ``update_columns`` (default: all the batch has)."""
     keys = list(keys)
@@ -139,14 +168,14 @@ def upsert(
     changed = set(offered if update_columns is None else update_columns)
     complete = all_set(keys)
     rows = batch.filter(complete).select(*keys, *[quoted(c) for c in offered])
+    if small is None:
+        small = is_small(rows)
+    unique = _unique(rows, keys)
     known = target.filter(complete).withColumn("__in_target", F.lit(True))
-    joined = known.join(_unique(rows, keys), keys, "full_outer")
     in_target, in_batch = F.col("__in_target").isNotNull(), F.col("__b.__in_batch").isNotNull()
 
     def merged(name: str) -> Column:
         old = F.col(quoted(name))
-        if name in keys:
-            return old
         if name not in offered:
             return old
         new = F.col("__b")[name].cast(target.schema[name].dataType)
@@ -154,16 +183,25 @@ def upsert(
             return F.when(in_batch, new).otherwise(old)
         return F.when(in_target, old).otherwise(new)
 
-    out = joined.select(*[merged(c).alias(c) for c in target.columns])
+    columns = [merged(c).alias(c) for c in target.columns]
+    if small:
+        out = known.join(F.broadcast(unique), keys, "left").select(*columns)
+        fresh = _unknown_rows(unique, known, keys, small=True)
+        out = insert(out, fresh.select(*keys, "__b.*"))
+    else:
+        out = known.join(unique, keys, "full_outer").select(*columns)
     return insert(out.unionByName(target.filter(~complete)), batch.filter(~complete))
 
 
-def insert_if_absent(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+def insert_if_absent(
+    target: DataFrame, batch: DataFrame, keys: Sequence[str], order: str, small: bool | None = None
+) -> DataFrame:
     """Insert keys the target lacks; of equal keys in the batch the first in ``order``."""
     complete = all_set(list(keys))
-    fresh = first_rows(batch.filter(complete), keys, order)
-    known = target.filter(complete).select(*keys).distinct()
-    new = fresh.join(known, list(keys), "left_anti").select(*batch.columns)
+    first = first_rows(batch.filter(complete), keys, order)
+    if small is None:
+        small = is_small(first.select(*keys))
+    new = _unknown_rows(first, target.filter(complete), list(keys), small)
     return insert(insert(target, new), batch.filter(~complete))
 
 

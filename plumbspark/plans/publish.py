@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from plumbspark.operators.checks import duplicate_keys, violations
+from plumbspark.operators.checks import duplicate_keys, violation_count
 
 
 class RejectedWrite(ValueError):
@@ -30,12 +30,16 @@ def publish(
     """
     spark = df.sparkSession
     path = f"{folder.rstrip('/')}/{view}/{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    staged = spark.read.parquet(path)
     broken = []
+    rows = df
+    if constraints:  # counted while the rows are written, without a second pass
+        watch = Observation()
+        rows = df.observe(watch, *[violation_count(c).alias(f"v{i}") for i, c in enumerate(constraints.values())])
+    rows.write.partitionBy(*partition_by).parquet(path)
     if constraints:
-        bad = violations(staged, constraints).filter("violations > 0")
-        broken += [f"{r.constraint_name}: {r.violations} rows" for r in bad.collect()]
+        counts = watch.get
+        broken += [f"{name}: {counts[f'v{i}']} rows" for i, name in enumerate(constraints) if counts[f"v{i}"]]
+    staged = spark.read.parquet(path)
     for keys in unique:
         if duplicate_keys(staged, keys).select(F.lit(1)).head(1):
             broken.append(f"duplicate {list(keys)}")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbspark.functions import buckets as B
+from plumbspark.functions.sizes import is_small, measured_bytes
 from plumbspark.operators import partitions as P
 from plumbspark.operators import writes as W
 from plumbspark.plans.publish import RejectedWrite, publish
@@ -24,14 +25,18 @@ def test_insert_fills_missing_and_ignores_extra(spark, rows):
     assert rows(W.insert(t, t.limit(0))) == [(1, "a", "b")]
 
 
-def test_replace_keeps_all_batch_rows_and_null_keys(spark, rows):
+@pytest.mark.parametrize("small", [True, False, None])
+def test_replace_keeps_all_batch_rows_and_null_keys(spark, rows, small):
     t = frame(spark, [(1, "old", "o"), (2, "old", "o"), (None, "old", "o")])
     b = frame(spark, [(1, "n1", "n"), (1, "n2", "n"), (None, "n3", "n"), (4, "n4", "n")])
-    assert rows(W.replace(t, b, ["k"]), "k", "a") == [
+    assert rows(W.replace(t, b, ["k"], small), "k", "a") == [
         (1, "n1"), (1, "n2"), (2, "old"), (4, "n4"), (None, "n3"), (None, "old"),
     ]
 
 
+SMALL = pytest.mark.parametrize("small", [True, False, None])
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
 def test_chunked_replace_equals_a_loop_over_chunks(spark, rows, size):
     rnd = random.Random(size)
@@ -55,33 +60,56 @@ def test_chunk_size_must_be_positive(spark):
         W.replace_in_chunks(t, t, ["k"], "k", 0)
 
 
-def test_upsert(spark, rows):
+@SMALL
+def test_upsert(spark, rows, small):
     t = frame(spark, [(1, "t", "t"), (2, "t", "t"), (None, "t", "t")])
     b = frame(spark, [(2, "b", None), (3, "b", "b"), (None, "b", "b")])
-    assert rows(W.upsert(t, b, ["k"])) == [
+    assert rows(W.upsert(t, b, ["k"], small=small)) == [
         (1, "t", "t"), (2, "b", None), (3, "b", "b"), (None, "b", "b"), (None, "t", "t"),
     ]
-    assert rows(W.upsert(t, b, ["k"], ["a"])) == [
+    assert rows(W.upsert(t, b, ["k"], ["a"], small)) == [
         (1, "t", "t"), (2, "b", "t"), (3, "b", "b"), (None, "b", "b"), (None, "t", "t"),
     ]
     part = frame(spark, [(1, "p"), (9, "p")], "k INT, a STRING")
-    assert rows(W.upsert(t, part, ["k"])) == [
+    assert rows(W.upsert(t, part, ["k"], small=small)) == [
         (1, "p", "t"), (2, "t", "t"), (9, "p", None), (None, "t", "t"),
     ]
     with pytest.raises(ValueError):
         W.upsert(t, b, ["k"], ["k"])
 
 
-def test_upsert_rejects_duplicate_keys_in_the_batch(spark):
+@SMALL
+def test_upsert_rejects_duplicate_keys_in_the_batch(spark, small):
     t = frame(spark, [(1, "t", "t")])
-    with pytest.raises(Exception, match="duplicate key"):
-        W.upsert(t, frame(spark, [(2, "x", "x"), (2, "y", "y")]), ["k"]).collect()
+    for k in (1, 2):
+        with pytest.raises(Exception, match="duplicate key"):
+            W.upsert(t, frame(spark, [(k, "x", "x"), (k, "y", "y")]), ["k"], small=small).collect()
+
+
+def test_small_batches_leave_the_target_unshuffled(spark, sf, plan):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    b = o.limit(10).withColumn("o_totalprice", F.lit(0.0))
+    for small, joins in ((True, "BroadcastHashJoin"), (False, "SortMergeJoin")):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        try:
+            for df in (W.replace(o, b, ["o_orderkey"], small), W.upsert(o, b, ["o_orderkey"], small=small)):
+                text = plan(df)
+                assert joins in text and ("SortMergeJoin" in text) != small
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_size_is_measured(spark):
+    df = frame(spark, [(1, "x" * 1000, None)])
+    assert 1000 < measured_bytes(df) < 1200 and measured_bytes(df.limit(0)) == 0
+    assert is_small(df) and not is_small(df, 1000)
 
 
-def test_insert_if_absent(spark, rows):
+@SMALL
+def test_insert_if_absent(spark, rows, small):
     t = frame(spark, [(1, "t", "t")])
     b = frame(spark, [(1, "b", "0"), (2, "first", "1"), (2, "second", "2"), (None, "n", "3")])
-    assert rows(W.insert_if_absent(t, b, ["k"], "b"), "k", "a") == [(1, "t"), (2, "first"), (None, "n")]
+    assert rows(W.insert_if_absent(t, b, ["k"], "b", small), "k", "a") == [(1, "t"), (2, "first"), (None, "n")]
 
 
 def test_delete_update_and_operations(spark, rows):
