@@ -1,18 +1,45 @@
-"""Broadcast a side of a join only after its size was measured."""
+"""Estimated row sizes; broadcast a side of a join only after its size was measured."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from plumbspark.functions.columns import quoted
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 _ROW_OVERHEAD = 32
 
+_FIXED_WIDTH = {
+    T.BooleanType: 1,
+    T.ByteType: 1,
+    T.ShortType: 2,
+    T.IntegerType: 4,
+    T.FloatType: 4,
+    T.DateType: 4,
+}
+
+
+def _value_bytes(field: T.StructField) -> Column:
+    c = F.col(quoted(field.name))
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint")
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)).cast("bigint")
+    return F.lit(_FIXED_WIDTH.get(type(field.dataType), 8)).cast("bigint")
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of one row: a fixed width per type, the text's own bytes, JSON for nested values."""
+    return reduce(lambda a, b: a + b, [_value_bytes(f) for f in df.schema.fields])
+
 
 def measured_bytes(df: DataFrame) -> int:
-    """Bytes of all rows as JSON plus a fixed overhead per row: one aggregate job."""
-    row = F.octet_length(F.to_json(F.struct("*"))).cast("bigint") + _ROW_OVERHEAD
-    return df.agg(F.sum(row).alias("bytes")).first().bytes or 0
+    """Estimated bytes of all rows with an overhead for each: one aggregate job."""
+    return df.agg(F.sum(row_bytes(df) + _ROW_OVERHEAD).alias("bytes")).first().bytes or 0
 
 
 def is_small(df: DataFrame, limit: int | None = None) -> bool:

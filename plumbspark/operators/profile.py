@@ -28,6 +28,7 @@ from plumbspark.functions.columns import (
 from plumbspark.functions.moments import sample_kurtosis, sample_skewness
 from plumbspark.functions.quantiles import approx_quantiles, exact_quantiles
 from plumbspark.functions.ranking import top_k
+from plumbspark.functions.sizes import row_bytes
 
 HIGH_CARDINALITY_PERCENT = 80.0
 HIGH_NULL_PERCENT = 20.0
@@ -312,32 +313,9 @@ def column_profile(
     return out.select(F.lit(table_name).alias("table_name"), "*")
 
 
-_FIXED_WIDTH = {
-    T.BooleanType: 1,
-    T.ByteType: 1,
-    T.ShortType: 2,
-    T.IntegerType: 4,
-    T.FloatType: 4,
-    T.DateType: 4,
-}
-
-
-def _estimated_bytes(field: T.StructField) -> Column:
-    c = F.col(quoted(field.name))
-    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-        return F.sum(F.octet_length(c).cast("bigint"))
-    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-        return F.sum(F.octet_length(F.to_json(c)).cast("bigint"))
-    width = _FIXED_WIDTH.get(type(field.dataType), 8)
-    return F.count(F.lit(1)) * F.lit(width).cast("bigint")
-
-
 def table_profile(df: DataFrame, table_name: str) -> DataFrame:
     """Rows, columns and estimated size: fixed widths per type, bytes of text values."""
-    size = reduce(
-        lambda a, b: a + b,
-        [F.coalesce(_estimated_bytes(f), F.lit(0).cast("bigint")) for f in df.schema.fields],
-    )
+    size = F.coalesce(F.sum(row_bytes(df)), F.lit(0))
     return df.agg(
         F.lit(table_name).alias("table_name"),
         F.count(F.lit(1)).alias("total_rows"),
