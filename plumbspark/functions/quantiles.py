@@ -1,16 +1,17 @@
 """Exact linear-interpolation quantiles, per group or over a whole table.
 
 Spark's built-in ``percentile`` keeps a value -> count map per group in one
-task, so it is used only for inputs whose row count was checked. Larger inputs
-take three scale-free steps, each a plain shuffle with map-side combine:
+task, so it only gets groups whose row count is bounded. Larger ones take:
 
-1. ``percentile_approx`` brackets every wanted quantile between two values
-   whose ranks are known to lie a bounded distance from it;
-2. the rows outside a bracket collapse to one count on each side, those inside
-   to one count per distinct value;
-3. a running sum over the (small) bracket picks the two order statistics.
+1. one or more sketch rounds: ``percentile_approx`` on a grid of fractions gives
+   a bracket of two values around every wanted rank; the next round looks only
+   inside the bracket. The sketches are coarse, because every task sends one to
+   the task that merges them; three rounds narrow 10^13 rows to a few million;
+2. one counting pass: rows between the brackets collapse to one count per task,
+   rows inside a bracket to one count per distinct value;
+3. a running sum over the bracket, which picks the two order statistics.
 
-A bracket that misses its rank raises an error; it never yields a wrong value.
+A bracket that missed its rank raises an error; it never yields a wrong value.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbspark.functions.groups import BROADCAST_GROUPS, count_groups
+from plumbspark.functions.groups import BROADCAST_GROUPS, attach, attach_one, count_groups
 
 IN_TASK_ROWS = 200_000
-LEAST_ACCURACY, MOST_ACCURACY = 20_000, 1_000_000
-ROWS_PER_RANK_STEP = 50_000
-SALTS = 32
+ACCURACY = 2_000
+GRID = 500
+BRACKET_ROWS = 4_000_000
 
-_VALUE = "__value"
+_V = "__value"
 _BELOW, _INSIDE, _ABOVE = 0, 1, 2
 
 
@@ -39,27 +40,51 @@ def exact_quantiles(
     by: Sequence[str] = (),
     rows: int | None = None,
     groups: int | None = None,
-    in_task_rows: int = IN_TASK_ROWS,
-    accuracy: int | None = None,
+    in_task_rows: int | None = None,
+    rounds: int | None = None,
 ) -> DataFrame:
     """``[*by, n, *names]``: values counted and one quantile per fraction; NULLs are skipped.
 
     ``rows`` and ``groups`` save counting jobs when the caller knows upper bounds.
-    On the large path a group without any value has no row.
+    Beyond ``in_task_rows`` rows a group without any value may have no row.
     """
-    data = df.select(*by, value.cast("double").alias(_VALUE))
+    by, fractions, names = list(by), [float(f) for f in fractions], list(names)
+    data = df.select(*by, value.cast("double").alias(_V))
     if rows is None:
         rows = df.count()
+    if in_task_rows is None:
+        in_task_rows = IN_TASK_ROWS
     if rows <= in_task_rows:
-        packed = F.percentile(_VALUE, F.array(*[F.lit(float(f)) for f in fractions])).alias("__q")
-        out = data.groupBy(*by).agg(F.count(_VALUE).alias("n"), packed)
-        return out.select(*by, "n", *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
-    if accuracy is None:  # a bracket then holds about four rank steps of rows
-        accuracy = min(max(rows // ROWS_PER_RANK_STEP, LEAST_ACCURACY), MOST_ACCURACY)
+        return _in_task(data, fractions, names, by)
+    if rounds is None:
+        rounds = sketch_rounds(rows)
+    present = data.filter(F.col(_V).isNotNull())
     if by and groups is None:
         groups = count_groups(df, by)
-    salted = bool(by) and groups > BROADCAST_GROUPS
-    return _bracketed(data, list(fractions), list(names), list(by), accuracy, salted)
+    if not by or groups <= BROADCAST_GROUPS:
+        return _bracketed(present, fractions, names, by, rounds)
+    # Many groups: those above the limit are at most rows / limit, so their keys can be broadcast.
+    limit = max(in_task_rows, -(-rows // BROADCAST_GROUPS))
+    large = present.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
+    marked = attach(present, large, by, ["__n"], groups=0)
+    few = marked.filter(F.col("__n").isNotNull()).drop("__n")
+    many = marked.filter(F.col("__n").isNull()).drop("__n")
+    return _bracketed(few, fractions, names, by, rounds).unionByName(_in_task(many, fractions, names, by))
+
+
+def sketch_rounds(rows: int) -> int:
+    """Rounds after which a bracket holds at most ``BRACKET_ROWS`` of ``rows``."""
+    width = 3.0 / GRID  # two grid steps and the sketch error on both sides
+    rounds, left = 1, rows * width
+    while left > BRACKET_ROWS:
+        rounds, left = rounds + 1, left * width
+    return rounds
+
+
+def _in_task(data: DataFrame, fractions: list[float], names: list[str], by: list[str]) -> DataFrame:
+    packed = F.percentile(_V, F.array(*[F.lit(f) for f in fractions])).alias("__q")
+    out = data.groupBy(*by).agg(F.count(_V).alias("n"), packed)
+    return out.select(*by, "n", *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
 
 
 def approx_quantiles(
@@ -71,81 +96,111 @@ def approx_quantiles(
     accuracy: int = 10_000,
 ) -> DataFrame:
     """One-pass estimate of the same quantiles (rank error at most rows / accuracy)."""
-    data = df.select(*by, value.cast("double").alias(_VALUE))
-    packed = F.percentile_approx(_VALUE, [float(f) for f in fractions], accuracy).alias("__q")
-    out = data.groupBy(*by).agg(F.count(_VALUE).alias("n"), packed)
+    data = df.select(*by, value.cast("double").alias(_V))
+    packed = F.percentile_approx(_V, [float(f) for f in fractions], accuracy).alias("__q")
+    out = data.groupBy(*by).agg(F.count(_V).alias("n"), packed)
     return out.select(*by, "n", *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
 
 
+def _grid(value: Column) -> Column:
+    """Estimated quantiles at 0, 1/GRID, ... 1."""
+    return F.percentile_approx(value, [i / GRID for i in range(GRID + 1)], ACCURACY)
+
+
+def _bracket(low: Column, high: Column, grid: Column) -> tuple[Column, Column]:
+    """Grid values that surely enclose the fractions ``low`` to ``high``."""
+    slack = 2.0 / ACCURACY
+    first = F.greatest(F.floor((low - slack) * GRID), F.lit(0)).cast("int")
+    last = F.least(F.ceil((high + slack) * GRID), F.lit(GRID)).cast("int")
+    return F.get(grid, F.least(first, F.lit(GRID))), F.get(grid, F.greatest(last, F.lit(0)))
+
+
+def _sketched(present: DataFrame, fractions: list[float], by: list[str], rounds: int) -> tuple[DataFrame, list[str]]:
+    """Per group the row count ``__n`` and a bracket ``lo_i``, ``hi_i`` per fraction."""
+    n, g = F.col("__n"), F.col("__g")
+    first = present.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), _grid(F.col(_V)).alias("__g"))
+    edges, names = [], ["__n"]
+    for i, f in enumerate(fractions):
+        lo, hi = _bracket(F.lit(f), F.lit(f), g)
+        edges += [lo.alias(f"lo_{i}"), hi.alias(f"hi_{i}")]
+        names += [f"lo_{i}", f"hi_{i}"]
+    brackets = first.select(*by, "__n", *edges)
+
+    for _ in range(rounds - 1):
+        rows = _with(present, brackets, by, names)
+        aggs = []
+        for i in range(len(fractions)):
+            v, lo, hi = F.col(_V), F.col(f"lo_{i}"), F.col(f"hi_{i}")
+            inside = (v >= lo) & (v <= hi)
+            aggs += [
+                F.count_if(v < lo).alias(f"below_{i}"),
+                F.count_if(inside).alias(f"inside_{i}"),
+                _grid(F.when(inside, v)).alias(f"g_{i}"),
+            ]
+        inner = rows.groupBy(*by).agg(F.max("__n").alias("__n"), *aggs)
+        edges = []
+        for i, f in enumerate(fractions):
+            pos, below, inside = F.lit(f) * (n - 1), F.col(f"below_{i}"), F.col(f"inside_{i}")
+            lo, hi = _bracket((F.floor(pos) - below) / inside, (F.ceil(pos) - below + 1) / inside, F.col(f"g_{i}"))
+            edges += [lo.alias(f"lo_{i}"), hi.alias(f"hi_{i}")]
+        brackets = inner.select(*by, "__n", *edges)
+    return brackets, names
+
+
+def _with(rows: DataFrame, brackets: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    if not by:
+        return attach_one(rows, brackets, names)
+    return attach(rows, brackets, by, names, groups=0)  # the caller bounded the number of groups
+
+
 def _bracketed(
-    data: DataFrame, fractions: list[float], names: list[str], by: list[str], accuracy: int, salted: bool
+    present: DataFrame, fractions: list[float], names: list[str], by: list[str], rounds: int
 ) -> DataFrame:
-    keys = by or ["__all"]
-    if not by:
-        data = data.withColumn("__all", F.lit(0))
-    data = data.filter(F.col(_VALUE).isNotNull())
-
-    slack = 2.0 / accuracy
-    lows = [max(0.0, f - slack) for f in fractions]
-    highs = [min(1.0, f + slack) for f in fractions]
-    sketch = F.percentile_approx(_VALUE, lows + highs, accuracy)
-    k = len(fractions)
+    brackets, columns = _sketched(present, fractions, by, rounds)
+    v, k = F.col(_V), len(fractions)
+
+    # One group per stretch between brackets, and one per distinct value inside a bracket.
+    stretch, within = F.lit(0), F.lit(False)
+    for i in range(k):
+        lo, hi = F.col(f"lo_{i}"), F.col(f"hi_{i}")
+        stretch = stretch + (v >= lo).cast("int") + (v > hi).cast("int")
+        within = within | ((v >= lo) & (v <= hi))
+    counts = (
+        _with(present, brackets, by, columns)
+        .groupBy(*by, stretch.alias("__stretch"), F.when(within, v).alias("__slot"))
+        .agg(F.count(F.lit(1)).alias("c"), F.min(v).alias("least"), F.max(v).alias("most"))
+    )
+
+    # The same rows seen from each fraction: below, inside or above its bracket.
     targets = F.array(
         *[
             F.struct(
                 F.lit(i).alias("q"),
-                F.col("__s")[i].alias("lo"),
-                F.col("__s")[k + i].alias("hi"),
+                F.col(f"lo_{i}").alias("lo"),
+                F.col(f"hi_{i}").alias("hi"),
                 (F.lit(f) * (F.col("__n") - 1)).alias("pos"),
             )
             for i, f in enumerate(fractions)
         ]
     )
-    brackets = (
-        data.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"), sketch.alias("__s"))
-        .select(*keys, "__n", targets.alias("__t"))
-    )
-
-    # Count equal values first: a value held by a large share of the rows becomes one row.
-    counts = data.groupBy(*keys, _VALUE).agg(F.count(F.lit(1)).alias("__c"))
-    if salted:
-        # Many groups: spread each over SALTS tasks, one bracket row per group and salt.
-        counts = counts.withColumn("__salt", F.pmod(F.xxhash64(_VALUE), F.lit(SALTS)).cast("int"))
-        side_rows = brackets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        match = counts["__salt"] == side_rows["__salt"]
-    else:
-        side_rows = F.broadcast(brackets)  # the number of groups was checked
-        match = F.lit(True)
-    for c in keys:
-        match = match & counts[c].eqNullSafe(side_rows[c])
-    joined = counts.join(side_rows, match).select(*[counts[c] for c in keys], _VALUE, "__c", "__n", "__t")
-
-    side = (
-        F.when(F.col(_VALUE) < F.col("t.lo"), F.lit(_BELOW))
-        .when(F.col(_VALUE) > F.col("t.hi"), F.lit(_ABOVE))
-        .otherwise(F.lit(_INSIDE))
+    seen = (
+        _with(counts, brackets, by, columns)
+        .select(*by, "c", "least", "most", F.col("__n").alias("n"), F.explode(targets).alias("t"))
+        .select(*by, "c", "least", "most", "n", "t.*")
     )
+    side = F.when(F.col("least") < F.col("lo"), _BELOW).when(F.col("least") > F.col("hi"), _ABOVE).otherwise(_INSIDE)
     slots = (
-        joined.select(*keys, _VALUE, "__c", "__n", F.explode("__t").alias("t"))
-        .withColumn("side", side)
-        .withColumn("slot", F.when(F.col("side") == _INSIDE, F.col(_VALUE)))
-        .groupBy(*keys, F.col("t.q").alias("q"), F.col("t.pos").alias("pos"), "side", "slot")
-        .agg(
-            F.sum("__c").alias("c"),
-            F.max("__n").alias("__n"),
-            F.min(_VALUE).alias("least"),
-            F.max(_VALUE).alias("most"),
-        )
-    )
-    order = Window.partitionBy(*keys, "q").orderBy("side", "slot")
-    ranked = slots.withColumn("end", F.sum("c").over(order)).withColumn(
-        "start", F.col("end") - F.col("c")
+        seen.withColumn("side", side)
+        .withColumn("slot", F.when(F.col("side") == _INSIDE, F.col("least")))
+        .groupBy(*by, "q", "pos", "n", "side", "slot")
+        .agg(F.sum("c").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
     )
+    order = Window.partitionBy(*by, "q").orderBy("side", "slot")
+    ranked = slots.withColumn("end", F.sum("c").over(order)).withColumn("start", F.col("end") - F.col("c"))
 
     def at(rank: Column) -> Column:
         here = (F.col("start") <= rank) & (rank < F.col("end"))
-        missed = F.raise_error(F.lit("quantile bracket missed its rank; raise accuracy"))
+        missed = F.raise_error(F.lit("quantile bracket missed its rank; use more rounds or a higher accuracy"))
         found = (
             F.when(F.col("side") == _INSIDE, F.col("slot"))
             .when((F.col("side") == _BELOW) & (rank == F.col("end") - 1), F.col("most"))
@@ -154,17 +209,10 @@ def _bracketed(
         )
         return F.max(F.when(here, found))
 
-    picked = ranked.groupBy(*keys, "q").agg(
-        F.max("pos").alias("pos"),
-        F.max("__n").alias("__n"),
-        at(F.floor("pos")).alias("a"),
-        at(F.ceil("pos")).alias("b"),
-    )
-    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(
-        (F.ceil("pos") - F.col("pos")) * F.col("a") + (F.col("pos") - F.floor("pos")) * F.col("b")
-    )
-    out = picked.groupBy(*keys).agg(
-        F.max("__n").alias("n"),
-        *[F.max(F.when(F.col("q") == i, value)).alias(n) for i, n in enumerate(names)]
+    picked = ranked.groupBy(*by, "q", "pos", "n").agg(at(F.floor("pos")).alias("a"), at(F.ceil("pos")).alias("b"))
+    between = (F.ceil("pos") - F.col("pos")) * F.col("a") + (F.col("pos") - F.floor("pos")) * F.col("b")
+    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(between)
+    out = picked.groupBy(*by).agg(
+        F.max("n").alias("n"), *[F.max(F.when(F.col("q") == i, value)).alias(x) for i, x in enumerate(names)]
     )
-    return out.select(*by, "n", *names)
+    return out if by else out.filter(F.col("n").isNotNull())

@@ -15,26 +15,43 @@ def expected(values):
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 10, 101, 2000])
-@pytest.mark.parametrize("accuracy", [50, 20_000])
-def test_large_path_equals_pandas(spark, n, accuracy):
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_large_path_equals_pandas(spark, n, rounds):
     rng = np.random.default_rng(n)
     values = [float(x) for x in rng.lognormal(3, 2, n)]
     df = spark.createDataFrame([(v,) for v in values], "v DOUBLE")
-    got = Q.exact_quantiles(df, F.col("v"), FRACTIONS, NAMES, accuracy=accuracy, **LARGE).first()
+    got = Q.exact_quantiles(df, F.col("v"), FRACTIONS, NAMES, rounds=rounds, **LARGE).first()
     assert got.n == n
     assert list(got)[1:] == pytest.approx(expected(values), rel=1e-12)
 
 
-def test_one_value_holds_most_rows(spark):
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_coarse_sketches_narrow_over_rounds(spark, monkeypatch, rounds):
+    monkeypatch.setattr(Q, "ACCURACY", 40)
+    monkeypatch.setattr(Q, "GRID", 10)
+    rng = np.random.default_rng(rounds)
+    values = [float(x) for x in rng.standard_cauchy(30_000)]
+    df = spark.createDataFrame([(v,) for v in values], "v DOUBLE").repartition(8)
+    got = Q.exact_quantiles(df, F.col("v"), FRACTIONS, NAMES, rounds=rounds, **LARGE).first()
+    assert list(got)[1:] == pytest.approx(expected(values), rel=1e-12)
+
+
+def test_rounds_follow_the_row_count():
+    assert [Q.sketch_rounds(10**e) for e in (6, 9, 12, 13)] == [1, 2, 3, 3]
+
+
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_one_value_holds_most_rows(spark, rounds):
     values = [7.0] * 900 + [float(x) for x in range(100)] + [1e9, -1e9]
     df = spark.createDataFrame([(v,) for v in values], "v DOUBLE")
-    got = Q.exact_quantiles(df, F.col("v"), FRACTIONS, NAMES, accuracy=100, **LARGE).first()
+    got = Q.exact_quantiles(df, F.col("v"), FRACTIONS, NAMES, rounds=rounds, **LARGE).first()
     assert list(got)[1:] == pytest.approx(expected(values))
 
 
-@pytest.mark.parametrize("broadcast_groups", [0, 1000])
-def test_groups_with_nulls_and_a_hot_group(spark, monkeypatch, broadcast_groups):
-    monkeypatch.setattr(Q, "BROADCAST_GROUPS", broadcast_groups)  # 0: salted join
+@pytest.mark.parametrize("broadcast_groups", [2, 1000])
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_groups_with_nulls_and_a_hot_group(spark, monkeypatch, broadcast_groups, rounds):
+    monkeypatch.setattr(Q, "BROADCAST_GROUPS", broadcast_groups)  # 2: only the hot group is sketched
     rng = np.random.default_rng(5)
     rows = [("hot", float(x)) for x in rng.normal(0, 1, 3000)]
     rows += [(None, float(x)) for x in rng.normal(5, 1, 50)]
@@ -42,7 +59,7 @@ def test_groups_with_nulls_and_a_hot_group(spark, monkeypatch, broadcast_groups)
     df = spark.createDataFrame(rows, "g STRING, v DOUBLE")
     got = {
         r.g: list(r)[2:]
-        for r in Q.exact_quantiles(df, F.col("v"), FRACTIONS, NAMES, by=["g"], accuracy=200, **LARGE).collect()
+        for r in Q.exact_quantiles(df, F.col("v"), FRACTIONS, NAMES, by=["g"], rounds=rounds, rows=len(rows), in_task_rows=0).collect()
     }
     for g in ("hot", None, "few"):
         values = [v for k, v in rows if k == g and v is not None]
