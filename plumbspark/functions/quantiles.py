@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from plumbspark.functions.groups import BROADCAST_GROUPS, attach, attach_one, count_groups
 
-IN_TASK_ROWS = 200_000
+IN_TASK_ROWS = 3_000_000  # of all groups together
+GROUP_ROWS = 10_000  # of one group among many
 ACCURACY = 2_000
 GRID = 500
 BRACKET_ROWS = 4_000_000
@@ -64,7 +65,7 @@ def exact_quantiles(
     if not by or groups <= BROADCAST_GROUPS:
         return _bracketed(present, fractions, names, by, rounds)
     # Many groups: those above the limit are at most rows / limit, so their keys can be broadcast.
-    limit = max(in_task_rows, -(-rows // BROADCAST_GROUPS))
+    limit = max(GROUP_ROWS, -(-rows // BROADCAST_GROUPS))
     large = present.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
     marked = attach(present, large, by, ["__n"], groups=0)
     few = marked.filter(F.col("__n").isNotNull()).drop("__n")

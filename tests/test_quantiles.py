@@ -51,6 +51,7 @@ def test_one_value_holds_most_rows(spark, rounds):
 @pytest.mark.parametrize("broadcast_groups", [2, 1000])
 @pytest.mark.parametrize("rounds", [1, 2])
 def test_groups_with_nulls_and_a_hot_group(spark, monkeypatch, broadcast_groups, rounds):
+    monkeypatch.setattr(Q, "GROUP_ROWS", 0)
     monkeypatch.setattr(Q, "BROADCAST_GROUPS", broadcast_groups)  # 2: only the hot group is sketched
     rng = np.random.default_rng(5)
     rows = [("hot", float(x)) for x in rng.normal(0, 1, 3000)]
