@@ -48,3 +48,10 @@ def op7_hilbert_packing(spark: SparkSession, folder: str) -> DataFrame:
     from plumbspark.llm.token_files import crc_of
 
     return crc_of(packed(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), END_ID, SEQUENCE))
+
+
+@query
+def op1_bagminhash(spark: SparkSession, folder: str) -> DataFrame:
+    from plumbspark.llm.bagminhash import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
