@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -55,3 +56,34 @@ def op1_bagminhash(spark: SparkSession, folder: str) -> DataFrame:
     from plumbspark.llm.bagminhash import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"))
+
+
+_ASCII_WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLE["op4_line_dedup"] = f"""
+WITH parts AS (
+    SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), numbered AS (
+    SELECT r, doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM parts
+), keyed AS (
+    SELECT r, doc_id, i, lines[i] AS line,
+           translate(trim(lines[i], {_ASCII_WHITE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+    FROM numbered
+), common AS (
+    SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT r) >= 10
+), marked AS (
+    SELECT keyed.*, common.k IS NOT NULL AS gone FROM keyed LEFT JOIN common USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r, doc_id
+"""
+
+
+@query
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from plumbspark.llm.line_dedup import build_index, without_common_lines
+
+    docs = table(spark, folder, "documents")
+    kept = without_common_lines(docs, build_index(docs, min_docs=10, min_chars=1))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
