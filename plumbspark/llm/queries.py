@@ -87,3 +87,12 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     kept = without_common_lines(docs, build_index(docs, min_docs=10, min_chars=1))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from plumbspark.llm.labelled import labels_of
+    from plumbspark.llm.quality import quality_scores
+
+    labels = labels_of(table(spark, folder, "labels"), "quality")
+    return quality_scores(table(spark, folder, "documents"), labels, threshold=0.3)
