@@ -46,9 +46,10 @@ def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_hilbert_packing(spark: SparkSession, folder: str) -> DataFrame:
     from plumbspark.llm.packing import packed
-    from plumbspark.llm.token_files import crc_of
+    from plumbspark.llm.token_files import crc_of, id_type
 
-    return crc_of(packed(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), END_ID, SEQUENCE))
+    file = vocabulary("word_bpe_49k.json")
+    return crc_of(packed(table(spark, folder, "documents"), file, END_ID, SEQUENCE), id_type(file, END_ID))
 
 
 @query
@@ -96,3 +97,21 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
 
     labels = labels_of(table(spark, folder, "labels"), "quality")
     return quality_scores(table(spark, folder, "documents"), labels, threshold=0.3)
+
+
+@query
+def op2_ngram_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    from plumbspark.llm.labelled import labels_of
+    from plumbspark.llm.ngram_ratio import quality_rules
+
+    trusted = labels_of(table(spark, folder, "labels"), "quality").where("label = 1").select("doc_id")
+    return quality_rules(table(spark, folder, "documents"), trusted)
+
+
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from plumbspark.llm.labelled import labels_of
+    from plumbspark.llm.toxicity import toxicity_scores
+
+    labels = labels_of(table(spark, folder, "labels"), "toxic")
+    return toxicity_scores(table(spark, folder, "documents"), labels, threshold=0.5)
