@@ -115,3 +115,58 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
     labels = labels_of(table(spark, folder, "labels"), "toxic")
     return toxicity_scores(table(spark, folder, "documents"), labels, threshold=0.5)
+
+
+def _template_sql(source: str, key: str) -> str:
+    from plumbspark.llm.decontamination import UNITS
+
+    units = ", ".join(f"'{u}'" for u in UNITS)
+    return f"""
+    SELECT {key}, raw, list_transform(range(1, len(raw) + 1), lambda i: CASE
+               WHEN regexp_matches(raw[i], '^\\p{{N}}') THEN '§d'
+               WHEN i > 1 AND lower(raw[i]) IN ({units}) AND regexp_matches(raw[i - 1], '^\\p{{N}}') THEN '§u'
+               WHEN regexp_matches(raw[i], '^\\p{{Lu}}') THEN '§n'
+               ELSE lower(raw[i]) END) AS template
+    FROM (
+        SELECT {key}, string_split(tokens, ' ') AS raw FROM (
+            SELECT {key}, trim(regexp_replace(regexp_replace(translate(text, '_', ' '), '(\\p{{N}})[.,](\\p{{N}})', '\\1_\\2', 'g'),
+                                         '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS tokens
+            FROM {source} WHERE {key} IS NOT NULL AND text IS NOT NULL
+        ) WHERE length(tokens) > 0
+    )"""
+
+
+ORACLE["op9_template_decontamination"] = f"""
+WITH items AS ({_template_sql("(SELECT DISTINCT item_id, text FROM benchmark)", "item_id")}
+), iw AS (
+    SELECT item_id, p - 1 AS ipos, n, template[p : p + n - 1] AS w, raw[p : p + n - 1] AS r FROM (
+        SELECT *, unnest(range(1, len(template) - n + 2)) AS p FROM (
+            SELECT *, least(len(template), 8) AS n FROM items))
+), wanted AS (
+    SELECT *, count(*) OVER (PARTITION BY item_id) AS n_windows
+    FROM iw WHERE 2 * len(list_filter(w, lambda t: starts_with(t, '§'))) <= n
+), docs AS ({_template_sql("documents", "doc_id")}
+), dw AS (
+    SELECT doc_id, p - 1 AS pos, n, template[p : p + n - 1] AS w, raw[p : p + n - 1] AS dr FROM (
+        SELECT *, unnest(range(1, len(template) - n + 2)) AS p FROM docs, (SELECT DISTINCT n FROM wanted))
+), hits AS (
+    SELECT doc_id, item_id, pos, ipos, pos - ipos AS shift, n_windows, w, r, dr FROM dw JOIN wanted USING (n, w)
+), slots AS (
+    SELECT doc_id, item_id, shift, unnest(r) AS iv, unnest(dr) AS dv, unnest(w) AS t FROM hits
+), bad AS (
+    SELECT DISTINCT doc_id, item_id, shift FROM slots WHERE starts_with(t, '§')
+    GROUP BY doc_id, item_id, shift, lower(iv) HAVING count(DISTINCT lower(dv)) > 1
+), offsets AS (
+    SELECT doc_id, item_id, shift, count(DISTINCT ipos) AS n, any_value(n_windows) AS n_windows
+    FROM hits ANTI JOIN bad USING (doc_id, item_id, shift) GROUP BY ALL
+)
+SELECT doc_id, item_id, CAST(least(sum(n), any_value(n_windows)) AS BIGINT) AS n_matched, any_value(n_windows) AS n_windows
+FROM offsets GROUP BY doc_id, item_id HAVING sum(n) >= least(6, any_value(n_windows))
+"""
+
+
+@query
+def op9_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from plumbspark.llm.decontamination import contaminated
+
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
