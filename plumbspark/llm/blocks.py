@@ -30,12 +30,14 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
     for batch in batches:
         if not batch.num_rows:
             continue
-        text = pc.fill_null(batch.column("text"), "")
+        text = batch.column("text")
+        text = pc.fill_null(text, "") if text.null_count else text
         ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
         part = (ends - 1).clip(0) // limit
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield batch.slice(a, b - a), text.slice(a, b - a)
+            pa.default_memory_pool().release_unused()
 
 
 def ids_of(batch: pa.RecordBatch) -> pa.Array:

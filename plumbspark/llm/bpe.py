@@ -177,7 +177,7 @@ class Encoder:
     are cut at ASCII white space and the ids of a chunk are remembered, up to ``memory`` chunks; else
     whole texts go to the library."""
 
-    def __init__(self, path: str, memory: int = 500_000):
+    def __init__(self, path: str, memory: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -188,12 +188,18 @@ class Encoder:
         self.width = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self.memory = memory
         self.known: dict[str, bytes] = {}
+        symbols = byte_symbols()
+        self._symbols = {c: "".join(symbols[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array("H" if self.width is np.uint16 else "I", ids).tobytes()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [self._bytes(e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for a in range(0, len(texts), 2048):  # an encoding holds far more than its ids
+            part = self.library.encode_batch(texts[a : a + 2048], add_special_tokens=False)
+            out += [self._bytes(e.ids) for e in part]
+        return out
 
     def _lookup(self, keys: list[str], make) -> list[bytes]:
         get = self.known.get
@@ -207,9 +213,10 @@ class Encoder:
         return found
 
     def _plain(self, words: list[str]) -> list[bytes]:
-        """Lower-case ASCII letters: one pre-token, so the library's model sees the word itself."""
-        tokenize = self.library.model.tokenize
-        return [self._bytes([t.id for t in tokenize(w)]) for w in words]
+        """Lower-case letters of Latin-1, which normalization leaves alone: one pre-token, so the
+        library's model sees the word itself in byte symbols."""
+        tokenize, symbols = self.library.model.tokenize, self._symbols
+        return [self._bytes([t.id for t in tokenize(w if w.isascii() else w.translate(symbols))]) for w in words]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the offsets of the texts."""
@@ -221,20 +228,25 @@ class Encoder:
             return np.frombuffer(b"".join(parts), self.width), np.concatenate([[0], np.cumsum(sizes)])
         words = Words(texts)
         core = pc.ascii_rtrim(words.unique, ".,")
-        plain = pc.match_substring_regex(core, "^[A-Za-z]+$").to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(core, "^[A-Za-zÀ-ÖØ-öø-ÿ]+$").to_numpy(zero_copy_only=False)
         chosen = pa.array(plain)
-        head = pc.ascii_lower(core.filter(chosen))
-        long = pc.binary_length(words.unique.filter(chosen)).to_numpy(zero_copy_only=False)
-        short = pc.binary_length(head).to_numpy(zero_copy_only=False)
-        heads = head.dictionary_encode()
-        codes = heads.indices.to_numpy(zero_copy_only=False)
+        full, core = words.unique.filter(chosen), core.filter(chosen)
+        heads = pc.utf8_lower(core).dictionary_encode()
         made = self._lookup(heads.dictionary.to_pylist(), self._plain)
-        full = words.unique.filter(chosen).to_pylist() if len(long) else []
-        tails = [w[s:] if l > s else "" for w, s, l in zip(full, short.tolist(), long.tolist())]
-        ends = {t: (self._lookup([t], self._whole)[0] if t else b"") for t in set(tails)}
+        codes = heads.indices.to_numpy(zero_copy_only=False)
+        short = pc.binary_length(core).to_numpy(zero_copy_only=False)
+        tailed = np.flatnonzero(pc.binary_length(full).to_numpy(zero_copy_only=False) > short)
         ids: list[bytes] = [b""] * len(words.unique)
-        for i, c, t in zip(np.flatnonzero(plain).tolist(), codes.tolist(), tails):
-            ids[i] = made[c] + ends[t]
+        own = np.flatnonzero(plain)
+        for i, c in zip(own.tolist(), codes.tolist()):
+            ids[i] = made[c]
+        ends: dict[str, bytes] = {}
+        lengths = pc.utf8_length(core.take(pa.array(tailed))).to_pylist()
+        for i, w, n in zip(own[tailed].tolist(), full.take(pa.array(tailed)).to_pylist(), lengths):
+            tail = w[n:]
+            if tail not in ends:
+                ends[tail] = self._whole([tail])[0]
+            ids[i] += ends[tail]
         rest = np.flatnonzero(~plain)
         for i, v in zip(rest.tolist(), self._lookup(words.unique.filter(pa.array(~plain)).to_pylist(), self._whole)):
             ids[i] = v

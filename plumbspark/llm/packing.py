@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbspark.llm.blocks import mix
 from plumbspark.llm.storage import written
-from plumbspark.llm.token_files import flat_ids, tokenized
+from plumbspark.llm.token_files import flat_ids, id_type, slices, tokenized
 
 DIMENSIONS = 3
 BITS = 12
@@ -53,18 +53,18 @@ def signs(ids: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
     return 1.0 - 2.0 * ((h[:, None] >> np.arange(dimensions, dtype=np.uint64)) & np.uint64(1)).astype(np.float64)
 
 
-def projected(tokens: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+def projected(tokens: DataFrame, kind: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """Adds ``point``: the mean of the projected one-hot vectors of the document's ids."""
 
     def project(batches):
         table = signs(np.arange(1 << 16), dimensions)
-        for b in batches:
-            ids = flat_ids(b.column("ids"))
+        for b in slices(batches):
+            ids = flat_ids(b.column("ids"), kind)
             if len(ids) and ids.max() >= len(table):
                 table = signs(np.arange(int(ids.max()) + 1), dimensions)
             n = b.column("n_tokens").to_numpy()
             starts = np.cumsum(n) - n
-            point = np.add.reduceat(table[ids], starts) / n[:, None] if b.num_rows else np.zeros((0, dimensions))
+            point = np.add.reduceat(table[ids], starts) / n[:, None]
             lists = pa.FixedSizeListArray.from_arrays(pa.array(point.ravel()), dimensions).cast(pa.list_(pa.float64()))
             yield b.append_column("point", lists)
 
@@ -82,7 +82,7 @@ def curve_order(points: DataFrame, bits: int = BITS, dimensions: int = DIMENSION
     deviation[deviation == 0] = 1.0
 
     def place(batches):
-        for b in batches:
+        for b in slices(batches):
             p = np.array(b.column("point").to_pylist(), np.float64).reshape(-1, dimensions)
             share = 1 / (1 + np.exp(-1.702 * ((p - mean) / deviation).clip(-20, 20)))  # about the normal share below
             grid = np.minimum((share * (1 << bits)).astype(np.int64), (1 << bits) - 1)
@@ -94,7 +94,8 @@ def curve_order(points: DataFrame, bits: int = BITS, dimensions: int = DIMENSION
 def packed(
     docs: DataFrame, vocabulary: str, end_id: int, length: int = 2048, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Pieces of documents in sequences of ``length`` ids: doc_id, start, length, doc_tokens, sequence_id, offset, ids.
+    """Pieces of documents in sequences of ``length`` ids: doc_id, start, length, doc_tokens, sequence_id, offset, and
+    ids as bytes of ``id_type``.
 
     Documents lie one after another along the Hilbert curve; a sequence is ``length`` ids of that line, so
     only the very last one needs padding. Rows are dealt out by ranges of (curve, hash of the id, doc_id), so
@@ -104,8 +105,9 @@ def packed(
     NULL and empty texts hold the end id alone; NULL and repeated doc_ids stay rows of their own; an empty
     table gives no pieces. A document longer than a sequence is cut into pieces.
     """
-    spark = docs.sparkSession
-    points = written(projected(tokenized(docs, vocabulary, end_id, id_col, text_col)), "packing-points")
+    spark, kind = docs.sparkSession, id_type(vocabulary, end_id)
+    width = np.dtype(kind).itemsize
+    points = written(projected(tokenized(docs, vocabulary, end_id, id_col, text_col), kind), "packing-points")
     order = [F.col("curve"), F.xxhash64("doc_id"), F.col("doc_id")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     line = curve_order(points).repartitionByRange(parts, *order).sortWithinPartitions(*order, "ids")
@@ -113,11 +115,11 @@ def packed(
 
     def walk(batches):
         at = 0
-        for b in batches:
+        for b in slices(batches):
             n = b.column("n_tokens").to_numpy()
             ends = at + np.cumsum(n)
             yield b.drop_columns(["curve"]).append_column("local", pa.array((ends - n).astype(np.int64)))
-            at = int(ends[-1]) if len(ends) else at
+            at = int(ends[-1])
 
     laid = written(line.mapInArrow(walk, "doc_id long, n_tokens long, ids binary, range int, local long"), "packing-line")
     totals = laid.groupBy("range").agg(F.sum("n_tokens").alias("n"))
@@ -129,14 +131,14 @@ def packed(
     )
 
     def cut(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for doc_id, n, at, ids in zip(*(b.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "at", "ids"))):
                 start = 0
                 while start < n:
                     offset = (at + start) % length
                     size = min(length - offset, n - start)
-                    rows.append((doc_id, start, size, n, (at + start) // length, offset, ids[4 * start : 4 * (start + size)]))
+                    rows.append((doc_id, start, size, n, (at + start) // length, offset, ids[width * start : width * (start + size)]))
                     start += size
             columns = zip(*rows) if rows else [[]] * 7
             kinds = [pa.int64()] * 6 + [pa.binary()]

@@ -12,6 +12,6 @@ def written(df: DataFrame, purpose: str, partition_by: tuple[str, ...] = ()) ->
     lost executor takes nothing with it."""
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
-    out = df.write.option("compression", "zstd")
+    out = df.write.option("compression", "lz4_raw")
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -83,36 +83,53 @@ class TokenFiles:
     starts: DataFrame
 
 
+def id_type(vocabulary: str, end_id: int) -> str:
+    """Little-endian unsigned integers that hold all ids: two bytes each where they suffice."""
+    return "<u2" if max(encoder(vocabulary).library.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
+
+
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's ids with the end id as little-endian unsigned 32-bit bytes, and their number."""
+    """Each document's ids with the end id as bytes of ``id_type``, and their number."""
+    kind = id_type(vocabulary, end_id)
 
     def encode(batches):
         library = encoder(vocabulary)
-        for rows, texts in blocks(batches):
+        for rows, texts in blocks(batches, 6 << 20):
             ids, offsets = library.encode(texts)
-            ids = np.insert(ids.astype("<u4"), offsets[1:], end_id)
-            offsets = (offsets + np.arange(len(offsets))).astype(np.int64)
-            column = pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), len(texts), [None, pa.py_buffer(4 * offsets), pa.py_buffer(ids)]
-            )
+            ids = np.insert(ids.astype(kind), offsets[1:], end_id)
+            offsets = offsets + np.arange(len(offsets))
+            ends = pa.py_buffer((ids.itemsize * offsets).astype(np.int32))
+            column = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, ends, pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays(
-                [ids_of(rows), pa.array(np.diff(offsets)), column.cast(pa.binary())], ["doc_id", "n_tokens", "ids"]
+                [ids_of(rows), pa.array(np.diff(offsets).astype(np.int64)), column], ["doc_id", "n_tokens", "ids"]
             )
 
     return rows_of(docs, id_col, text_col).mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
 
 
-def flat_ids(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4")
+def flat_ids(column: pa.BinaryArray, kind: str) -> np.ndarray:
+    """All ids of a binary column without NULLs, without a copy."""
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return np.empty(0, kind)
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind)
+
+
+def slices(batches, rows: int = 1000):
+    """Batches of ``rows`` rows at most."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
-def id_counts(tokens: DataFrame) -> DataFrame:
+def id_counts(tokens: DataFrame, kind: str) -> DataFrame:
     """(id, n) over all documents; each task adds up before the shuffle."""
 
     def count(batches):
         total = np.zeros(0, np.int64)
-        for batch in batches:
-            n = np.bincount(flat_ids(batch.column("ids")), minlength=len(total))
+        for batch in slices(batches):
+            n = np.bincount(flat_ids(batch.column("ids"), kind), minlength=len(total))
             n[: len(total)] += total
             total = n
         at = np.flatnonzero(total)
@@ -121,13 +138,13 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     return tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_token_files(tokens: DataFrame, path: str, shards: int | None = None) -> TokenFiles:
+def write_token_files(tokens: DataFrame, kind: str, path: str, shards: int | None = None) -> TokenFiles:
     """Write (doc_id, n_tokens, ids) in ascending doc_id order; NULL ids come first, equal ids by their bytes.
 
     The rank table has one entry for each id in use: bounded by the vocabulary. Rows are dealt out by
     ranges of (doc_id, hash of the ids), so repeated ids can't gather in one task."""
     spark = tokens.sparkSession
-    ranked = id_counts(tokens).orderBy(F.desc("n"), "id").collect()
+    ranked = id_counts(tokens, kind).orderBy(F.desc("n"), "id").collect()
     id_of_rank = np.array([r.id for r in ranked], "<u4")
     rank_of_id = np.zeros(int(id_of_rank.max(initial=0)) + 1, "<u4")
     rank_of_id[id_of_rank] = np.arange(len(id_of_rank))
@@ -155,9 +172,9 @@ def write_token_files(tokens: DataFrame, path: str, shards: int | None = None) -
     def write(batches):
         number = start = held = 0
         doc_ids, lengths, parts, shard = [], [], [], None
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, raw, shard in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "shard"))):
-                ids = np.frombuffer(raw, "<u4")
+                ids = np.frombuffer(raw, kind)
                 doc_ids.append(doc_id)
                 lengths.append(len(ids))
                 parts.append(ids)
@@ -182,7 +199,7 @@ def read_token_files(spark: SparkSession, files: TokenFiles) -> DataFrame:
     ids_by_rank = spark.sparkContext.broadcast(files.id_of_rank)
 
     def read(batches):
-        for batch in batches:
+        for batch in slices(batches, 8):
             columns = (batch.column(c).to_pylist() for c in ("begin", "doc_ids", "payload"))
             for begin, doc_ids, payload in zip(*columns):
                 lengths, ranks = decode_block(payload)
@@ -213,16 +230,32 @@ def token_file_round_trip(docs: DataFrame, vocabulary: str, end_id: int, id_col:
     """
     spark = docs.sparkSession
     tokens = written(tokenized(docs, vocabulary, end_id, id_col, text_col), "token-ids")
-    return read_token_files(spark, write_token_files(tokens, shared_folder(spark, "token-files")))
+    return read_token_files(spark, write_token_files(tokens, id_type(vocabulary, end_id), shared_folder(spark, "token-files")))
 
 
-def crc_of(rows: DataFrame) -> DataFrame:
-    """Adds ids_crc32 from the bytes in ``ids``, which leave."""
+def crc_of(rows: DataFrame, kind: str = "<u4") -> DataFrame:
+    """Adds ids_crc32, of the ids as 32-bit integers, from the bytes in ``ids``, which leave."""
 
     def crc(batches):
-        for b in batches:
-            sums = pa.array([zlib.crc32(x) for x in b.column("ids").to_pylist()], pa.int64())
+        for b in slices(batches):
+            ids = (np.frombuffer(x, kind).astype("<u4") for x in b.column("ids").to_pylist())
+            sums = pa.array([zlib.crc32(x) for x in ids], pa.int64())
             yield b.drop_columns(["ids"]).append_column("ids_crc32", sums)
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "ids")
     return rows.mapInArrow(crc, f"{kept}, ids_crc32 long")
+
+
+def ids_listed(rows: DataFrame, kind: str) -> DataFrame:
+    """The bytes in ``ids`` as an array of integers."""
+
+    def listed(batches):
+        for b in slices(batches):
+            at = b.schema.get_field_index("ids")
+            ids = flat_ids(b.column("ids"), kind).astype(np.int32)
+            sizes = [len(x) // np.dtype(kind).itemsize for x in b.column("ids").to_pylist()]
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            yield b.set_column(at, "ids", pa.ListArray.from_arrays(ends, pa.array(ids)))
+
+    fields = ", ".join(f"{f.name} {'array<int>' if f.name == 'ids' else f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(listed, fields)
