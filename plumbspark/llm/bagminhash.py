@@ -252,5 +252,7 @@ def one_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") ->
     again = times.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 1 AND doc_id IS NOT NULL")
     again = again.select(F.col("doc_id").alias(id_col))
     left = docs.join(drop, id_col, "left_anti")
+    if again.isEmpty():
+        return left
     once = left.join(again, id_col, "left_anti")
     return once.unionByName(left.join(again, id_col, "left_semi").dropDuplicates([id_col]))

@@ -15,8 +15,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbspark.llm.blocks import blocks, ids_of, rows_of, split_flat
+from plumbspark.llm.blocks import blocks, rows_of, split_flat
 from plumbspark.llm.cuckoo import CuckooFilter
 from plumbspark.llm.storage import written
 
@@ -154,16 +155,34 @@ def without_common_lines(
     A key is the line without ASCII white space at both ends, ASCII letters lower-cased; keys shorter than
     ``min_chars`` code points stay. One row for each row of ``docs``, repeated rows (each counts as a
     document) and NULL ids included. A NULL or empty text is one empty line. A text that loses all lines
-    becomes empty. ``docs`` must be part of what the index counted.
+    becomes empty. ``docs`` must be part of what the index counted. An empty table gives no rows.
 
     The filters go to the tasks while they measure ``shared_bytes`` at most; a larger index is joined with
     the lines by their key, to the same result.
     """
-    spark = docs.sparkSession
-    rows = rows_of(docs, id_col, text_col)
+    rows = rows_of(docs, id_col, text_col).withColumnRenamed("doc_id", "carry")
+    return _dropped(rows, index, shared_bytes).withColumnRenamed("carry", "doc_id")
+
+
+def common_lines_dropped(docs: DataFrame, index: LineIndex, shared_bytes: int = SHARED_BYTES) -> DataFrame:
+    """``docs`` with shorter texts: all columns stay, ``n_chars`` follows the text where it is there and
+    the text lost lines; a NULL text stays NULL."""
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    rows = docs.select(F.struct(others.alias("row"), F.isnull("text").alias("none")).alias("carry"), "text")
+    kept = _dropped(rows, index, shared_bytes)
+    new = {"text": F.when(~F.col("carry.none"), F.col("kept"))}
+    if "n_chars" in docs.columns:
+        count = F.length("kept").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("n_dropped") > 0, count).otherwise(F.col("carry.row.n_chars"))
+    return kept.select(*[new.get(c, F.col(f"carry.row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def _dropped(rows: DataFrame, index: LineIndex, shared_bytes: int) -> DataFrame:
+    """(carry, n_lines, n_dropped, kept) of rows (carry, text)."""
+    spark = rows.sparkSession
     bytes_ = index.filters.agg(F.sum(F.length("content"))).first()[0] or 0
     if bytes_ > shared_bytes:
-        return _without_common_lines_joined(rows, index)
+        return _dropped_joined(rows, index)
     shards, min_chars = index.shards, index.min_chars
     filters = spark.sparkContext.broadcast({r.shard: r.content for r in index.filters.collect()})
 
@@ -179,7 +198,7 @@ def without_common_lines(
     rare = index.counts.where(F.col("n") < index.min_docs).select("high", "low")
     exceptions = written(rare.mapInArrow(wrong, "high long, low long"), "line-exceptions")
     if 64 * exceptions.count() > shared_bytes:
-        return _without_common_lines_joined(rows, index)
+        return _dropped_joined(rows, index)
     except_ = spark.sparkContext.broadcast({(r.high, r.low) for r in exceptions.collect()})
 
     def drop(batches):
@@ -192,7 +211,12 @@ def without_common_lines(
                     common[i] = False
             yield _kept(part, texts, row, common[code])
 
-    return rows.mapInArrow(drop, "doc_id long, n_lines long, n_dropped long, kept string")
+    return rows.mapInArrow(drop, _kept_schema(rows))
+
+
+def _kept_schema(rows: DataFrame) -> T.StructType:
+    carry = T.StructType([T.StructField("carry", rows.schema["carry"].dataType)])
+    return carry.add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
 
 
 def _kept(part: pa.RecordBatch, texts: pa.Array, row: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
@@ -203,11 +227,11 @@ def _kept(part: pa.RecordBatch, texts: pa.Array, row: np.ndarray, gone: np.ndarr
     for i in np.flatnonzero(n_dropped):
         stay = ~gone[ends[i] - n_lines[i] : ends[i]]
         kept[i] = "\n".join(line for line, s in zip(kept[i].split("\n"), stay.tolist()) if s)
-    arrays = [ids_of(part), pa.array(n_lines), pa.array(n_dropped), pa.array(kept, pa.string())]
-    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_lines", "n_dropped", "kept"])
+    arrays = [part.column("carry"), pa.array(n_lines), pa.array(n_dropped), pa.array(kept, pa.string())]
+    return pa.RecordBatch.from_arrays(arrays, ["carry", "n_lines", "n_dropped", "kept"])
 
 
-def _without_common_lines_joined(rows: DataFrame, index: LineIndex) -> DataFrame:
+def _dropped_joined(rows: DataFrame, index: LineIndex) -> DataFrame:
     """The same by a join of line keys with the counts: texts are known by a digest, so copies meet once."""
     min_chars = index.min_chars
 
@@ -228,13 +252,15 @@ def _without_common_lines_joined(rows: DataFrame, index: LineIndex) -> DataFrame
     def named(batches):
         for part, texts in blocks(batches):
             digest = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts.to_pylist()]
-            arrays = [ids_of(part), texts, pa.array(digest, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", "digest"])
+            arrays = [part.column("carry"), texts, pa.array(digest, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["carry", "text", "digest"])
 
     common = index.counts.where(F.col("n") >= index.min_docs).select("high", "low")
     found = rows.mapInArrow(lines, "digest binary, number long, high long, low long").join(common, ["high", "low"])
     gone = found.groupBy("digest").agg(F.collect_set("number").alias("gone"))
-    whole = rows.mapInArrow(named, "doc_id long, text string, digest binary").join(gone, "digest", "left")
+    schema = T.StructType([T.StructField("carry", rows.schema["carry"].dataType)])
+    schema = schema.add("text", "string").add("digest", "binary")
+    whole = rows.mapInArrow(named, schema).join(gone, "digest", "left")
 
     def drop(batches):
         for part, texts in blocks(batches):
@@ -246,4 +272,4 @@ def _without_common_lines_joined(rows: DataFrame, index: LineIndex) -> DataFrame
                 marked[starts[i] + np.array(numbers or [], np.int64)] = True
             yield _kept(part, texts, row, marked)
 
-    return whole.select("doc_id", "text", "gone").mapInArrow(drop, "doc_id long, n_lines long, n_dropped long, kept string")
+    return whole.select("carry", "text", "gone").mapInArrow(drop, _kept_schema(rows))

@@ -192,4 +192,18 @@ def quality_scores(
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-__all__ = ["QualityModel", "fit_quality", "labels_of", "quality_scores", "statistics", "text_statistics"]
+def kept_by_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, that score ``threshold`` or more. Every row is scored in its task by the
+    model of quality_scores; without labels to learn from all rows stay."""
+    model = fit_quality(written(text_statistics(docs), "quality-statistics"), labels)
+    if model is None:
+        return docs
+
+    def keep(batches):
+        for part, texts in blocks(batches, 4 << 20):
+            yield part.filter(pa.array(model.score(statistics(texts)) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+__all__ = ["QualityModel", "fit_quality", "kept_by_quality", "labels_of", "quality_scores", "statistics", "text_statistics"]

@@ -170,3 +170,10 @@ def op9_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from plumbspark.llm.decontamination import contaminated
 
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from plumbspark.llm.secret_scan import secret_spans
+
+    return secret_spans(table(spark, folder, "documents"))
