@@ -100,7 +100,7 @@ def active(feature: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray
     return pairs // size, pairs % size
 
 
-def minimised(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, rounds: int = 30, memory: int = 8) -> np.ndarray:
+def minimised(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, rounds: int = 40, memory: int = 8) -> np.ndarray:
     """Limited-memory BFGS; ``loss`` gives value and gradient, each by one job over the fitting rows."""
     x, (value, slope) = start, loss(start)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
@@ -133,15 +133,15 @@ def minimised(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, features: int = 4096, least: int = 3, ridge: float = 1e-4, fit_rows: int = FIT_ROWS
+    docs: DataFrame, labels: DataFrame, features: int = 4096, least: int = 3, ridge: float = 1e-5, fit_rows: int = FIT_ROWS
 ) -> ToxicityModel | None:
-    """The log-count ratios come from all labelled documents outside fold 0; the ``features`` n-gram
-    buckets that tell the labels apart best (by their likelihood ratio) become features, so a model's size is
-    fixed; the weights come from about ``fit_rows`` labelled documents at most. None without both labels."""
+    """The log-count ratios come from all labelled documents outside fold 0. A bucket whose likelihood
+    ratio is no more than the best of as many chance buckets would show teaches noise and is left out; of the
+    others the ``features`` strongest at most serve, so a model's size is fixed. The weights come from about ``fit_rows`` labelled documents at most. None without both labels."""
     known = teaching(docs, labels).select("doc_id", "text", "label")
     counts = gram_counts(known).where(F.col("toxic") + F.col("clean") >= least)
     counts = written(counts, "toxicity-counts")
-    totals = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
+    totals = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("*").alias("n")).first()
     if not totals.toxic or not totals.clean:
         return None
     share = F.lit(totals.toxic / (totals.toxic + totals.clean))
@@ -151,7 +151,8 @@ def fit_toxicity(
         return F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
 
     strength = part(F.col("toxic"), both * share) + part(F.col("clean"), both * (1 - share))
-    chosen = counts.withColumn("strength", strength).orderBy(F.desc("strength"), "bucket").limit(features).collect()
+    telling = counts.withColumn("strength", strength).where(F.col("strength") >= float(np.log(totals.n)) - 2)
+    chosen = telling.orderBy(F.desc("strength"), "bucket").limit(features).collect()
     bucket, toxic, clean = (np.array([r[c] for r in chosen], float) for c in ("bucket", "toxic", "clean"))
     ratio = np.log((toxic + 1) / (totals.toxic + 1)) - np.log((clean + 1) / (totals.clean + 1))
     feature = np.full(1 << BITS, -1, np.int32)
