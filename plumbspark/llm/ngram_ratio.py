@@ -58,7 +58,8 @@ def gram_buckets(words: Words, hashes: np.ndarray, bits: int) -> tuple[np.ndarra
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, bits: int = BITS) -> np.ndarray:
-    """log p(bucket | trusted) - log p(bucket | raw), both with one added to each of 2^bits buckets.
+    """log p(bucket | trusted) - log p(bucket | raw). One is added to each of the 2^bits raw counts, and as many
+    in all to the trusted counts in the raw proportions, so a small target says little rather than less.
 
     The raw counts are of all documents, the trusted of those whose id is in ``trusted``. Each task sums its
     texts; what reaches the driver is one row for each bucket, whatever the corpus."""
@@ -78,11 +79,12 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, bits: int = BITS) -> np.ndar
 
     found = marked.select("text", "trusted").mapInArrow(count, "bucket long, raw long, target long")
     sums = found.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
-    counts = np.ones((2, 1 << bits))
+    raw, target = np.ones(1 << bits), np.zeros(1 << bits)
     for r in sums:
-        counts[:, r.bucket] += r.target, r.raw
-    logs = np.log(counts) - np.log(counts.sum(axis=1, keepdims=True))
-    return logs[0] - logs[1]
+        raw[r.bucket] += r.raw
+        target[r.bucket] += r.target
+    share = raw / raw.sum()
+    return np.log((target + len(share) * share) / (target.sum() + len(share)) / share)
 
 
 def quality_rules(
@@ -104,9 +106,7 @@ def quality_rules(
     ratio 0, base_failed. An empty table gives no rows.
     """
     rows = rows_of(docs, id_col, text_col)
-    table = log_ratios(rows, trusted, bits)
-    # without one trusted n-gram the target is the flat prior, and the ratios would only measure rarity
-    ratios = rows.sparkSession.sparkContext.broadcast(table if _any(rows, trusted) else np.zeros_like(table))
+    ratios = rows.sparkSession.sparkContext.broadcast(log_ratios(rows, trusted, bits))
 
     def judge(batches):
         for part, texts in blocks(batches, 6 << 20):
@@ -127,8 +127,3 @@ def quality_rules(
         "base_failed boolean, kept boolean, ratio double"
     )
     return rows.mapInArrow(judge, schema)
-
-
-def _any(rows: DataFrame, trusted: DataFrame) -> bool:
-    ids = trusted.select(F.col(trusted.columns[0]).cast("bigint").alias("doc_id"))
-    return not rows.select("doc_id").join(ids, "doc_id", "left_semi").isEmpty()
