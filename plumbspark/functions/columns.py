@@ -41,6 +41,11 @@ def clean(field: T.StructField) -> Column:
     return c
 
 
+def cleaned(df: DataFrame) -> DataFrame:
+    """The frame with NaN read as NULL in every floating column."""
+    return df.select(*[clean(f).alias(f.name) for f in df.schema.fields])
+
+
 def clean_column(df: DataFrame, name: str) -> Column:
     return clean(df.schema[name])
 

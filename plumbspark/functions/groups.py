@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbspark.functions.columns import quoted
+from plumbspark.functions.sizes import is_small
 
-# Up to this many groups a row per group (some hundred bytes) is broadcast.
-BROADCAST_GROUPS = 200_000
+#: Bytes that a group's aggregates may add to its key, with room to spare.
+_AGGREGATES = 512
 
 
 def attach_one(df: DataFrame, one_row: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -21,9 +22,11 @@ def attach_one(df: DataFrame, one_row: DataFrame, names: Sequence[str]) -> DataF
     )
 
 
-def count_groups(df: DataFrame, by: Sequence[str]) -> int:
-    """Number of groups: reads the group columns only."""
-    return df.select(*by).distinct().count()
+def few_groups(df: DataFrame, by: Sequence[str]) -> bool:
+    """Whether one row for each group, measured in bytes with its key, is small enough to broadcast.
+
+    Reads the group columns only. The answer changes the plan of a join, never its rows."""
+    return is_small(df.select(*by).distinct(), row_overhead=_AGGREGATES)
 
 
 def same_group(by: Sequence[str], left: str, right: str) -> Column:
@@ -34,16 +37,15 @@ def same_group(by: Sequence[str], left: str, right: str) -> Column:
     return out
 
 
-def attach(df: DataFrame, per_group: DataFrame, by: Sequence[str], names: Sequence[str], groups: int | None) -> DataFrame:
+def attach(
+    df: DataFrame, per_group: DataFrame, by: Sequence[str], names: Sequence[str], few: bool | None = None
+) -> DataFrame:
     """Rows of ``df`` with the named columns of their group.
 
-    ``groups`` bounds the size of ``per_group``; it is counted when not given. Few
-    groups are broadcast, so the rows stay where they are. Many groups take a
-    join on the group, whose hot partitions Spark splits at run time.
+    ``few`` is an earlier answer of ``few_groups`` for the same rows. Few groups are broadcast, so the rows
+    stay where they are. Many groups take a join on the group, whose hot partitions Spark splits at run time.
     """
-    if groups is None:
-        groups = count_groups(df, by)
-    side = F.broadcast(per_group) if groups <= BROADCAST_GROUPS else per_group
+    side = F.broadcast(per_group) if (few_groups(df, by) if few is None else few) else per_group
     return df.alias("d").join(side.alias("g"), same_group(by, "d", "g"), "left").select(
         "d.*", *[F.col(f"g.{quoted(n)}") for n in names]
     )

@@ -1,7 +1,6 @@
 """Exact linear-interpolation quantiles, per group or over a whole table.
 
-Spark's built-in ``percentile`` keeps a value -> count map per group in one
-task, so it only gets groups whose row count is bounded. Larger ones take:
+Spark's built-in ``percentile`` keeps a value -> count map per group in one task. Instead:
 
 1. one or more sketch rounds: ``percentile_approx`` on a grid of fractions gives
    a bracket of two values around every wanted rank; the next round looks only
@@ -11,7 +10,8 @@ task, so it only gets groups whose row count is bounded. Larger ones take:
    rows inside a bracket to one count per distinct value;
 3. a running sum over the bracket, which picks the two order statistics.
 
-A bracket that missed its rank raises an error; it never yields a wrong value.
+Every size takes this way; the number of rounds alone follows the rows. A
+bracket that missed its rank raises an error; it never yields a wrong value.
 """
 
 from __future__ import annotations
@@ -21,10 +21,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbspark.functions.groups import BROADCAST_GROUPS, attach, attach_one, count_groups
+from plumbspark.functions.columns import quoted
+from plumbspark.functions.groups import attach, attach_one, few_groups, same_group
 
-IN_TASK_ROWS = 3_000_000  # of all groups together
-GROUP_ROWS = 10_000  # of one group among many
 ACCURACY = 2_000
 GRID = 500
 BRACKET_ROWS = 4_000_000
@@ -40,37 +39,22 @@ def exact_quantiles(
     names: Sequence[str],
     by: Sequence[str] = (),
     rows: int | None = None,
-    groups: int | None = None,
-    in_task_rows: int | None = None,
     rounds: int | None = None,
+    few: bool | None = None,
 ) -> DataFrame:
-    """``[*by, n, *names]``: values counted and one quantile per fraction; NULLs are skipped.
+    """``[*by, n, *names]``: values counted and one quantile per fraction. NULL and NaN are no values.
 
-    ``rows`` and ``groups`` save counting jobs when the caller knows upper bounds.
-    Beyond ``in_task_rows`` rows a group without any value may have no row.
+    One row for each group, and one for a whole table, also where there is no value: ``n`` is 0 and the
+    quantiles NULL. ``rows`` and ``few`` (see ``few_groups``) save a job each when the caller knows them.
     """
     by, fractions, names = list(by), [float(f) for f in fractions], list(names)
-    data = df.select(*by, value.cast("double").alias(_V))
-    if rows is None:
-        rows = df.count()
-    if in_task_rows is None:
-        in_task_rows = IN_TASK_ROWS
-    if rows <= in_task_rows:
-        return _in_task(data, fractions, names, by)
+    number = value.cast("double")
+    data = df.select(*by, F.when(~F.isnan(number), number).alias(_V))
     if rounds is None:
-        rounds = sketch_rounds(rows)
-    present = data.filter(F.col(_V).isNotNull())
-    if by and groups is None:
-        groups = count_groups(df, by)
-    if not by or groups <= BROADCAST_GROUPS:
-        return _bracketed(present, fractions, names, by, rounds)
-    # Many groups: those above the limit are at most rows / limit, so their keys can be broadcast.
-    limit = max(GROUP_ROWS, -(-rows // BROADCAST_GROUPS))
-    large = present.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
-    marked = attach(present, large, by, ["__n"], groups=0)
-    few = marked.filter(F.col("__n").isNotNull()).drop("__n")
-    many = marked.filter(F.col("__n").isNull()).drop("__n")
-    return _bracketed(few, fractions, names, by, rounds).unionByName(_in_task(many, fractions, names, by))
+        rounds = sketch_rounds(df.count() if rows is None else rows)
+    if by and few is None:
+        few = few_groups(df, by)
+    return _bracketed(data, fractions, names, by, rounds, bool(few))
 
 
 def sketch_rounds(rows: int) -> int:
@@ -82,12 +66,6 @@ def sketch_rounds(rows: int) -> int:
     return rounds
 
 
-def _in_task(data: DataFrame, fractions: list[float], names: list[str], by: list[str]) -> DataFrame:
-    packed = F.percentile(_V, F.array(*[F.lit(f) for f in fractions])).alias("__q")
-    out = data.groupBy(*by).agg(F.count(_V).alias("n"), packed)
-    return out.select(*by, "n", *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
-
-
 def approx_quantiles(
     df: DataFrame,
     value: Column,
@@ -97,7 +75,8 @@ def approx_quantiles(
     accuracy: int = 10_000,
 ) -> DataFrame:
     """One-pass estimate of the same quantiles (rank error at most rows / accuracy)."""
-    data = df.select(*by, value.cast("double").alias(_V))
+    number = value.cast("double")
+    data = df.select(*by, F.when(~F.isnan(number), number).alias(_V))
     packed = F.percentile_approx(_V, [float(f) for f in fractions], accuracy).alias("__q")
     out = data.groupBy(*by).agg(F.count(_V).alias("n"), packed)
     return out.select(*by, "n", *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
@@ -116,10 +95,12 @@ def _bracket(low: Column, high: Column, grid: Column) -> tuple[Column, Column]:
     return F.get(grid, F.least(first, F.lit(GRID))), F.get(grid, F.greatest(last, F.lit(0)))
 
 
-def _sketched(present: DataFrame, fractions: list[float], by: list[str], rounds: int) -> tuple[DataFrame, list[str]]:
-    """Per group the row count ``__n`` and a bracket ``lo_i``, ``hi_i`` per fraction."""
+def _sketched(
+    data: DataFrame, fractions: list[float], by: list[str], rounds: int, few: bool
+) -> tuple[DataFrame, list[str]]:
+    """Per group the values counted ``__n`` and a bracket ``lo_i``, ``hi_i`` per fraction, NULL without values."""
     n, g = F.col("__n"), F.col("__g")
-    first = present.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), _grid(F.col(_V)).alias("__g"))
+    first = data.groupBy(*by).agg(F.count(_V).alias("__n"), _grid(F.col(_V)).alias("__g"))
     edges, names = [], ["__n"]
     for i, f in enumerate(fractions):
         lo, hi = _bracket(F.lit(f), F.lit(f), g)
@@ -128,7 +109,7 @@ def _sketched(present: DataFrame, fractions: list[float], by: list[str], rounds:
     brackets = first.select(*by, "__n", *edges)
 
     for _ in range(rounds - 1):
-        rows = _with(present, brackets, by, names)
+        rows = _with(data, brackets, by, names, few)
         aggs = []
         for i in range(len(fractions)):
             v, lo, hi = F.col(_V), F.col(f"lo_{i}"), F.col(f"hi_{i}")
@@ -138,26 +119,26 @@ def _sketched(present: DataFrame, fractions: list[float], by: list[str], rounds:
                 F.count_if(inside).alias(f"inside_{i}"),
                 _grid(F.when(inside, v)).alias(f"g_{i}"),
             ]
-        inner = rows.groupBy(*by).agg(F.max("__n").alias("__n"), *aggs)
+        inner = rows.groupBy(*by).agg(F.coalesce(F.max("__n"), F.lit(0)).alias("__n"), *aggs)
         edges = []
         for i, f in enumerate(fractions):
             pos, below, inside = F.lit(f) * (n - 1), F.col(f"below_{i}"), F.col(f"inside_{i}")
-            lo, hi = _bracket((F.floor(pos) - below) / inside, (F.ceil(pos) - below + 1) / inside, F.col(f"g_{i}"))
+            low, high = F.try_divide(F.floor(pos) - below, inside), F.try_divide(F.ceil(pos) - below + 1, inside)
+            lo, hi = _bracket(low, high, F.col(f"g_{i}"))
             edges += [lo.alias(f"lo_{i}"), hi.alias(f"hi_{i}")]
         brackets = inner.select(*by, "__n", *edges)
     return brackets, names
 
 
-def _with(rows: DataFrame, brackets: DataFrame, by: list[str], names: list[str]) -> DataFrame:
-    if not by:
-        return attach_one(rows, brackets, names)
-    return attach(rows, brackets, by, names, groups=0)  # the caller bounded the number of groups
+def _with(rows: DataFrame, brackets: DataFrame, by: list[str], names: list[str], few: bool) -> DataFrame:
+    return attach(rows, brackets, by, names, few) if by else attach_one(rows, brackets, names)
 
 
 def _bracketed(
-    present: DataFrame, fractions: list[float], names: list[str], by: list[str], rounds: int
+    data: DataFrame, fractions: list[float], names: list[str], by: list[str], rounds: int, few: bool
 ) -> DataFrame:
-    brackets, columns = _sketched(present, fractions, by, rounds)
+    brackets, columns = _sketched(data, fractions, by, rounds, few)
+    present = data.filter(F.col(_V).isNotNull())
     v, k = F.col(_V), len(fractions)
 
     # One group per stretch between brackets, and one per distinct value inside a bracket.
@@ -167,7 +148,7 @@ def _bracketed(
         stretch = stretch + (v >= lo).cast("int") + (v > hi).cast("int")
         within = within | ((v >= lo) & (v <= hi))
     counts = (
-        _with(present, brackets, by, columns)
+        _with(present, brackets, by, columns, few)
         .groupBy(*by, stretch.alias("__stretch"), F.when(within, v).alias("__slot"))
         .agg(F.count(F.lit(1)).alias("c"), F.min(v).alias("least"), F.max(v).alias("most"))
     )
@@ -185,7 +166,7 @@ def _bracketed(
         ]
     )
     seen = (
-        _with(counts, brackets, by, columns)
+        _with(counts, brackets, by, columns, few)
         .select(*by, "c", "least", "most", F.col("__n").alias("n"), F.explode(targets).alias("t"))
         .select(*by, "c", "least", "most", "n", "t.*")
     )
@@ -213,7 +194,9 @@ def _bracketed(
     picked = ranked.groupBy(*by, "q", "pos", "n").agg(at(F.floor("pos")).alias("a"), at(F.ceil("pos")).alias("b"))
     between = (F.ceil("pos") - F.col("pos")) * F.col("a") + (F.col("pos") - F.floor("pos")) * F.col("b")
     value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(between)
-    out = picked.groupBy(*by).agg(
-        F.max("n").alias("n"), *[F.max(F.when(F.col("q") == i, value)).alias(x) for i, x in enumerate(names)]
-    )
-    return out if by else out.filter(F.col("n").isNotNull())
+    out = picked.groupBy(*by).agg(*[F.max(F.when(F.col("q") == i, value)).alias(x) for i, x in enumerate(names)])
+    every = brackets.select(*by, F.col("__n").alias("n"))
+    if not by:
+        return attach_one(every, out, names)
+    side = F.broadcast(out) if few else out
+    return every.alias("e").join(side.alias("o"), same_group(by, "e", "o"), "left").select("e.*", *[f"o.{quoted(x)}" for x in names])

@@ -37,17 +37,15 @@ def row_bytes(df: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, [_value_bytes(f) for f in df.schema.fields])
 
 
-def measured_bytes(df: DataFrame) -> int:
+def measured_bytes(df: DataFrame, row_overhead: int = _ROW_OVERHEAD) -> int:
     """Estimated bytes of all rows with an overhead for each: one aggregate job."""
-    return df.agg(F.sum(row_bytes(df) + _ROW_OVERHEAD).alias("bytes")).first().bytes or 0
+    return df.agg(F.sum(row_bytes(df) + row_overhead).alias("bytes")).first().bytes or 0
 
 
-def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    return measured_bytes(df) <= (BROADCAST_BYTES if limit is None else limit)
+def is_small(df: DataFrame, row_overhead: int = _ROW_OVERHEAD) -> bool:
+    return measured_bytes(df, row_overhead) <= BROADCAST_BYTES
 
 
-def broadcast_if_small(df: DataFrame, small: bool | None = None) -> DataFrame:
-    """The frame with a broadcast hint if it is small; otherwise as it is, for a shuffled join."""
-    if small is None:
-        small = is_small(df)
-    return F.broadcast(df) if small else df
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """The frame with a broadcast hint if it is measured small; otherwise as it is, for a shuffled join."""
+    return F.broadcast(df) if is_small(df) else df

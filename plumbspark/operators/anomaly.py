@@ -2,7 +2,7 @@
 
 Thresholds of a whole column are a one-row aggregate that reaches the filter as
 a scalar subquery. Thresholds per group are attached by group: broadcast while
-the number of groups is small (it is counted), joined on the group beyond that.
+the groups are small (measured in bytes), joined on the group beyond that.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbspark.functions.columns import clean_double, percent, quoted
-from plumbspark.functions.groups import attach, attach_one, count_groups
+from plumbspark.functions.groups import attach, attach_one, few_groups
 from plumbspark.functions.quantiles import approx_quantiles, exact_quantiles
 
 IQR_FACTOR = 1.5
@@ -28,12 +28,12 @@ def iqr_thresholds(
     by: Sequence[str] = (),
     exact: bool = True,
     rows: int | None = None,
-    groups: int | None = None,
+    few: bool | None = None,
 ) -> DataFrame:
     """``[*by, n, q1, q3, iqr, lower_bound, upper_bound]``; NULL bounds below four values."""
     value = clean_double(df, column)
     if exact:
-        quartiles = exact_quantiles(df, value, [0.25, 0.75], ["q1", "q3"], by=by, rows=rows, groups=groups)
+        quartiles = exact_quantiles(df, value, [0.25, 0.75], ["q1", "q3"], by=by, rows=rows, few=few)
     else:
         quartiles = approx_quantiles(df, value, [0.25, 0.75], ["q1", "q3"], by=by)
     enough = F.col("n") >= IQR_MIN_ROWS
@@ -70,11 +70,11 @@ def zscore_thresholds(
 
 
 def _with_thresholds(
-    df: DataFrame, limits: DataFrame, names: Sequence[str], by: Sequence[str], groups: int | None
+    df: DataFrame, limits: DataFrame, names: Sequence[str], by: Sequence[str], few: bool | None
 ) -> DataFrame:
     if not by:
         return attach_one(df, limits, names)
-    return attach(df, limits, by, names, groups)
+    return attach(df, limits, by, names, few)
 
 
 def flag_iqr(
@@ -83,14 +83,14 @@ def flag_iqr(
     by: Sequence[str] = (),
     exact: bool = True,
     rows: int | None = None,
-    groups: int | None = None,
+    few: bool | None = None,
     limits: DataFrame | None = None,
 ) -> DataFrame:
     """All rows plus ``__value``, ``__score`` (iqr widths beyond the near quartile), ``is_anomaly``."""
-    if by and groups is None:
-        groups = count_groups(df, by)
-    limits = iqr_thresholds(df, column, by, exact, rows, groups) if limits is None else limits
-    data = _with_thresholds(df, limits, ["q1", "q3", "iqr", "lower_bound", "upper_bound"], by, groups)
+    if by and few is None:
+        few = few_groups(df, by)
+    limits = iqr_thresholds(df, column, by, exact, rows, few) if limits is None else limits
+    data = _with_thresholds(df, limits, ["q1", "q3", "iqr", "lower_bound", "upper_bound"], by, few)
     value = clean_double(df, column)
     low, high = value < F.col("lower_bound"), value > F.col("upper_bound")
     beyond = F.when(high, value - F.col("q3")).when(low, F.col("q1") - value)
@@ -107,14 +107,14 @@ def flag_zscore(
     column: str,
     by: Sequence[str] = (),
     limit: float = ZSCORE_LIMIT,
-    groups: int | None = None,
+    few: bool | None = None,
     limits: DataFrame | None = None,
 ) -> DataFrame:
-    """All rows plus ``__value``, ``__score`` (absolute z-score) and ``is_anomaly``."""
+    """All rows plus ``__value``, ``__score`` (absolute z-score; NULL where an infinite value leaves none) and ``is_anomaly``."""
     limits = zscore_thresholds(df, column, by, limit) if limits is None else limits
-    data = _with_thresholds(df, limits, ["mean", "std"], by, groups)
+    data = _with_thresholds(df, limits, ["mean", "std"], by, few)
     value = clean_double(df, column)
-    score = F.abs(F.try_divide(value - F.col("mean"), F.col("std")))
+    score = F.nanvl(F.abs(F.try_divide(value - F.col("mean"), F.col("std"))), F.lit(None))
     return data.select(
         *[F.col(quoted(c)) for c in df.columns],
         value.alias("__value"),

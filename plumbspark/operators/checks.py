@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbspark.functions.columns import clean_column, hours_between, moment, naive, quoted
+from plumbspark.functions.columns import clean_column, cleaned, hours_between, moment, naive, quoted
 from plumbspark.functions.ranking import top_k
 from plumbspark.functions.sizes import broadcast_if_small
 
@@ -144,7 +144,8 @@ def _say(*parts) -> Column:
 
 
 def fused_aggregates(df: DataFrame, check: TableCheck) -> DataFrame:
-    """The one-row aggregate behind every scanned rule of a table."""
+    """The one-row aggregate behind every scanned rule of a table; NaN is a missing value in all of them."""
+    df = cleaned(df)
     aggs = [F.count(F.lit(1)).alias("n")]
     if check.freshness:
         aggs.append(F.max(quoted(check.freshness.timestamp_column)).alias("latest"))
@@ -156,7 +157,9 @@ def fused_aggregates(df: DataFrame, check: TableCheck) -> DataFrame:
     out = df.agg(*aggs)
     for i, rule in enumerate(check.anomaly_rules):
         if rule.sql is not None:
-            free = df.sparkSession.sql(rule.sql).agg(F.max("count").alias("count"))
+            wrong = F.raise_error(F.lit(f"the SQL of rule {rule.name} must give one row")).cast("bigint")
+            one = F.when(F.count(F.lit(1)) == 1, F.max("count").cast("bigint")).otherwise(wrong)
+            free = df.sparkSession.sql(rule.sql).agg(one.alias("count"))
             out = out.withColumn(f"rule{i}", F.coalesce(free.scalar(), F.lit(0)))
     return out
 
@@ -374,9 +377,9 @@ def violation_count(constraint: str | Column) -> Column:
 
 
 def violations(df: DataFrame, constraints: Mapping[str, str | Column]) -> DataFrame:
-    """Violating rows per named constraint, in one scan."""
+    """Violating rows per named constraint, in one scan; NaN is a missing value."""
     names = list(constraints)
-    one = df.agg(*[violation_count(c).alias(f"v{i}") for i, c in enumerate(constraints.values())])
+    one = cleaned(df).agg(*[violation_count(c).alias(f"v{i}") for i, c in enumerate(constraints.values())])
     rows = [
         F.struct(
             F.lit(name).alias("constraint_name"),
@@ -393,11 +396,10 @@ def foreign_key_violations(
     columns: Sequence[str],
     parent: DataFrame,
     parent_columns: Sequence[str],
-    small: bool | None = None,
 ) -> DataFrame:
     """Child rows whose complete key has no parent.
 
-    The parent's keys are measured (or called ``small``): few are broadcast, so the
+    The parent's keys are measured: few are broadcast, so the
     child stays where it is; many are joined by key.
     """
     keys = parent.select(*[F.col(quoted(p)).alias(f"__p{i}") for i, p in enumerate(parent_columns)])
@@ -405,7 +407,7 @@ def foreign_key_violations(
     for i, c in enumerate(columns):
         complete = complete & F.col(quoted(c)).isNotNull()
         same = same & (F.col(quoted(c)) == F.col(f"__p{i}"))
-    return child.filter(complete).join(broadcast_if_small(keys, small), same, "left_anti")
+    return child.filter(complete).join(broadcast_if_small(keys), same, "left_anti")
 
 
 def rule_samples(df: DataFrame, check: TableCheck, id_cols: Sequence[str], k: int = 5) -> DataFrame:
@@ -417,7 +419,7 @@ def rule_samples(df: DataFrame, check: TableCheck, id_cols: Sequence[str], k: in
         F.array(*[F.when(F.coalesce(r.condition(), F.lit(False)), F.lit(r.name)) for r in rules])
     )
     data = F.to_json(F.struct(*[F.col(quoted(c)) for c in df.columns]))
-    hits = df.select(*id_cols, F.explode(hit).alias("anomaly_type"), data.alias("data_sample"))
+    hits = cleaned(df).select(*id_cols, F.explode(hit).alias("anomaly_type"), data.alias("data_sample"))
     return top_k(hits, ["anomaly_type"], [F.col(quoted(c)).asc() for c in id_cols], k, "sample_no").select(
         F.lit(check.table_name).alias("table_name"), "anomaly_type", "sample_no", *id_cols, "data_sample"
     )

@@ -105,7 +105,8 @@ def _distinct_key(field: T.StructField) -> tuple[str, Column]:
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return "double", c.cast("double")  # grouping takes -0.0 and 0.0 as one value
     if isinstance(dtype, T.StringType):
-        return "string", F.when(F.length(c) > _LONG_TEXT, F.sha2(c, 256)).otherwise(c)
+        # a marked digest is longer than any text that stands for itself, so the two never meet
+        return "string", F.when(F.length(c) > _LONG_TEXT, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(c)
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
         return "string", F.when(c.isNotNull(), F.sha2(F.to_json(c), 256))
     return "string", c.cast("string")
@@ -168,7 +169,7 @@ def numeric_profile(
     if exact and rows is None:
         rows = df.count()
     pick = exact_quantiles if exact else approx_quantiles
-    extra = {"rows": rows * len(fields), "groups": len(fields)} if exact else {}
+    extra = {"rows": rows * len(fields), "few": True} if exact else {}  # a group for each column
     quartiles = pick(
         values,
         F.col("value"),

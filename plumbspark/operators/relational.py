@@ -47,7 +47,8 @@ def group_concat(df: DataFrame, by: Sequence[str], value: str, separator: str =
     text = F.when(
         F.col("__v").isNotNull(), F.array_join(F.array_repeat(F.col("__v"), F.col("__n").cast("int")), separator)
     )
-    joined = F.expr(f"listagg(__t, '{separator}') WITHIN GROUP (ORDER BY __v)")
+    literal = separator.replace("\\", "\\\\").replace("'", "\\'")
+    joined = F.expr(f"listagg(__t, '{literal}') WITHIN GROUP (ORDER BY __v)")
     return (
         counted.withColumn("__t", text)
         .groupBy(*by)

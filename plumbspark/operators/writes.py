@@ -1,11 +1,11 @@
 """Keyed writes as table-to-table jobs: the new table is a plan over target and batch.
 
 Rows with a NULL in a key column never match anything. They are kept out of
-the joins, so that they neither change the result nor pile up in one task.
+shuffled joins, so that they neither change the result nor pile up in one task.
 
-A batch is usually small beside its target. Its size is measured (or given as
-``small``): a small batch is broadcast and the target is not shuffled at all; a
-large one takes shuffled joins.
+A batch is usually small beside its target. Its size is measured: a small batch
+is broadcast, and the target is read once and not shuffled at all; a large one
+takes shuffled joins.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbspark.functions.columns import all_set, quoted
-from plumbspark.functions.sizes import broadcast_if_small, is_small
+from plumbspark.functions.sizes import is_small
 
 
 def _aligned(batch: DataFrame, target: DataFrame) -> DataFrame:
@@ -59,13 +59,13 @@ def routed_counts(batch: DataFrame, table_column: str = "table") -> DataFrame:
     )
 
 
-def without_keys_of(
-    target: DataFrame, batch: DataFrame, keys: Sequence[str], small: bool | None = None
-) -> DataFrame:
+def without_keys_of(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Delete-using: target rows whose key is not in the batch."""
     complete = all_set(list(keys))
-    gone = broadcast_if_small(batch.filter(complete).select(*keys).distinct(), small)
-    kept = target.filter(complete).join(gone, list(keys), "left_anti").select(*target.columns)
+    gone = batch.filter(complete).select(*keys)
+    if is_small(gone):  # a NULL key matches nothing, so those rows stay in the same scan
+        return target.join(F.broadcast(gone.distinct()), list(keys), "left_anti").select(*target.columns)
+    kept = target.filter(complete).join(gone.distinct(), list(keys), "left_anti").select(*target.columns)
     return kept.unionByName(target.filter(~complete))
 
 
@@ -80,32 +80,39 @@ def _unknown_rows(
     return batch.join(F.broadcast(both), keys, "left_anti").select(*batch.columns)
 
 
-def replace(
-    target: DataFrame, batch: DataFrame, keys: Sequence[str], small: bool | None = None
-) -> DataFrame:
+def replace(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Delete target rows with a key of the batch, then insert every batch row."""
-    return insert(without_keys_of(target, batch, keys, small), batch)
+    return insert(without_keys_of(target, batch, keys), batch)
+
+
+def _whole(batch: DataFrame) -> Column:
+    return F.struct(*[quoted(c) for c in batch.columns])
+
+
+def _set(order: str) -> Column:
+    # max_by and min_by pass over rows whose bare order is NULL, and a key with no other row would lose its row
+    return F.col(quoted(order)).isNotNull()
 
 
 def last_rows(batch: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Per key the row with the highest ``order``; rows without a complete key all stay."""
+    """Per key the row with the highest ``order``, a NULL being the lowest; rows without a complete key all stay."""
     complete = all_set(list(keys))
     last = (
         batch.filter(complete)
         .groupBy(*keys)
-        .agg(F.max_by(F.struct(*[quoted(c) for c in batch.columns]), quoted(order)).alias("__r"))
+        .agg(F.max_by(_whole(batch), F.struct(_set(order), quoted(order))).alias("__r"))
         .select("__r.*")
     )
     return last.unionByName(batch.filter(~complete))
 
 
 def first_rows(batch: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Per key the row with the lowest ``order``; rows without a complete key all stay."""
+    """Per key the row with the lowest ``order``, a NULL being the highest; rows without a complete key all stay."""
     complete = all_set(list(keys))
     first = (
         batch.filter(complete)
         .groupBy(*keys)
-        .agg(F.min_by(F.struct(*[quoted(c) for c in batch.columns]), quoted(order)).alias("__r"))
+        .agg(F.min_by(_whole(batch), F.struct(~_set(order), quoted(order))).alias("__r"))
         .select("__r.*")
     )
     return first.unionByName(batch.filter(~complete))
@@ -117,27 +124,25 @@ def replace_in_chunks(
     keys: Sequence[str],
     position: str,
     chunk_size: int,
-    small: bool | None = None,
 ) -> DataFrame:
     """Replace chunk after chunk: a later chunk removes what an earlier one inserted for a key.
 
-    ``position`` numbers the batch rows from 0. Of each key the rows of its last
-    chunk stay, which needs no loop over chunks.
+    ``position`` numbers the batch rows from 0; running the result fails on a NULL position.
+    Of each key the rows of its last chunk stay, which needs no loop over chunks.
     """
     if chunk_size <= 0:
         raise ValueError("chunk_size must be positive")
     complete = all_set(list(keys))
-    numbered = batch.withColumn("__chunk", F.floor(F.col(quoted(position)) / F.lit(chunk_size)))
+    nowhere = F.raise_error(F.lit(f"a batch row has no {position}")).cast("bigint")
+    numbered = batch.withColumn("__chunk", F.coalesce(F.floor(F.col(quoted(position)) / F.lit(chunk_size)), nowhere))
     last = numbered.filter(complete).groupBy(*keys).agg(F.max("__chunk").alias("__chunk"))
     kept = numbered.filter(complete).join(last, [*keys, "__chunk"], "left_semi").select(*batch.columns)
-    return insert(without_keys_of(target, batch, keys, small), kept.unionByName(batch.filter(~complete)))
+    return insert(without_keys_of(target, batch, keys), kept.unionByName(batch.filter(~complete)))
 
 
-def replace_last_wins(
-    target: DataFrame, batch: DataFrame, keys: Sequence[str], order: str, small: bool | None = None
-) -> DataFrame:
+def replace_last_wins(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Replace where only the last batch row of each key counts."""
-    return insert(without_keys_of(target, batch, keys, small), last_rows(batch, keys, order))
+    return insert(without_keys_of(target, batch, keys), last_rows(batch, keys, order))
 
 
 def _unique(batch: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -157,7 +162,6 @@ def upsert(
     batch: DataFrame,
     keys: Sequence[str],
     update_columns: Sequence[str] | None = None,
-    small: bool | None = None,
 ) -> DataFrame:
     """Insert new keys; on a known key set ``update_columns`` (default: all the batch has)."""
     keys = list(keys)
@@ -168,10 +172,9 @@ def upsert(
     changed = set(offered if update_columns is None else update_columns)
     complete = all_set(keys)
     rows = batch.filter(complete).select(*keys, *[quoted(c) for c in offered])
-    if small is None:
-        small = is_small(rows)
     unique = _unique(rows, keys)
-    known = target.filter(complete).withColumn("__in_target", F.lit(True))
+    small = is_small(rows)
+    known = (target if small else target.filter(complete)).withColumn("__in_target", F.lit(True))
     in_target, in_batch = F.col("__in_target").isNotNull(), F.col("__b.__in_batch").isNotNull()
 
     def merged(name: str) -> Column:
@@ -189,19 +192,15 @@ def upsert(
         fresh = _unknown_rows(unique, known, keys, small=True)
         out = insert(out, fresh.select(*keys, "__b.*"))
     else:
-        out = known.join(unique, keys, "full_outer").select(*columns)
-    return insert(out.unionByName(target.filter(~complete)), batch.filter(~complete))
+        out = known.join(unique, keys, "full_outer").select(*columns).unionByName(target.filter(~complete))
+    return insert(out, batch.filter(~complete))
 
 
-def insert_if_absent(
-    target: DataFrame, batch: DataFrame, keys: Sequence[str], order: str, small: bool | None = None
-) -> DataFrame:
+def insert_if_absent(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Insert keys the target lacks; of equal keys in the batch the first in ``order``."""
     complete = all_set(list(keys))
     first = first_rows(batch.filter(complete), keys, order)
-    if small is None:
-        small = is_small(first.select(*keys))
-    new = _unknown_rows(first, target.filter(complete), list(keys), small)
+    new = _unknown_rows(first, target.filter(complete), list(keys), is_small(first))
     return insert(insert(target, new), batch.filter(~complete))
 
 

@@ -190,7 +190,8 @@ def checks_of_period(checks: DataFrame, clefs: DataFrame, staves: DataFrame, as_
     rows = page(since(checks, "timestamp", as_of, days), newest(checks, "timestamp"), skip, limit)
     c = clefs.select(F.col("id").alias("clef_id"), F.col("name").alias("clef_name"))
     s = staves.select(F.col("id").alias("stave_id"), F.col("name").alias("stave_name"))
-    return rows.join(c, "clef_id", "left").join(s, "stave_id", "left").select(*checks.columns, "clef_name", "stave_name")
+    named = rows.join(c, "clef_id", "left").join(s, "stave_id", "left").select(*checks.columns, "clef_name", "stave_name")
+    return named.orderBy(*newest(named, "timestamp"))
 
 
 def anomalies_of_period(anomalies: DataFrame, as_of, days: int, skip: int = 0, limit: int = 100) -> DataFrame:

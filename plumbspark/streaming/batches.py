@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from plumbspark.functions.columns import quoted
+from plumbspark.functions.columns import all_set, quoted
 from plumbspark.operators.checks import TableCheck
 from plumbspark.operators.writes import upsert
 from plumbspark.plans.check_run import run_checks
@@ -62,11 +62,14 @@ def upsert_stream(stream: DataFrame, log: str, checkpoint: str) -> StreamingQuer
 
 
 def current_rows(spark: SparkSession, log: str, keys: Sequence[str], order: str) -> DataFrame:
-    """Latest row per key of a change log: later batch first, then higher ``order``."""
+    """Latest row per key of a change log: later batch first, then higher ``order``, NULL being the lowest.
+    Rows without a complete key all stay."""
     changes = spark.read.parquet(log)
     columns = [c for c in changes.columns if c != "batch_id"]
+    complete = all_set(list(keys))
     latest = F.max_by(F.struct(*[quoted(c) for c in columns]), F.struct("batch_id", quoted(order)))
-    return changes.groupBy(*keys).agg(latest.alias("__r")).select("__r.*")
+    known = changes.filter(complete).groupBy(*keys).agg(latest.alias("__r")).select("__r.*")
+    return known.unionByName(changes.filter(~complete).select(*columns))
 
 
 def merged_table(target: DataFrame, log: str, keys: Sequence[str], order: str) -> DataFrame:

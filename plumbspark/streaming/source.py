@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+from collections import defaultdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from plumbspark.functions.columns import quoted
 
@@ -38,8 +41,38 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     return query
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped so far because they arrived behind the watermark."""
-    return sum(
-        op.numRowsDroppedByWatermark for progress in query.recentProgress for op in progress.stateOperators
-    )
+class LateRows(StreamingQueryListener):
+    """Counts, for every query started while it listens, the rows dropped behind the watermark.
+
+    A query itself remembers its last progress reports only; this adds up all of them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._counts, self._ended = spark, defaultdict(int), defaultdict(threading.Event)
+
+    def __enter__(self) -> LateRows:
+        self._spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._spark.streams.removeListener(self)
+
+    def of(self, query: StreamingQuery, seconds: float = 60) -> int:
+        """Rows dropped in the whole run of an ended query."""
+        run = str(query.runId)
+        if not self._ended[run].wait(seconds):
+            raise TimeoutError("the query's end was not reported")
+        return self._counts[run]
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        self._counts[str(progress.runId)] += sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._ended[str(event.runId)].set()

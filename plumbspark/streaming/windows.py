@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbspark.functions.columns import clean_double, quoted
 
 LATENESS = "1 hour"
+MERGE_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
 
 def tumbling_metrics(
@@ -44,15 +45,15 @@ def sliding_anomaly_rate(
 ) -> DataFrame:
     """Share of values outside static bounds per sliding window.
 
-    ``limits`` is the one-row output of ``iqr_thresholds`` over a reference table.
+    ``limits`` is the one-row output of ``iqr_thresholds`` over a reference table. It is computed once, here:
+    the batches see two literals.
     """
-    bounds = F.broadcast(limits.select("lower_bound", "upper_bound"))  # an aggregate without keys: one row
+    bounds = limits.select(F.col("lower_bound").cast("double"), F.col("upper_bound").cast("double")).first()
     v = clean_double(stream, value)
-    outside = (F.col("__v") < F.col("lower_bound")) | (F.col("__v") > F.col("upper_bound"))
+    outside = (F.col("__v") < F.lit(bounds.lower_bound)) | (F.col("__v") > F.lit(bounds.upper_bound))
     return (
-        stream.select(ts, v.alias("__v"), F.lit(1).alias("__one"))
+        stream.select(ts, v.alias("__v"))
         .withWatermark(ts, lateness)
-        .join(bounds.withColumn("__one", F.lit(1)), "__one")
         .groupBy(F.window(ts, length, slide).alias("w"))
         .agg(F.count(F.lit(1)).alias("total"), F.count_if(outside).alias("anomalies"))
         .select(
@@ -71,12 +72,10 @@ def silence_alerts(
     """One row whenever an entity sent nothing for ``hours``: last event and alert time.
 
     A silent stretch is the end of a session with that gap, so Spark's own
-    session state does the tracking. Sessions are merged before the shuffle, so a
-    very active entity sends a few rows per task, not all of them.
+    session state does the tracking. With the session's setting MERGE_SESSIONS at true when the
+    query starts, sessions are merged before the shuffle, and a very active entity sends a few rows per
+    task, not all of them.
     """
-    stream.sparkSession.conf.set(
-        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
-    )
     return (
         stream.select(entity, ts)
         .withWatermark(ts, lateness)

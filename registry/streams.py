@@ -78,7 +78,13 @@ def stream_sliding_anomaly_rate(spark, folder):
 )
 def stream_silence_alerts(spark, folder):
     alerts = W.silence_alerts(_stream(spark, folder), "user_id", "ts", 24)
-    return _timed(_finished(spark, alerts, "silence"), "last_event", "alert_at")
+    before = spark.conf.get(W.MERGE_SESSIONS)
+    spark.conf.set(W.MERGE_SESSIONS, "true")
+    try:
+        found = _finished(spark, alerts, "silence")
+    finally:
+        spark.conf.set(W.MERGE_SESSIONS, before)
+    return _timed(found, "last_event", "alert_at")
 
 
 @query("stream_deduplicated", "SELECT DISTINCT user_id, event_type FROM events")

@@ -40,6 +40,11 @@ def test_zscore(spark):
     assert flagged(frame(spark, values), "zscore") == want == [30]
 
 
+def test_an_infinite_value_flags_no_row(spark):
+    values = [float(i) for i in range(200)] + [float("inf")]
+    assert flagged(frame(spark, values), "zscore") == []
+
+
 def test_grouped_equals_pandas(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(i, "ab"[i % 2], float(v)) for i, v in enumerate(rng.standard_cauchy(400))]
@@ -50,7 +55,7 @@ def test_grouped_equals_pandas(spark, monkeypatch):
         q1, q3 = part.v.quantile(0.25), part.v.quantile(0.75)
         want += part[(part.v < q1 - 1.5 * (q3 - q1)) | (part.v > q3 + 1.5 * (q3 - q1))].id.tolist()
     assert flagged(df, by=["g"]) == sorted(want)
-    assert flagged(df, by=["g"], rows=10**9, groups=10**9) == sorted(want)  # many-groups plan
+    assert flagged(df, by=["g"], rows=10**9, few=False) == sorted(want)  # many-groups plan
 
 
 def test_unknown_method_and_registration(spark):

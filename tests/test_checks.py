@@ -179,3 +179,17 @@ def test_type_changes(spark, rows):
     new = spark.createDataFrame([], "a STRING, c INT, d INT")
     got = rows(C.schema_type_changes(table_info(old), table_info(new)), "column_name", "change", "severity")
     assert got == [("a", "type_changed", "high"), ("b", "removed", "high"), ("c", "nullability_changed", "medium"), ("d", "added", "medium")]
+
+
+def test_nan_is_missing_in_rules_and_constraints(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (-1.0,), (500.0,)], "v DOUBLE")
+    check = C.TableCheck("t", anomaly_rules=(C.Rule("large", "v > 300"), C.Rule("missing", "v IS NULL")))
+    assert [r.anomaly_count for r in C.anomaly_rule_results(df, check).collect()] == [1, 2]
+    assert C.violations(df, {"p": C.positive("v")}).first().violations == 1
+
+
+def test_a_sql_rule_must_give_one_row(spark):
+    for sql in ("SELECT id AS count FROM range(2)", "SELECT id AS count FROM range(0)"):
+        check = C.TableCheck("t", anomaly_rules=(C.Rule("r", sql=sql),))
+        with pytest.raises(Exception, match="one row"):
+            C.anomaly_rule_results(numbers(spark, 3), check).collect()

@@ -11,10 +11,10 @@ def con(sf):
 
 
 def test_every_query_has_sql():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(E.QUERIES) == set(E.ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E.QUERIES))
 def test_query(spark, sf, con, name):
     assert compare(E.queries()[name](spark, sf), con, E.oracle_sql()[name]) == ""
 

@@ -118,3 +118,12 @@ def test_full_profile_has_a_row_per_column(spark, sf):
     p = P.column_profile(e, "events", long_text=["props"])
     assert p.count() == len(e.columns)
     assert p.filter(F.col("column_name") == "value").first().median_value is not None
+
+
+def test_a_text_and_its_own_digest_are_two_values(spark):
+    import hashlib
+
+    text = "x" * 80
+    digest = hashlib.sha256(text.encode()).hexdigest()
+    df = spark.createDataFrame([(text,), (digest,), ("#" + digest,), (text,)], "v STRING")
+    assert P.base_profile(df).first().unique_count == 3

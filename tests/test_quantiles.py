@@ -7,7 +7,7 @@ from plumbspark.functions import quantiles as Q
 
 FRACTIONS = [0.0, 0.05, 0.25, 0.5, 0.75, 0.9, 1.0]
 NAMES = [f"p{i}" for i in range(len(FRACTIONS))]
-LARGE = {"rows": 10**9, "in_task_rows": 0}
+LARGE = {"rows": 10**9}
 
 
 def expected(values):
@@ -48,31 +48,39 @@ def test_one_value_holds_most_rows(spark, rounds):
     assert list(got)[1:] == pytest.approx(expected(values))
 
 
-@pytest.mark.parametrize("broadcast_groups", [2, 1000])
+@pytest.mark.parametrize("few", [True, False])
 @pytest.mark.parametrize("rounds", [1, 2])
-def test_groups_with_nulls_and_a_hot_group(spark, monkeypatch, broadcast_groups, rounds):
-    monkeypatch.setattr(Q, "GROUP_ROWS", 0)
-    monkeypatch.setattr(Q, "BROADCAST_GROUPS", broadcast_groups)  # 2: only the hot group is sketched
+def test_groups_with_nulls_and_a_hot_group(spark, few, rounds):
     rng = np.random.default_rng(5)
     rows = [("hot", float(x)) for x in rng.normal(0, 1, 3000)]
     rows += [(None, float(x)) for x in rng.normal(5, 1, 50)]
-    rows += [("few", 1.0), ("few", None), ("few", 2.0)]
+    rows += [("few", 1.0), ("few", None), ("few", 2.0), ("few", float("nan"))]
+    rows += [("none", None), ("none", float("nan"))]
     df = spark.createDataFrame(rows, "g STRING, v DOUBLE")
     got = {
         r.g: list(r)[2:]
-        for r in Q.exact_quantiles(df, F.col("v"), FRACTIONS, NAMES, by=["g"], rounds=rounds, rows=len(rows), in_task_rows=0).collect()
+        for r in Q.exact_quantiles(df, F.col("v"), FRACTIONS, NAMES, by=["g"], rounds=rounds, few=few).collect()
     }
+    assert got["none"] == [None] * len(FRACTIONS)
     for g in ("hot", None, "few"):
-        values = [v for k, v in rows if k == g and v is not None]
+        values = [v for k, v in rows if k == g and v is not None and v == v]
         assert got[g] == pytest.approx(expected(values)), g
 
 
-def test_paths_agree_and_small_input_stays_in_one_aggregate(spark, sf, plan):
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_a_table_without_values_and_infinite_ones(spark, rounds):
+    empty = spark.createDataFrame([(None,), (float("nan"),)], "v DOUBLE")
+    for df in (empty, empty.limit(0)):
+        got = Q.exact_quantiles(df, F.col("v"), [0.5], ["m"], rounds=rounds).collect()
+        assert [tuple(r) for r in got] == [(0, None)]
+    values = [float("-inf")] + [float(x) for x in range(50)] + [float("inf")] * 3
+    df = spark.createDataFrame([(v,) for v in values], "v DOUBLE")
+    assert Q.exact_quantiles(df, F.col("v"), [0.0, 0.5, 1.0], ["a", "m", "b"], rounds=rounds).first()[1:] == (values[0], 25.5, values[-1])
+
+
+def test_no_value_map_in_one_task(spark, sf, plan):
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
-    small = Q.exact_quantiles(li, F.col("l_extendedprice"), FRACTIONS, NAMES)
-    large = Q.exact_quantiles(li, F.col("l_extendedprice"), FRACTIONS, NAMES, **LARGE)
-    assert "percentile(" in plan(small) and "percentile(" not in plan(large)
-    assert small.collect() == large.collect()
+    assert "percentile(" not in plan(Q.exact_quantiles(li, F.col("l_extendedprice"), FRACTIONS, NAMES))
 
 
 def test_approximate_is_close(spark, sf):

@@ -23,12 +23,16 @@ def add_file(spark, folder, rows):
 
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+
+    def run():
+        stream = S.file_stream(spark, src, SCHEMA, "ts", files_per_batch=1)
+        with S.LateRows(spark) as late:
+            return late.of(S.run_available(W.late_watch(stream, "ts", "kind", "1 day", "1 hour"), out, ck))
+
     add_file(spark, src, [(1, at(1, 1), 1, "a", 1.0), (2, at(3, 1), 1, "a", 2.0)])
-    metrics = W.late_watch(S.file_stream(spark, src, SCHEMA, "ts"), "ts", "kind", "1 day", "1 hour")
-    assert S.late_rows(S.run_available(metrics, out, ck)) == 0
+    assert run() == 0
     add_file(spark, src, [(3, at(1, 2), 1, "a", 3.0), (4, at(5, 1), 1, "a", 4.0)])  # id 3 comes too late
-    metrics = W.late_watch(S.file_stream(spark, src, SCHEMA, "ts"), "ts", "kind", "1 day", "1 hour")
-    assert S.late_rows(S.run_available(metrics, out, ck)) == 1
+    assert run() == 1
     got = {r.window_start.day: r.row_count for r in spark.read.parquet(out).collect()}
     assert got == {1: 1, 3: 1}
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbspark.functions import buckets as B
+from plumbspark.functions import sizes
 from plumbspark.functions.sizes import is_small, measured_bytes
 from plumbspark.operators import partitions as P
 from plumbspark.operators import writes as W
@@ -25,18 +26,21 @@ def test_insert_fills_missing_and_ignores_extra(spark, rows):
     assert rows(W.insert(t, t.limit(0))) == [(1, "a", "b")]
 
 
-@pytest.mark.parametrize("small", [True, False, None])
+@pytest.fixture(params=[True, False])
+def small(request, monkeypatch):
+    """Both plans: every batch counts as small, or none."""
+    monkeypatch.setattr(sizes, "BROADCAST_BYTES", 1 << 26 if request.param else -1)
+    return request.param
+
+
 def test_replace_keeps_all_batch_rows_and_null_keys(spark, rows, small):
     t = frame(spark, [(1, "old", "o"), (2, "old", "o"), (None, "old", "o")])
     b = frame(spark, [(1, "n1", "n"), (1, "n2", "n"), (None, "n3", "n"), (4, "n4", "n")])
-    assert rows(W.replace(t, b, ["k"], small), "k", "a") == [
+    assert rows(W.replace(t, b, ["k"]), "k", "a") == [
         (1, "n1"), (1, "n2"), (2, "old"), (4, "n4"), (None, "n3"), (None, "old"),
     ]
 
 
-SMALL = pytest.mark.parametrize("small", [True, False, None])
-
-
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
 def test_chunked_replace_equals_a_loop_over_chunks(spark, rows, size):
     rnd = random.Random(size)
@@ -60,52 +64,68 @@ def test_chunk_size_must_be_positive(spark):
         W.replace_in_chunks(t, t, ["k"], "k", 0)
 
 
-@SMALL
 def test_upsert(spark, rows, small):
     t = frame(spark, [(1, "t", "t"), (2, "t", "t"), (None, "t", "t")])
     b = frame(spark, [(2, "b", None), (3, "b", "b"), (None, "b", "b")])
-    assert rows(W.upsert(t, b, ["k"], small=small)) == [
+    assert rows(W.upsert(t, b, ["k"])) == [
         (1, "t", "t"), (2, "b", None), (3, "b", "b"), (None, "b", "b"), (None, "t", "t"),
     ]
-    assert rows(W.upsert(t, b, ["k"], ["a"], small)) == [
+    assert rows(W.upsert(t, b, ["k"], ["a"])) == [
         (1, "t", "t"), (2, "b", "t"), (3, "b", "b"), (None, "b", "b"), (None, "t", "t"),
     ]
     part = frame(spark, [(1, "p"), (9, "p")], "k INT, a STRING")
-    assert rows(W.upsert(t, part, ["k"], small=small)) == [
+    assert rows(W.upsert(t, part, ["k"])) == [
         (1, "p", "t"), (2, "t", "t"), (9, "p", None), (None, "t", "t"),
     ]
     with pytest.raises(ValueError):
         W.upsert(t, b, ["k"], ["k"])
 
 
-@SMALL
 def test_upsert_rejects_duplicate_keys_in_the_batch(spark, small):
     t = frame(spark, [(1, "t", "t")])
     for k in (1, 2):
         with pytest.raises(Exception, match="duplicate key"):
-            W.upsert(t, frame(spark, [(k, "x", "x"), (k, "y", "y")]), ["k"], small=small).collect()
+            W.upsert(t, frame(spark, [(k, "x", "x"), (k, "y", "y")]), ["k"]).collect()
 
 
-def test_small_batches_leave_the_target_unshuffled(spark, sf, plan):
+def test_small_batches_leave_the_target_unshuffled(spark, sf, plan, small):
     o = spark.read.parquet(f"{sf}/orders.parquet")
     b = o.limit(10).withColumn("o_totalprice", F.lit(0.0))
-    for small, joins in ((True, "BroadcastHashJoin"), (False, "SortMergeJoin")):
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-        try:
-            for df in (W.replace(o, b, ["o_orderkey"], small), W.upsert(o, b, ["o_orderkey"], small=small)):
-                text = plan(df)
-                assert joins in text and ("SortMergeJoin" in text) != small
-        finally:
-            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for df in (W.replace(o, b, ["o_orderkey"]), W.upsert(o, b, ["o_orderkey"])):
+            text = plan(df)
+            assert ("BroadcastHashJoin" in text) == small and ("SortMergeJoin" in text) != small
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_small_replace_reads_the_target_once(spark, sf, plan):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    b = spark.createDataFrame([(1, 5.0)], "o_orderkey LONG, o_totalprice DOUBLE")
+    assert plan(W.replace(o, b, ["o_orderkey"])).count("FileScan parquet") == 1
+    assert plan(W.upsert(o, b, ["o_orderkey"])).count("FileScan parquet") == 2  # and once its keys alone
+
+
+def test_null_orders_and_positions_lose_no_row(spark, rows, small):
+    t = frame(spark, [(1, "t", "t"), (2, "t", "t")])
+    ddl = DDL + ", o INT"
+    b = frame(spark, [(1, "n1", "x", None), (1, "n2", "x", None), (9, "n3", "x", None), (9, "n4", "x", 3)], ddl)
+    got = rows(W.replace_last_wins(t, b, ["k"], "o"), "k", "a")
+    assert got[0][0] == 1 and got[0][1] in ("n1", "n2") and got[1:] == [(2, "t"), (9, "n4")]
+    assert rows(W.insert_if_absent(t, b, ["k"], "o"), "k", "a") == [(1, "t"), (2, "t"), (9, "n4")]
+    only = frame(spark, [(9, "n5", "x", None)], ddl)
+    assert rows(W.insert_if_absent(t, only, ["k"], "o"), "k", "a") == [(1, "t"), (2, "t"), (9, "n5")]
+    with pytest.raises(Exception, match="has no o"):
+        W.replace_in_chunks(t, b, ["k"], "o", 2).collect()
 
 
 def test_size_is_measured(spark):
     df = frame(spark, [(1, "x" * 1000, None)])
     assert 1000 < measured_bytes(df) < 1200 and measured_bytes(df.limit(0)) == 0
-    assert is_small(df) and not is_small(df, 1000)
+    assert is_small(df) and not is_small(df, 1 << 27)
 
 
-@SMALL
 def test_insert_if_absent(spark, rows, small):
     t = frame(spark, [(1, "t", "t")])
     b = frame(spark, [(1, "b", "0"), (2, "first", "1"), (2, "second", "2"), (None, "n", "3")])
