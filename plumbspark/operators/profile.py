@@ -46,46 +46,58 @@ def _long(one_row: DataFrame, rows: list[Column]) -> DataFrame:
     return one_row.select(F.inline(F.array(*rows)))
 
 
-def base_profile(
-    df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True
-) -> DataFrame:
-    """Rows, nulls, distinct values per column; both percentages are over all rows."""
-    fields = _fields(df, columns)
+def _base_aggregates(fields: list[T.StructField], exact: bool) -> list[Column]:
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, f in enumerate(fields):
         aggs.append(F.count_if(clean(f).isNull()).alias(f"nulls{i}"))
         if not exact:
             aggs.append(F.approx_count_distinct(clean(f), 0.02).alias(f"distinct{i}"))
-    one = df.agg(*aggs)
-    rows = [
-        F.struct(
-            F.lit(f.name).alias("column_name"),
-            F.lit(f.dataType.simpleString()).alias("data_type"),
-            F.lit(kind_of(f.dataType)).alias("kind"),
-            F.col("__n").alias("total_count"),
-            F.col(f"nulls{i}").alias("null_count"),
-            (F.lit(None).cast("bigint") if exact else F.col(f"distinct{i}")).alias("unique_count"),
-        )
-        for i, f in enumerate(fields)
+    return aggs
+
+
+def _base_values(i: int, f: T.StructField, exact: bool) -> list[Column]:
+    return [
+        F.lit(f.name).alias("column_name"),
+        F.lit(f.dataType.simpleString()).alias("data_type"),
+        F.lit(kind_of(f.dataType)).alias("kind"),
+        F.col("__n").alias("total_count"),
+        F.col(f"nulls{i}").alias("null_count"),
+        (F.lit(None).cast("bigint") if exact else F.col(f"distinct{i}")).alias("unique_count"),
     ]
-    out = _long(one, rows)
-    if exact:
-        counted = distinct_counts(df, [f.name for f in fields])
-        out = (
-            out.drop("unique_count")
-            .join(counted, "column_name", "left")
-            .withColumn("unique_count", F.coalesce("unique_count", F.lit(0).cast("bigint")))
-        )
-    return out.select(
-        "column_name",
-        "data_type",
-        "kind",
-        "total_count",
-        "null_count",
+
+
+def _with_distinct(out: DataFrame, df: DataFrame, fields: list[T.StructField], exact: bool) -> DataFrame:
+    if not exact:
+        return out
+    counted = distinct_counts(df, [f.name for f in fields])
+    return (
+        out.drop("unique_count")
+        .join(counted, "column_name", "left")
+        .withColumn("unique_count", F.coalesce("unique_count", F.lit(0).cast("bigint")))
+    )
+
+
+def _base_columns() -> list[Column]:
+    return [
+        F.col("column_name"),
+        F.col("data_type"),
+        F.col("kind"),
+        F.col("total_count"),
+        F.col("null_count"),
         percent(F.col("null_count"), F.col("total_count")).alias("null_percentage"),
-        "unique_count",
+        F.col("unique_count"),
         percent(F.col("unique_count"), F.col("total_count")).alias("unique_percentage"),
-    )
+    ]
+
+
+def base_profile(
+    df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True
+) -> DataFrame:
+    """Rows, nulls, distinct values per column; both percentages are over all rows."""
+    fields = _fields(df, columns)
+    one = df.agg(*_base_aggregates(fields, exact))
+    out = _long(one, [F.struct(*_base_values(i, f, exact)) for i, f in enumerate(fields)])
+    return _with_distinct(out, df, fields, exact).select(*_base_columns())
 
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -112,28 +124,61 @@ def _distinct_key(field: T.StructField) -> tuple[str, Column]:
     return "string", c.cast("string")
 
 
+_FAMILIES = ("bigint", "double", "string")
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact distinct values per column through a shuffle on (column, value).
+    """Exact distinct values per column through one scan and a shuffle on (column, value).
 
-    Columns go together by type family, so every column is read once and numbers
-    are grouped as numbers; long texts are represented by a digest.
+    A value lies in the key of its type family, so numbers are grouped as numbers; long texts are
+    represented by a digest.
     """
-    families: dict[str, list[tuple[str, Column]]] = {}
+    keys = []
     for f in _fields(df, columns):
         family, key = _distinct_key(f)
-        families.setdefault(family, []).append((f.name, key))
-    parts = []
-    for members in families.values():
-        keys = df.select(*[key.alias(name) for name, key in members])
-        pairs = keys.unpivot([], [F.col(quoted(name)) for name, _ in members], "column_name", "__key")
-        parts.append(
-            pairs.filter(F.col("__key").isNotNull())
-            .groupBy("column_name", "__key")
-            .agg(F.lit(1).alias("__one"))
-            .groupBy("column_name")
-            .agg(F.count(F.lit(1)).alias("unique_count"))
-        )
-    return reduce(DataFrame.unionByName, parts)
+        own = [(key if x == family else F.lit(None)).cast(x).alias(f"__{x}") for x in _FAMILIES]
+        keys.append(F.struct(F.lit(f.name).alias("column_name"), *own))
+    pairs = df.select(F.inline(F.array(*keys)))
+    values = [F.col(f"__{x}") for x in _FAMILIES]
+    return (
+        pairs.filter(reduce(Column.__or__, [v.isNotNull() for v in values]))
+        .groupBy("column_name", *values)
+        .agg(F.lit(1).alias("__one"))
+        .groupBy("column_name")
+        .agg(F.count(F.lit(1)).alias("unique_count"))
+    )
+
+
+def _moments(f: T.StructField) -> list[Column]:
+    c = clean(f).cast("double")
+    return [
+        F.min(c).alias("min_value"),
+        F.max(c).alias("max_value"),
+        F.avg(c).alias("mean_value"),
+        F.stddev_samp(c).alias("std_value"),
+        sample_skewness(c).alias("skewness"),
+        sample_kurtosis(c).alias("kurtosis"),
+    ]
+
+
+_MOMENTS = ("min_value", "max_value", "mean_value", "std_value", "skewness", "kurtosis")
+_NUMERIC_COLUMNS = (
+    "min_value", "max_value", "mean_value", "median_value", "std_value", "q25_value", "q75_value", "iqr_value",
+    "skewness", "kurtosis",
+)
+
+
+def _quartiles(df: DataFrame, fields: list[T.StructField], exact: bool, rows: int | None) -> DataFrame:
+    values = df.select(*[clean(f).cast("double").alias(f.name) for f in fields]).unpivot(
+        [], [F.col(quoted(f.name)) for f in fields], "column_name", "value"
+    )
+    if exact and rows is None:
+        rows = df.count()
+    pick = exact_quantiles if exact else approx_quantiles
+    extra = {"rows": rows * len(fields), "few": True} if exact else {}  # a group for each column
+    names = ["q25_value", "median_value", "q75_value"]
+    out = pick(values, F.col("value"), [0.25, 0.5, 0.75], names, by=["column_name"], **extra)
+    return out.select("column_name", *names, (F.col("q75_value") - F.col("q25_value")).alias("iqr_value"))
 
 
 def numeric_profile(
@@ -147,50 +192,10 @@ def numeric_profile(
     fields = [f for f in _fields(df, wanted) if kind_of(f.dataType) == NUMERIC]
     if not fields:
         raise ValueError("no numeric column to profile")
-    aggs = []
-    for i, f in enumerate(fields):
-        c = clean(f).cast("double")
-        aggs.append(
-            F.struct(
-                F.lit(f.name).alias("column_name"),
-                F.min(c).alias("min_value"),
-                F.max(c).alias("max_value"),
-                F.avg(c).alias("mean_value"),
-                F.stddev_samp(c).alias("std_value"),
-                sample_skewness(c).alias("skewness"),
-                sample_kurtosis(c).alias("kurtosis"),
-            ).alias(f"c{i}")
-        )
+    aggs = [F.struct(F.lit(f.name).alias("column_name"), *_moments(f)).alias(f"c{i}") for i, f in enumerate(fields)]
     moments = _long(df.agg(*aggs), [F.col(f"c{i}") for i in range(len(fields))])
-
-    values = df.select(*[clean(f).cast("double").alias(f.name) for f in fields]).unpivot(
-        [], [F.col(quoted(f.name)) for f in fields], "column_name", "value"
-    )
-    if exact and rows is None:
-        rows = df.count()
-    pick = exact_quantiles if exact else approx_quantiles
-    extra = {"rows": rows * len(fields), "few": True} if exact else {}  # a group for each column
-    quartiles = pick(
-        values,
-        F.col("value"),
-        [0.25, 0.5, 0.75],
-        ["q25_value", "median_value", "q75_value"],
-        by=["column_name"],
-        **extra,
-    )
-    return moments.join(quartiles, "column_name", "left").select(
-        "column_name",
-        "min_value",
-        "max_value",
-        "mean_value",
-        "median_value",
-        "std_value",
-        "q25_value",
-        "q75_value",
-        (F.col("q75_value") - F.col("q25_value")).alias("iqr_value"),
-        "skewness",
-        "kurtosis",
-    )
+    quartiles = _quartiles(df, fields, exact, rows)
+    return moments.join(quartiles, "column_name", "left").select("column_name", *_NUMERIC_COLUMNS)
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -253,7 +258,11 @@ def categorical_profile(
             for i, c in enumerate(columns)
         ],
     )
-    packed = (
+    return present.join(_packed_top(df, columns, long_text), "column_name", "left").select("column_name", *_top_columns())
+
+
+def _packed_top(df: DataFrame, columns: Sequence[str], long_text: Sequence[str]) -> DataFrame:
+    return (
         top_values(df, columns, long_text=long_text)
         .groupBy("column_name")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "value", "count"))).alias("__top"))
@@ -262,14 +271,16 @@ def categorical_profile(
             F.transform("__top", lambda t: F.struct(t["value"], t["count"])).alias("top_values"),
         )
     )
+
+
+def _top_columns() -> list[Column]:
     first = F.get("top_values", F.lit(0))
-    return present.join(packed, "column_name", "left").select(
-        "column_name",
-        "top_values",
+    return [
+        F.col("top_values"),
         first["value"].alias("top_value"),
         first["count"].alias("top_value_count"),
         percent(first["count"], F.col("non_null")).alias("top_value_percentage"),
-    )
+    ]
 
 
 def datetime_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -278,24 +289,34 @@ def datetime_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     fields = [f for f in _fields(df, wanted) if kind_of(f.dataType) == DATETIME]
     if not fields:
         raise ValueError("no date or timestamp column to profile")
-    rows = []
-    for i, f in enumerate(fields):
-        c = naive(F.col(quoted(f.name)))
-        low, high = F.min(c), F.max(c)
-        rows.append(
-            F.struct(
-                F.lit(f.name).alias("column_name"),
-                low.alias("min_date"),
-                high.alias("max_date"),
-                F.floor(F.timestamp_diff("SECOND", low, high) / F.lit(86400)).alias("date_range_days"),
-                F.mode(F.year(c), True).alias("most_common_year"),
-                F.mode(F.month(c), True).alias("most_common_month"),
-                F.mode(F.weekday(c), True).alias("most_common_day_of_week"),
-            ).alias(f"c{i}")
-        )
+    rows = [F.struct(F.lit(f.name).alias("column_name"), *_dates(f)).alias(f"c{i}") for i, f in enumerate(fields)]
     return _long(df.agg(*rows), [F.col(f"c{i}") for i in range(len(fields))])
 
 
+_DATES = {
+    "min_date": "timestamp_ntz",
+    "max_date": "timestamp_ntz",
+    "date_range_days": "bigint",
+    "most_common_year": "int",
+    "most_common_month": "int",
+    "most_common_day_of_week": "int",
+}
+
+
+def _dates(f: T.StructField) -> list[Column]:
+    c = naive(F.col(quoted(f.name)))
+    low, high = F.min(c), F.max(c)
+    values = [
+        low,
+        high,
+        F.floor(F.timestamp_diff("SECOND", low, high) / F.lit(86400)),
+        F.mode(F.year(c), True),
+        F.mode(F.month(c), True),
+        F.mode(F.weekday(c), True),
+    ]
+    return [v.cast(kind).alias(name) for v, (name, kind) in zip(values, _DATES.items(), strict=True)]
+
+
 def column_profile(
     df: DataFrame,
     table_name: str,
@@ -303,15 +324,39 @@ def column_profile(
     rows: int | None = None,
     long_text: Sequence[str] = (),
 ) -> DataFrame:
-    """All statistics of all columns in one long frame."""
-    out = base_profile(df, exact=exact)
-    if columns_of_kind(df, NUMERIC):
-        out = out.join(numeric_profile(df, exact=exact, rows=rows), "column_name", "left")
-    if columns_of_kind(df, CATEGORICAL):
-        out = out.join(categorical_profile(df, long_text=long_text), "column_name", "left")
-    if columns_of_kind(df, DATETIME):
-        out = out.join(datetime_profile(df), "column_name", "left")
-    return out.select(F.lit(table_name).alias("table_name"), "*")
+    """All statistics of all columns in one long frame.
+
+    One scan holds every aggregate of every column, one counts distinct values, one the values of texts;
+    exact quartiles take theirs.
+    """
+    fields = _fields(df, None)
+    kinds = {k: [f for f in fields if kind_of(f.dataType) == k] for k in (NUMERIC, CATEGORICAL, DATETIME)}
+    aggs, rows_ = _base_aggregates(fields, exact), []
+    for i, f in enumerate(fields):
+        kind = kind_of(f.dataType)
+        values = _base_values(i, f, exact)
+        for own, made, types in (
+            (NUMERIC, _moments, dict.fromkeys(_MOMENTS, "double")),
+            (CATEGORICAL, lambda f: [F.count(quoted(f.name)).alias("non_null")], {"non_null": "bigint"}),
+            (DATETIME, _dates, _DATES),
+        ):
+            if kind == own:
+                aggs.append(F.struct(*made(f)).alias(f"{own}{i}"))
+            if kinds[own]:
+                part = F.col(f"{own}{i}") if kind == own else None
+                values += [(F.lit(None) if part is None else part[x]).cast(t).alias(x) for x, t in types.items()]
+        rows_.append(F.struct(*values))
+    out = _with_distinct(_long(df.agg(*aggs), rows_), df, fields, exact)
+    columns = [*_base_columns()]
+    if kinds[NUMERIC]:
+        out = out.join(_quartiles(df, kinds[NUMERIC], exact, rows), "column_name", "left")
+        columns += [F.col(x) for x in _NUMERIC_COLUMNS]
+    if kinds[CATEGORICAL]:
+        out = out.join(_packed_top(df, [f.name for f in kinds[CATEGORICAL]], long_text), "column_name", "left")
+        columns += _top_columns()
+    if kinds[DATETIME]:
+        columns += [F.col(x) for x in _DATES]
+    return out.select(F.lit(table_name).alias("table_name"), *columns)
 
 
 def table_profile(df: DataFrame, table_name: str) -> DataFrame:

@@ -127,3 +127,9 @@ def test_a_text_and_its_own_digest_are_two_values(spark):
     digest = hashlib.sha256(text.encode()).hexdigest()
     df = spark.createDataFrame([(text,), (digest,), ("#" + digest,), (text,)], "v STRING")
     assert P.base_profile(df).first().unique_count == 3
+
+
+def test_a_profile_reads_the_table_a_few_times(spark, sf, plan):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    text = plan(P.column_profile(e, "events", exact=False))
+    assert text.count("FileScan parquet") <= 3
