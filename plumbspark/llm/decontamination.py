@@ -37,25 +37,27 @@ def template_text(tokens: Column) -> Column:
 
 
 def _templates(rows: DataFrame, key: str) -> DataFrame:
-    """key, raw and template: arrays of equal length; rows without a token leave."""
-    spaced = rows.select(key, tokens_text(F.col("text")).alias("tokens")).where(F.length("tokens") > 0)
+    """key, raw and template: arrays of equal length, of one empty text where there is no token.
+
+    No filter on them here: it would be pushed below and compute the texts twice."""
+    spaced = rows.select(key, tokens_text(F.col("text")).alias("tokens"))
     return spaced.select(key, F.split("tokens", " ").alias("raw"), F.split(template_text(F.col("tokens")), " ").alias("template"))
 
 
 def _windows(rows: DataFrame, key: str, at: str, size: Column | int) -> DataFrame:
     """(key, at, size, window): a hash of each run of ``size`` template tokens."""
     n = F.lit(size) if isinstance(size, int) else size
-    long = rows.where(F.size("template") >= n)
     hashed = F.transform(
         F.sequence(F.lit(1), F.size("template") - n + 1), lambda i: F.xxhash64(F.slice(F.col("template"), i, n))
     )
-    return long.select(key, n.alias("size"), F.posexplode(hashed).alias(at, "window"))
+    some = F.when((F.size("template") >= n) & (F.get("template", F.lit(0)) != ""), hashed)
+    return rows.select(key, n.alias("size"), F.posexplode(some).alias(at, "window"))
 
 
 def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     """(item_id, ipos, size, window, slots, n_windows) of the windows in which at least half of the tokens are
     words. An item of fewer tokens than ``size`` is one window. ``slots``: (place in the window, value)."""
-    made = _templates(items, "item_id").withColumn("n", F.least(F.size("template"), F.lit(size)))
+    made = _templates(items, "item_id").where(F.get("template", F.lit(0)) != "").withColumn("n", F.least(F.size("template"), F.lit(size)))
     places = F.sequence(F.lit(1), F.size("template") - F.col("n") + 1)
     each = made.select("item_id", "n", "raw", "template", F.explode(places).alias("p"))
     part = F.slice("template", F.col("p"), F.col("n"))
