@@ -69,7 +69,7 @@ DIRTY_EVENTS_SQL = """
 SELECT event_id, ts,
        CASE WHEN event_id % 13 = 0 THEN NULL ELSE user_id END AS user_id,
        CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_type END AS event_type,
-       CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 19 = 0 THEN NULL ELSE value END AS value
+       CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 19 = 0 THEN NULL ELSE value END AS value, props
 FROM events
 """
 
@@ -86,6 +86,7 @@ def dirty_events(spark: SparkSession, folder: str) -> DataFrame:
         .when(key % 19 == 0, F.lit(float("nan")))
         .otherwise(F.col("value"))
         .alias("value"),
+        "props",
     )
 
 

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 from plumbspark.operators import profile as P
 from registry.common import DIRTY_EVENTS_SQL, dirty_events, query, rounded, table, time_text, time_text_sql
 
-_TYPES = {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double"}
-_KINDS = {"bigint": "numeric", "double": "numeric", "string": "categorical", "timestamp_ntz": "datetime", "int": "numeric"}
+_TYPES = {
+    "event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string",
+}
+_KINDS = {
+    "bigint": "numeric", "double": "numeric", "string": "categorical", "timestamp_ntz": "datetime", "int": "numeric",
+    "array<float>": "other",
+}
 
 
 def _base_sql(source: str, types: dict[str, str], label: str | None = None) -> str:
@@ -77,7 +82,7 @@ _CATEGORICAL_SQL = "\nUNION ALL ".join(
         ROUND(100.0 * count / (SELECT COUNT({c}) FROM {t}), 6) AS top_value_percentage
         FROM (SELECT {c} AS value, COUNT(*) AS count FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}
               ORDER BY count DESC, value LIMIT 1)"""
-    for c, t in (("event_type", "dirty"),)
+    for c, t in (("event_type", "dirty"), ("props", "dirty"))
 )
 
 
@@ -90,13 +95,13 @@ def _mode(expression: str) -> str:
     return f"(SELECT CAST(x AS INTEGER) FROM (SELECT {expression} AS x, COUNT(*) AS n FROM events GROUP BY 1) ORDER BY n DESC, x LIMIT 1)"
 
 
-@query(
-    "profile_datetime",
-    f"""SELECT 'ts' AS column_name, {time_text_sql('MIN(ts)')} AS min_date, {time_text_sql('MAX(ts)')} AS max_date,
+_DATES_SQL = f"""SELECT 'ts' AS column_name, {time_text_sql('MIN(ts)')} AS min_date, {time_text_sql('MAX(ts)')} AS max_date,
         CAST(FLOOR((epoch(MAX(ts)) - epoch(MIN(ts))) / 86400) AS BIGINT) AS date_range_days,
         {_mode('year(ts)')} AS most_common_year, {_mode('month(ts)')} AS most_common_month,
-        {_mode('isodow(ts) - 1')} AS most_common_day_of_week FROM events""",
-)
+        {_mode('isodow(ts) - 1')} AS most_common_day_of_week FROM events"""
+
+
+@query("profile_datetime", _DATES_SQL)
 def profile_datetime(spark, folder):
     p = P.datetime_profile(table(spark, folder, "events"))
     return p.withColumn("min_date", time_text(F.col("min_date"))).withColumn("max_date", time_text(F.col("max_date")))
@@ -129,15 +134,30 @@ def profile_summary(spark, folder):
     return s.select("table_name", *[F.array_join(c, ",").alias(c) for c in s.columns if c != "table_name"])
 
 
+_KEY = "bigint"
 _ALL = {
-    "customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"},
+    "region": {"r_regionkey": "int", "r_name": "string"},
+    "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
+    "customer": {"c_custkey": _KEY, "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"},
+    "supplier": {"s_suppkey": _KEY, "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"},
+    "part": {"p_partkey": _KEY, "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int", "p_retailprice": "double"},
     "orders": {
-        "o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+        "o_orderkey": _KEY, "o_custkey": _KEY, "o_orderstatus": "string", "o_totalprice": "double",
         "o_orderdate": "timestamp_ntz", "o_orderpriority": "string",
     },
-    "documents": {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"},
-    "conversations": {"conv_id": "bigint", "turn": "bigint", "role": "string", "text": "string"},
-}
+    "lineitem": {
+        "l_orderkey": _KEY, "l_partkey": _KEY, "l_suppkey": _KEY, "l_linenumber": "int", "l_quantity": "double",
+        "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string",
+        "l_linestatus": "string", "l_shipdate": "timestamp_ntz",
+    },
+    "events": _TYPES,
+    "documents": {"doc_id": _KEY, "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"},
+    "embeddings": {"vec_id": _KEY, "embedding": "array<float>", "label": "int"},
+    "pages": {"page_id": _KEY, "url": "string", "html": "string"},
+    "benchmark": {"item_id": _KEY, "text": "string"},
+    "labels": {"doc_id": _KEY, "quality": "int", "toxic": "int"},
+    "conversations": {"conv_id": _KEY, "turn": "bigint", "role": "string", "text": "string"},
+}
 
 
 @query("profile_all_tables", "\nUNION ALL ".join(_base_sql(t, types, t) for t, types in _ALL.items()))
@@ -145,23 +165,25 @@ def profile_all_tables(spark, folder):
     return rounded(P.profile_all({t: table(spark, folder, t) for t in _ALL}))
 
 
+_NUMBERS = [
+    "min_value", "max_value", "mean_value", "median_value", "std_value", "q25_value", "q75_value", "iqr_value", "skewness", "kurtosis",
+]
+_TOPS = ["top_value", "top_value_count", "top_value_percentage"]
+_DATES = ["min_date", "max_date", "date_range_days", "most_common_year", "most_common_month", "most_common_day_of_week"]
+
+
 def _profile_sql() -> str:
     base = _base_sql("dirty", _TYPES)
     numeric = _numeric_sql("dirty", ["event_id", "user_id", "value"])
+    more = ", ".join([*_NUMBERS, *_TOPS, *_DATES])
     return (
-        f"{_DIRTY}, base AS ({base}), num AS ({numeric}), cat AS ({_CATEGORICAL_SQL}) "
-        "SELECT b.column_name, b.kind, b.total_count, b.null_count, b.unique_count, n.mean_value, n.median_value, "
-        "n.std_value, n.skewness, c.top_value, c.top_value_count "
-        "FROM base b LEFT JOIN num n USING (column_name) LEFT JOIN cat c USING (column_name)"
+        f"{_DIRTY}, base AS ({base}), num AS ({numeric}), cat AS ({_CATEGORICAL_SQL}), dates AS ({_DATES_SQL}) "
+        f"SELECT 'events' AS table_name, b.*, {more} FROM base b LEFT JOIN num n USING (column_name) "
+        "LEFT JOIN cat c USING (column_name) LEFT JOIN dates d USING (column_name)"
     )
 
 
 @query("profile_columns", _profile_sql())
 def profile_columns(spark, folder):
-    p = P.column_profile(dirty_events(spark, folder), "events")
-    return rounded(
-        p.select(
-            "column_name", "kind", "total_count", "null_count", "unique_count", "mean_value", "median_value",
-            "std_value", "skewness", "top_value", "top_value_count",
-        )
-    )
+    p = P.column_profile(dirty_events(spark, folder), "events").drop("top_values")
+    return rounded(p.withColumn("min_date", time_text(F.col("min_date"))).withColumn("max_date", time_text(F.col("max_date"))))

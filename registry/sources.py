@@ -33,6 +33,22 @@ def param_query(spark, folder):
     return S.query(spark, {"type": "parameterized", "sql": sql, "params": {"least": 1000.0, "segment": "B%"}})
 
 
+_PRIORITY = "SELECT o_orderpriority, COUNT(*) AS orders, MAX(o_orderdate) IS NOT NULL AS dated FROM orders GROUP BY o_orderpriority"
+
+
+@query("custom_query", _PRIORITY)
+def custom_query(spark, folder):
+    S.register(spark, folder, ["orders"])
+    return S.query(spark, {"sql": _PRIORITY, "timeout_ms": 1000})
+
+
+@query("lookup_by_key", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = 7")
+def lookup_by_key(spark, folder):
+    S.register(spark, folder, ["orders"])
+    sql = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = ?"
+    return S.query(spark, {"type": "parameterized", "sql": sql, "params": [7]})
+
+
 _INFO_SQL = """
 WITH info AS (SELECT column_name, column_type FROM (DESCRIBE events)),
      counts AS (SELECT COUNT(*) AS n FROM events)

@@ -57,6 +57,20 @@ def test_a_bucket_of_chained_links(docs):
     assert got == near_classes(pairs)
 
 
+def test_mixed_buckets_are_compared_in_blocks(docs, monkeypatch):
+    """Copies with so many edits that some are near each other and many aren't."""
+    from plumbspark.llm import bagminhash
+
+    monkeypatch.setattr(bagminhash, "BLOCK", 7)
+    monkeypatch.setattr(bagminhash, "ROUNDS", 1)
+    draw = random.Random(8)
+    base = " ".join(f"w{draw.randrange(900)}" for _ in range(150))
+    pairs = [(i, edited(base, draw.choice([1, 2, 4, 6, 8]), draw)) for i in range(60)]
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs(pairs)).collect()}
+    assert got == near_classes(pairs)
+    assert 1 < len(set(got.values())) < 60
+
+
 def test_odd_rows(docs, odd):
     got = sorted((tuple(r) for r in near_duplicates(docs(odd)).collect()), key=repr)
     want = near_classes(odd)
