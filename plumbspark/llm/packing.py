@@ -126,7 +126,8 @@ def packed(
     # one row a range, never a row a document
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = laid.join(starts, "range").select(
+    # the number of ranges is a setting, whatever the corpus
+    placed = laid.join(F.broadcast(starts), "range").select(
         "doc_id", F.col("n_tokens").alias("doc_tokens"), (F.col("base") + F.col("local")).alias("at"), "ids"
     )
 

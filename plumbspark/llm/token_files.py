@@ -216,7 +216,8 @@ def read_token_files(spark: SparkSession, files: TokenFiles) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    stored = spark.read.parquet(files.path).join(files.starts, "shard")
+    # one small row a shard: the number of shards is a setting, whatever the corpus
+    stored = spark.read.parquet(files.path).join(F.broadcast(files.starts), "shard")
     # a few blocks at a time through Arrow: a block holds at most BLOCK_IDS ids and one document's more
     begun = stored.select((F.col("shard_start") + F.col("start")).alias("begin"), "doc_ids", "payload")
     return begun.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
