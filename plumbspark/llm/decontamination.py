@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbspark.functions.sizes import broadcast_if_small
 from plumbspark.llm.blocks import rows_of
+from plumbspark.llm.storage import written
 
 WINDOW = 8
 #: Matched windows that make an item found; an item with fewer windows needs all of them.
@@ -108,6 +109,7 @@ def contaminated(
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_matched long, n_windows long")
     found = found.select("doc_id", "item_id", "pos", "ipos", "slots", "n_windows", (F.col("pos") - F.col("ipos")).alias("shift"))
+    found = written(found, "item-hits")  # read twice below, while the windows of all texts are made once
     many = found.groupBy("doc_id", "item_id").agg(F.count_distinct("ipos").alias("n"), F.first("n_windows").alias("n_windows"))
     enough_of = F.least(F.lit(enough), F.col("n_windows"))
     many = many.where(F.col("n") >= enough_of).select("doc_id", "item_id")
@@ -119,7 +121,7 @@ def contaminated(
     offsets = offsets.groupBy("doc_id", "item_id", "shift").agg(
         F.count_distinct("ipos").alias("n"), F.first("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots")
     )
-    held = rows.join(many.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = rows.join(broadcast_if_small(many.select("doc_id").distinct()), "doc_id", "left_semi")
     # a text that stands under one id more than once is told apart by its own offsets' check
     raw = held.dropDuplicates().select("doc_id", F.split(tokens_text(F.col("text")), " ").alias("raw"))
     paired = offsets.join(raw, "doc_id").select(
