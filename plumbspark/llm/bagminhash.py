@@ -26,8 +26,8 @@ BLOCK = 1024
 PAIRS_PER_ROW = 4
 #: Bytes of a sketch, one for each component, and how far below the threshold two sketches' agreement may lie:
 #: four and a half deviations at similarity 0.8.
-SKETCH = 512
-SKETCH_SLACK = 0.08
+SKETCH = 1024
+SKETCH_SLACK = 0.056
 
 _ID_BITS = np.uint64(46)
 _ID_MASK = np.uint64((1 << 46) - 1)
