@@ -37,30 +37,53 @@ def template_text(tokens: Column) -> Column:
     return F.lower(F.regexp_replace(t, r"(?<![^ ])\p{Lu}[^ ]*", NAME))
 
 
+def folded(tokens: Column) -> Column:
+    """The tokens without regard to case: by way of capitals, so that letters with several small forms meet;
+    an eszett as the two letters that its capitals are."""
+    return F.replace(F.lower(F.upper(tokens)), F.lit("ß"), F.lit("ss"))
+
+
 def _templates(rows: DataFrame, key: str) -> DataFrame:
-    """key, raw and template: arrays of equal length, of one empty text where there is no token.
+    """key, raw, template and plain (the raw tokens folded): arrays of equal length, of one empty text where
+    there is no token.
 
     No filter on them here: it would be pushed below and compute the texts twice."""
     spaced = rows.select(key, tokens_text(F.col("text")).alias("tokens"))
-    return spaced.select(key, F.split("tokens", " ").alias("raw"), F.split(template_text(F.col("tokens")), " ").alias("template"))
+    return spaced.select(
+        key,
+        F.split("tokens", " ").alias("raw"),
+        F.split(template_text(F.col("tokens")), " ").alias("template"),
+        F.split(folded(F.col("tokens")), " ").alias("plain"),
+    )
 
 
-def _windows(rows: DataFrame, key: str, at: str, size: Column | int) -> DataFrame:
-    """(key, at, size, window): a hash of each run of ``size`` template tokens."""
-    n = F.lit(size) if isinstance(size, int) else size
-    hashed = F.transform(
-        F.sequence(F.lit(1), F.size("template") - n + 1), lambda i: F.xxhash64(F.slice(F.col("template"), i, n))
+def _hashes(tokens: str) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
+def _windows(rows: DataFrame, key: str, at: str, size: int) -> DataFrame:
+    """(key, at, size, window): a hash of each run of ``size`` template tokens, and one of the same run of folded
+    tokens where it isn't the same. No folded token looks like a placeholder, so both kinds share one column."""
+    n = F.lit(size)
+    some = rows.where((F.size("template") >= n) & (F.get("template", F.lit(0)) != ""))
+    hashed = some.select(key, _hashes("template").alias("t"), _hashes("plain").alias("p"))
+    both = F.transform(
+        F.sequence(F.lit(1), F.size("t") - n + 1),
+        lambda i: F.array_distinct(F.array(F.xxhash64(F.slice("t", i, n)), F.xxhash64(F.slice("p", i, n)))),
     )
-    some = F.when((F.size("template") >= n) & (F.get("template", F.lit(0)) != ""), hashed)
-    return rows.select(key, n.alias("size"), F.posexplode(some).alias(at, "window"))
+    each = hashed.select(key, n.alias("size"), F.posexplode(both).alias(at, "windows"))
+    return each.select(key, "size", at, F.explode("windows").alias("window"))
 
 
 def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     """(item_id, ipos, size, window, slots, n_windows) of the windows in which at least half of the tokens are
-    words. An item of fewer tokens than ``size`` is one window. ``slots``: (place in the window, value)."""
+    words, twice: by the template with ``slots`` (place in the window, value), and by the folded tokens, where
+    these differ, without slots. An item of fewer tokens than ``size`` is one window."""
     made = _templates(items, "item_id").where(F.get("template", F.lit(0)) != "").withColumn("n", F.least(F.size("template"), F.lit(size)))
     places = F.sequence(F.lit(1), F.size("template") - F.col("n") + 1)
-    each = made.select("item_id", "n", "raw", "template", F.explode(places).alias("p"))
+    each = made.select(
+        "item_id", "n", "raw", "template", _hashes("template").alias("t"), _hashes("plain").alias("plain"), F.explode(places).alias("p")
+    )
     part = F.slice("template", F.col("p"), F.col("n"))
     slots = F.filter(
         F.transform(
@@ -70,10 +93,18 @@ def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
         lambda x: x["slot"],
     )
     found = each.select(
-        "item_id", (F.col("p") - 1).alias("ipos"), F.col("n").alias("size"), F.xxhash64(part).alias("window"), slots.alias("slots")
+        "item_id",
+        (F.col("p") - 1).alias("ipos"),
+        F.col("n").alias("size"),
+        F.xxhash64(F.slice("t", F.col("p"), F.col("n"))).alias("window"),
+        F.xxhash64(F.slice("plain", F.col("p"), F.col("n"))).alias("plain"),
+        slots.alias("slots"),
     ).where(2 * F.size("slots") <= F.col("size"))
     totals = found.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    return found.join(totals, "item_id")
+    none = F.filter("slots", lambda s: F.lit(False)).alias("slots")
+    by_template = found.select("item_id", "ipos", "size", "window", "slots")
+    by_plain = found.where("plain != window").select("item_id", "ipos", "size", F.col("plain").alias("window"), none)
+    return by_template.unionByName(by_plain).join(totals, "item_id")
 
 
 def contaminated(
@@ -89,9 +120,11 @@ def contaminated(
     """(doc_id, item_id, n_matched, n_windows): the items that documents hold.
 
     Numbers, capitalised words and units become typed placeholders. Windows of ``size`` template tokens of
-    every whole text are hash-joined with the items' windows. Of the windows that agree on one offset, the
-    placeholders must map each value of the item to one value of the document; the windows of consistent
-    offsets count. An item is found with ``enough`` windows, or all of its own if it has fewer.
+    every whole text are hash-joined with the items' windows, and so are the same windows of plain tokens
+    regardless of case, so copies in capitals or small letters match too. Of the windows that agree on one
+    offset, the placeholders must map each value of the item to one value of the document; the windows of
+    consistent offsets count, once by whichever key. An item is found with ``enough`` windows, or all of its
+    own if it has fewer.
 
     Rows with a NULL id can't be named and are left out, as are NULL texts and texts without a letter or
     digit; repeated rows give one result row; rows with one id are read as one document's texts. Items

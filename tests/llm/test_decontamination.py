@@ -49,6 +49,17 @@ def test_odd_rows(docs, items, odd):
     assert found(docs, items, [], benchmark) == [] == found(docs, items, pairs, [])
 
 
+def test_copies_in_other_case_are_found(docs, items):
+    plain = "the Straße of anna has three apples and buys pears at the big market before Noon"
+    pairs = [
+        (1, ITEM.upper()), (2, "well " + ITEM.lower()), (3, "x " + plain.upper()), (4, plain.title()),
+        (5, ITEM.upper().replace("PEARS", "PLUMS").replace("FRIEND", "SISTER").replace("BUYS", "SELLS").replace("GIVES", "TAKES")),
+    ]
+    got = contaminated(docs(pairs), items([(10, ITEM), (11, plain)])).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 10), (2, 10), (3, 11), (4, 11)]
+    assert all(r.n_matched == r.n_windows for r in got)
+
+
 def test_no_python(docs, items, plan):
     text = plan(contaminated(docs([(1, ITEM)]), items([(1, ITEM)])))
     assert "Python" not in text and "Arrow" not in text and "Cartesian" not in text and "NestedLoop" not in text
