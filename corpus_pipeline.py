@@ -41,7 +41,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; rows with a NULL id stay."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id")).distinct()
+    found = contaminated(docs, table(spark, sf_dir, "benchmark"), slot_heavy=True).select(F.col("doc_id")).distinct()
     return docs.join(broadcast_if_small(written(found, "contaminated")), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -75,10 +75,11 @@ def _windows(rows: DataFrame, key: str, at: str, size: int) -> DataFrame:
     return each.select(key, "size", at, F.explode("windows").alias("window"))
 
 
-def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
+def item_windows(items: DataFrame, size: int = WINDOW, slot_heavy: bool = False) -> DataFrame:
     """(item_id, ipos, size, window, slots, n_windows) of the windows in which at least half of the tokens are
     words, twice: by the template with ``slots`` (place in the window, value), and by the folded tokens, where
-    these differ, without slots. An item of fewer tokens than ``size`` is one window."""
+    these differ, without slots. With ``slot_heavy`` the other windows are there too, by the folded tokens only.
+    An item of fewer tokens than ``size`` is one window."""
     made = _templates(items, "item_id").where(F.get("template", F.lit(0)) != "").withColumn("n", F.least(F.size("template"), F.lit(size)))
     places = F.sequence(F.lit(1), F.size("template") - F.col("n") + 1)
     each = made.select(
@@ -99,10 +100,12 @@ def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
         F.xxhash64(F.slice("t", F.col("p"), F.col("n"))).alias("window"),
         F.xxhash64(F.slice("plain", F.col("p"), F.col("n"))).alias("plain"),
         slots.alias("slots"),
-    ).where(2 * F.size("slots") <= F.col("size"))
+    )
+    wordy = 2 * F.size("slots") <= F.col("size")
+    found = found if slot_heavy else found.where(wordy)
     totals = found.groupBy("item_id").agg(F.count("*").alias("n_windows"))
     none = F.filter("slots", lambda s: F.lit(False)).alias("slots")
-    by_template = found.select("item_id", "ipos", "size", "window", "slots")
+    by_template = found.where(wordy).select("item_id", "ipos", "size", "window", "slots")
     by_plain = found.where("plain != window").select("item_id", "ipos", "size", F.col("plain").alias("window"), none)
     return by_template.unionByName(by_plain).join(totals, "item_id")
 
@@ -116,6 +119,7 @@ def contaminated(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
+    slot_heavy: bool = False,
 ) -> DataFrame:
     """(doc_id, item_id, n_matched, n_windows): the items that documents hold.
 
@@ -127,12 +131,13 @@ def contaminated(
     own if it has fewer.
 
     Rows with a NULL id can't be named and are left out, as are NULL texts and texts without a letter or
-    digit; repeated rows give one result row; rows with one id are read as one document's texts. Items
-    without a window in which half of the tokens are words can't be found. Empty tables give no rows.
+    digit; repeated rows give one result row; rows with one id are read as one document's texts. Windows of
+    more placeholders than words are left out, and items of nothing else can't be found, unless ``slot_heavy``
+    is set: then they match by their own values and count in n_windows. Empty tables give no rows.
     """
     rows = rows_of(docs, id_col, text_col).where("doc_id IS NOT NULL AND text IS NOT NULL")
     named = items.select(items[item_id_col].cast("bigint").alias("item_id"), items[item_text_col].alias("text"))
-    wanted = item_windows(named.where("item_id IS NOT NULL AND text IS NOT NULL").distinct(), size)
+    wanted = item_windows(named.where("item_id IS NOT NULL AND text IS NOT NULL").distinct(), size, slot_heavy)
     texts = _templates(rows, "doc_id")
     keys = broadcast_if_small(wanted.select("item_id", "ipos", "size", "window", "slots", "n_windows"))
     found = None

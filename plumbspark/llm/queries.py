@@ -169,7 +169,7 @@ FROM offsets GROUP BY doc_id, item_id HAVING sum(n) >= least(6, any_value(n_wind
 def op9_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from plumbspark.llm.decontamination import contaminated
 
-    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"), slot_heavy=True)
 
 
 @query

@@ -60,6 +60,14 @@ def test_copies_in_other_case_are_found(docs, items):
     assert all(r.n_matched == r.n_windows for r in got)
 
 
+def test_items_of_numbers_and_names_are_found_by_their_values(docs, items):
+    sums, names = "12 34 56 78 90 12 34 56 78", "Anna Boris Clara Doris Emil Frida Gustav Hanna"
+    pairs = [(1, "x " + sums), (2, "x " + sums.replace("56", "57")), (3, names.upper() + " y"), (4, names.replace("Emil", "Igor")), (5, ITEM), (6, " ".join(ITEM.split()[:13]))]
+    benchmark = [(1, sums), (2, names), (3, ITEM), (4, "1 2 3 4 5 6 " + " ".join(ITEM.lower().split()[8:14]))]
+    got = contaminated(docs(pairs), items(benchmark), slot_heavy=True).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_matched, r.n_windows) for r in got) == [(1, 1, 2, 2), (3, 2, 1, 1), (5, 3, 17, 17), (6, 3, 6, 17)]
+
+
 def test_no_python(docs, items, plan):
     text = plan(contaminated(docs([(1, ITEM)]), items([(1, ITEM)])))
     assert "Python" not in text and "Arrow" not in text and "Cartesian" not in text and "NestedLoop" not in text
