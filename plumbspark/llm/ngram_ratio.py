@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from plumbspark.functions.sizes import broadcast_if_small
 from plumbspark.llm.blocks import Words, blocks, chain, ids_of, mix, rows_of, split_flat, windows
+from plumbspark.llm.storage import written
 
-BITS = 16
+#: The trusted n-grams' ratios go to the tasks while they measure so many bytes at most.
+SHARED_BYTES = 64 << 20
+#: An n-gram of more than this share of all is frequent: there are fewer than 2^16, whatever the corpus.
+FREQUENT = 1 / (1 << 16)
 #: Mean log ratio of a text's n-grams, in nats, from which it counts as target-like.
 THRESHOLD = -0.2
 _SYMBOLS = np.zeros(256, bool)
@@ -49,81 +53,140 @@ def base_counts(texts: pa.Array, words: Words, hashes: np.ndarray) -> dict[str,
     }
 
 
-def gram_buckets(words: Words, hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of each word and each pair of neighbouring words."""
+def gram_hashes(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, 64-bit hash) of each word and each pair of neighbouring words."""
     single = chain([hashes])[words.code] if len(words.code) else np.empty(0, np.uint64)
     at, double = windows(words, hashes, 2)
-    row = np.concatenate([words.row, words.row[at]])
-    return row, (np.concatenate([single, double]) >> np.uint64(64 - bits)).astype(np.int64)
+    return np.concatenate([words.row, words.row[at]]), np.concatenate([single, double])
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, bits: int = BITS) -> np.ndarray:
-    """log p(bucket | trusted) - log p(bucket | raw). One is added to each of the 2^bits raw counts, and as many
-    in all to the trusted counts in the raw proportions, so a small target says little rather than less.
+def gram_buckets(words: Words, hashes: np.ndarray, bits: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of each word and each pair of neighbouring words: the first ``bits`` of its hash, or all 64."""
+    row, found = gram_hashes(words, hashes)
+    return row, found.view(np.int64) if bits is None else (found >> np.uint64(64 - bits)).astype(np.int64)
 
-    The raw counts are of all documents, the trusted of those whose id is in ``trusted``. Each task sums its
-    texts; what reaches the driver is one row for each bucket, whatever the corpus."""
+
+def log_ratios(docs: DataFrame, trusted: DataFrame, bits: int | None = None) -> tuple[float, int, DataFrame]:
+    """log p(n-gram | trusted) - log p(n-gram | raw): that of all n-grams no trusted text holds, the number of
+    n-grams in all documents, and a table (key, raw, gain) of the others with what theirs is above it.
+
+    One is added to each raw count, and as many in all as there are different n-grams (with ``bits``, buckets)
+    to the trusted counts in the raw proportions, so a small target says little rather than less.
+
+    The raw counts are of all documents, the trusted of those whose id is in ``trusted``. Each block sums its
+    texts; the counts stay in Spark and grow with the corpus."""
     ids = trusted.select(F.col(trusted.columns[0]).cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     marked = docs.join(broadcast_if_small(ids.withColumn("trusted", F.lit(1))), "doc_id", "left")
 
     def count(batches):
-        raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
         for part, texts in blocks(batches, 6 << 20):
             words = Words(texts)
-            row, bucket = gram_buckets(words, words.hashes(), bits)
+            row, key = gram_buckets(words, words.hashes(), bits)
             good = pc.fill_null(part.column("trusted"), 0).to_numpy(zero_copy_only=False).astype(bool)
-            raw += np.bincount(bucket, minlength=1 << bits)
-            target += np.bincount(bucket[good[row]], minlength=1 << bits)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
-
-    found = marked.select("text", "trusted").mapInArrow(count, "bucket long, raw long, target long")
-    sums = found.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
-    raw, target = np.ones(1 << bits), np.zeros(1 << bits)
-    for r in sums:
-        raw[r.bucket] += r.raw
-        target[r.bucket] += r.target
-    share = raw / raw.sum()
-    return np.log((target + len(share) * share) / (target.sum() + len(share)) / share)
+            own, code = np.unique(key, return_inverse=True)
+            raw, target = np.bincount(code, minlength=len(own)), np.bincount(code[good[row]], minlength=len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(raw), pa.array(target)], ["key", "raw", "target"])
+
+    found = marked.select("text", "trusted").mapInArrow(count, "key long, raw long, target long")
+    sums = found.groupBy("key").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    # n-grams without a trusted text need no row of their own: one row under NULL counts them
+    held = sums.groupBy(F.when(F.col("target") > 0, F.col("key")).alias("key"))
+    held = written(held.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"), F.count("*").alias("n")), "ngram-counts")
+    total = held.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("raw", "target", "n")]).first()
+    kinds = max(1, total.n) if bits is None else 1 << bits
+    share = (F.col("raw") + 1) / F.lit(float(total.raw + kinds))
+    base = float(np.log(kinds / (total.target + kinds)))
+    ratio = F.log((F.col("target") + kinds * share) / F.lit(float(total.target + kinds)) / share)
+    return base, total.raw, held.where("key IS NOT NULL").select("key", "raw", (ratio - base).alias("gain"))
+
+
+def _sorted(gains: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    table = gains.select("key", "gain").toArrow()
+    key, gain = table["key"].to_numpy(), table["gain"].to_numpy()
+    order = np.argsort(key)
+    return key[order], gain[order]
+
+
+def _looked_up(held: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether it is held, gain or 0) of each key."""
+    if not len(held[0]):
+        return np.zeros(len(key), bool), np.zeros(len(key))
+    at = np.searchsorted(held[0], key).clip(max=len(held[0]) - 1)
+    there = held[0][at] == key
+    return there, np.where(there, held[1][at], 0.0)
 
 
 def quality_rules(
     docs: DataFrame,
     trusted: DataFrame,
     threshold: float = THRESHOLD,
-    bits: int = BITS,
+    bits: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    shared_bytes: int = SHARED_BYTES,
 ) -> DataFrame:
     """The base counts, base_failed, ``ratio`` and kept of each document.
 
     ``ratio`` is the mean over a text's words and word pairs of log p(trusted) - log p(raw); a text is kept
     if the base rules pass and the ratio reaches ``threshold``, each document by itself, without a draw.
     ``trusted``: a table whose first column names the documents of the target. Without trusted documents
-    the ratio says nothing and all that pass the base rules are kept.
+    the ratio says nothing and all that pass the base rules are kept. N-grams are told apart by 64-bit hashes,
+    or by their first ``bits``. Ratios of the trusted n-grams go to the tasks while they measure ``shared_bytes``
+    at most; beyond that only the frequent ones do, and the others meet the documents' n-grams in a join, to
+    the same result.
 
     One row for each row of ``docs``, repeated rows and NULL ids included. A NULL or empty text has no words:
     ratio 0, base_failed. An empty table gives no rows.
     """
     rows = rows_of(docs, id_col, text_col)
-    ratios = rows.sparkSession.sparkContext.broadcast(log_ratios(rows, trusted, bits))
+    base_ratio, n_raw, gains = log_ratios(rows, trusted, bits)
+    whole = 16 * gains.count() <= shared_bytes
+    held = rows.sparkSession.sparkContext.broadcast(_sorted(gains if whole else gains.where(F.col("raw") > n_raw * FREQUENT)))
 
     def judge(batches):
         for part, texts in blocks(batches, 6 << 20):
             words = Words(texts)
             hashes = words.hashes()
             base = base_counts(texts, words, hashes)
-            row, bucket = gram_buckets(words, hashes, bits)
-            total = np.bincount(row, weights=ratios.value[bucket], minlength=len(texts))
-            ratio = total / np.maximum(np.bincount(row, minlength=len(texts)), 1)
-            failed = (base["n_words"] < 10) | (100 * base["n_repeat_words"] > 20 * base["n_words"])
-            arrays = [ids_of(part), *map(pa.array, base.values()), pa.array(failed), pa.array(~failed & (ratio >= threshold))]
-            yield pa.RecordBatch.from_arrays(
-                [*arrays, pa.array(np.round(ratio, 9))], ["doc_id", *base, "base_failed", "kept", "ratio"]
-            )
-
-    schema = (
-        "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-        "base_failed boolean, kept boolean, ratio double"
-    )
-    return rows.mapInArrow(judge, schema)
+            row, key = gram_buckets(words, hashes, bits)
+            own, code = np.unique(key, return_inverse=True)
+            there, gain = _looked_up(held.value, own)
+            n = np.bincount(row, minlength=len(texts))
+            total = n * base_ratio + np.bincount(row, weights=gain[code], minlength=len(texts))
+            arrays = [ids_of(part), *map(pa.array, base.values()), pa.array(n), pa.array(total)]
+            judged = pa.RecordBatch.from_arrays(arrays, ["doc_id", *base, "n_grams", "total"])
+            if whole:
+                yield judged
+                continue
+            number = part.column("number").to_numpy()
+            kind = pa.struct(judged.schema)
+            # keys of their own, so that these rows are dealt evenly; they count no n-gram
+            apart = pa.array(mix(number.astype(np.uint64)).view(np.int64))
+            filled = pa.StructArray.from_arrays(judged.columns, fields=list(judged.schema))
+            names = ["number", "key", "n", "judged"]
+            yield pa.RecordBatch.from_arrays([pa.array(number), apart, pa.array(np.zeros(len(texts), np.int64)), filled], names)
+            rest = np.flatnonzero(~there[code])
+            pair, times = np.unique(row[rest] * max(1, len(own)) + code[rest], return_counts=True)
+            pair_row, pair_key = pair // max(1, len(own)), own[pair % max(1, len(own))]
+            for at in range(0, len(pair), 50_000):
+                cut = slice(at, at + 50_000)
+                arrays = [pa.array(number[pair_row[cut]]), pa.array(pair_key[cut]), pa.array(times[cut])]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(times[cut]), kind)], names)
+
+    columns = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+    schema = f"doc_id long, {columns}, n_grams long, total double"
+    if whole:
+        judged = rows.mapInArrow(judge, schema)
+    else:
+        numbered = rows.withColumn("number", F.monotonically_increasing_id())
+        dealt = numbered.mapInArrow(judge, f"number long, key long, n long, judged struct<{schema.replace(' long', ': long').replace(' double', ': double')}>")
+        rare = gains.where(F.col("raw") <= n_raw * FREQUENT).select("key", "gain")
+        met = dealt.join(rare, "key", "left").groupBy("number")
+        met = met.agg(F.sum(F.col("n") * F.coalesce("gain", F.lit(0.0))).alias("more"), F.first("judged", ignorenulls=True).alias("judged"))
+        judged = met.select("judged.*", "more").withColumn("total", F.col("total") + F.col("more")).drop("more")
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    ratio = F.col("total") / F.greatest(F.col("n_grams"), F.lit(1))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), (~failed & (ratio >= threshold)).alias("kept"), F.round(ratio, 9).alias("ratio"),
+    )

@@ -52,6 +52,27 @@ def test_ratio_is_the_mean_log_ratio(docs, spark):
     assert all(r.kept != r.base_failed and abs(r.ratio) < 1e-9 for r in none)
 
 
+def test_ratio_tells_all_ngrams_apart(docs, odd, spark):
+    draw = random.Random(3)
+    pairs = [(100 + i, " ".join("the" if draw.random() < 0.2 else f"w{draw.randrange(30000)}" for _ in range(200))) for i in range(60)] + odd
+    trusted = spark.createDataFrame([(100 + i,) for i in range(20)], "doc_id long")
+    grams = []
+    for i, t in pairs:
+        words = re.findall(r"[^ \t\n\v\f\r]+", t or "")
+        grams.append([*words, *zip(words, words[1:])])
+    raw, target = {}, {}
+    for (i, _), own in zip(pairs, grams):
+        for g in own:
+            raw[g] = raw.get(g, 0) + 1
+            target[g] = target.get(g, 0) + (i is not None and 100 <= i < 120)
+    n, seen, total = len(raw), sum(target.values()), sum(raw.values()) + len(raw)
+    logs = {g: math.log((target[g] + n * (raw[g] + 1) / total) / (seen + n) * total / (raw[g] + 1)) for g in raw}
+    want = sorted(((i, sum(logs[g] for g in own) / max(1, len(own))) for (i, _), own in zip(pairs, grams)), key=repr)
+    for shared in (1 << 20, 0):
+        got = sorted(((r.doc_id, r.ratio) for r in quality_rules(docs(pairs), trusted, shared_bytes=shared).collect()), key=repr)
+        assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([r for _, r in got], [r for _, r in want], atol=1e-8)
+
+
 def test_counts_are_whole_text(real):
     texts = [t for _, t in real[:40]] + ["word " * 20000]
     words = Words(pa.array(texts))
