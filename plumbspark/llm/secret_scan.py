@@ -25,12 +25,17 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{32,}={0,2}|[A-Za-z0-9_-]{32,}={0,2}")
-_HEX_ANY = re.compile(r"[0-9A-Fa-f]{64,}")
+#: The shortest base secret, an assignment, has 14 bytes: 19 base64 or 28 hex characters. Each alphabet has its own
+#: runs, so that neither cuts the other's.
+_BASE64 = (re.compile(r"[A-Za-z0-9+/]{19,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{19,}={0,2}"))
+_HEX_ANY = re.compile(r"[0-9A-Fa-f]{28,}")
+_LINE = re.compile(r"(?:[A-Za-z0-9+/]+|[A-Za-z0-9_-]+)={0,2}")
+#: Characters that a line of wrapped base64 has at least, but for the last.
+_WIDTH = 16
 #: What a text must hold for a kind to be looked for at all (RE2, over a whole block at once).
 _HINTS = (
     r"(?i)password|passwd|secret|token|api_?key", "AKIA", "[0-9a-f]{32}", r"eyJ[A-Za-z0-9_-]+\.eyJ",
-    "PRIVATE KEY-----", "[A-Za-z0-9+/_-]{32}", "[0-9A-Fa-f]{64}",
+    "PRIVATE KEY-----", "[A-Za-z0-9+/_-]{19}", "[0-9A-Fa-f]{28}", r"[A-Za-z0-9+/_-]{16}[ \t\r]*\n",
 )
 #: Bytes of a signature by the algorithm that a token's header names.
 _SIGNATURES = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64}
@@ -181,20 +186,51 @@ def _pem(text: str) -> Iterator[Span]:
             yield m.start(), past, "pem"
 
 
+def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, joined) of neighbouring lines of base64 that have one width, with and without a shorter
+    last line."""
+    lines, at = [], 0
+    for line in text.split("\n"):
+        body = line.strip(" \t\r")
+        start = at + line.find(body)
+        lines.append((start, start + len(body), body if _LINE.fullmatch(body) else ""))
+        at += len(line) + 1
+    i = 0
+    while i < len(lines):
+        width, j = len(lines[i][2]), i + 1
+        if width >= _WIDTH:
+            while j < len(lines) and len(lines[j][2]) == width:
+                j += 1
+            full = "".join(x[2] for x in lines[i:j])
+            if j < len(lines) and 0 < len(lines[j][2]) < width:
+                yield lines[i][0], lines[j][1], full + lines[j][2]
+            if j > i + 1:
+                yield lines[i][0], lines[j - 1][1], full
+        i = j
+
+
+def _from_hex(text: str) -> bytes | None:
+    return bytes.fromhex(text) if len(text) % 2 == 0 else None
+
+
 def confirmed_spans(text: str) -> list[Span]:
-    """Candidates that decode to what they claim to be: signed tokens, keys in PEM, base64 or hex, and
-    encoded text that holds a secret. What lies inside a reported PEM block is not reported again."""
+    """Candidates that decode to what they claim to be: signed tokens, keys in PEM, base64 (of either alphabet,
+    also wrapped over lines of one width) or hex, and encoded text that holds a secret. What lies inside a
+    reported PEM block or a reported longer candidate is not reported again."""
     found = [*_tokens(text), *_pem(text)]
     blocks_ = [(a, b) for a, b, kind in found if kind == "pem"]
-    for pattern, decode in ((_BASE64, _decoded), (_HEX_ANY, lambda s: bytes.fromhex(s) if len(s) % 2 == 0 else None)):
-        for m in pattern.finditer(text):
-            data = decode(m[0])
-            if not data or any(a <= m.start() < b for a, b in blocks_):
-                continue
-            if private_der(data) or private_openssh(data):
-                found.append((m.start(), m.end(), "key"))
-            elif _hidden_text(data):
-                found.append((m.start(), m.end(), "hidden"))
+    runs = {(m.start(), m.end(), m[0]) for pattern in _BASE64 for m in pattern.finditer(text)}
+    candidates = [(*c, _decoded) for c in runs.union(_wrapped(text))]
+    candidates += [(m.start(), m.end(), m[0], _from_hex) for m in _HEX_ANY.finditer(text)]
+    past = 0
+    for start, end, body, decode in sorted(candidates, key=lambda c: (c[0], -c[1])):
+        data = decode(body) if end > past else None
+        if not data or any(a <= start < b for a, b in blocks_):
+            continue
+        kind = "key" if private_der(data) or private_openssh(data) else "hidden" if _hidden_text(data) else None
+        if kind:
+            found.append((start, end, kind))
+            past = end
     return found
 
 
