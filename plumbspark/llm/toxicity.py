@@ -133,11 +133,11 @@ def minimised(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, features: int = 4096, least: int = 3, ridge: float = 1e-5, fit_rows: int = FIT_ROWS
+    docs: DataFrame, labels: DataFrame, least: int = 3, ridge: float = 1e-5, fit_rows: int = FIT_ROWS
 ) -> ToxicityModel | None:
     """The log-count ratios come from all labelled documents outside fold 0. A bucket whose likelihood
-    ratio is no more than the best of as many chance buckets would show teaches noise and is left out; of the
-    others the ``features`` strongest at most serve, so a model's size is fixed. The weights come from about ``fit_rows`` labelled documents at most. None without both labels."""
+    ratio is no more than the best of as many chance buckets would show teaches noise and is left out; all
+    others serve, at most one feature for each of the 2^BITS buckets. The weights come from about ``fit_rows`` labelled documents at most. None without both labels."""
     known = teaching(docs, labels).select("doc_id", "text", "label")
     counts = gram_counts(known).where(F.col("toxic") + F.col("clean") >= least)
     counts = written(counts, "toxicity-counts")
@@ -152,8 +152,8 @@ def fit_toxicity(
 
     strength = part(F.col("toxic"), both * share) + part(F.col("clean"), both * (1 - share))
     telling = counts.withColumn("strength", strength).where(F.col("strength") >= float(np.log(totals.n)) - 2)
-    chosen = telling.orderBy(F.desc("strength"), "bucket").limit(features).collect()
-    bucket, toxic, clean = (np.array([r[c] for r in chosen], float) for c in ("bucket", "toxic", "clean"))
+    chosen = telling.select("bucket", "toxic", "clean").orderBy("bucket").toArrow()
+    bucket, toxic, clean = (chosen[c].to_numpy().astype(float) for c in ("bucket", "toxic", "clean"))
     ratio = np.log((toxic + 1) / (totals.toxic + 1)) - np.log((clean + 1) / (totals.clean + 1))
     feature = np.full(1 << BITS, -1, np.int32)
     feature[bucket.astype(np.int64)] = np.arange(len(bucket))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from plumbspark.llm.labelled import isotonic, labels_of
 from plumbspark.llm.quality import kept_by_quality, quality_scores
-from plumbspark.llm.toxicity import minimised, toxicity_scores
+from plumbspark.llm.toxicity import fit_toxicity, minimised, toxicity_scores
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +50,15 @@ def test_toxicity_on_held_out_rows(docs, spark):
     assert np.mean([p == y for p, y in got]) > 0.97
 
 
+def test_all_telling_ngrams_have_weights(docs, spark):
+    draw = random.Random(6)
+    kinds = [["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(800)] for _ in range(2)]
+    pairs = [(i, " ".join(draw.sample(kinds[i % 2], 150))) for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in pairs], "doc_id long, toxic int")
+    model = fit_toxicity(docs(pairs).select("doc_id", "text"), labels_of(labels, "toxic"))
+    assert len(model.scaled) == (model.feature >= 0).sum() > 10_000 and np.count_nonzero(model.scaled) > 10_000
+
+
 @pytest.mark.parametrize("operator, label", [(quality_scores, "quality"), (toxicity_scores, "toxic")])
 def test_odd_rows(docs, odd, spark, operator, label):
     pairs = odd + [(100 + i, t) for i, t in enumerate(["good words in a line " * 5, "## $$ %% " * 9] * 10)]
