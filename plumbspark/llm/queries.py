@@ -177,3 +177,10 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     from plumbspark.llm.secret_scan import secret_spans
 
     return secret_spans(table(spark, folder, "documents"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    from plumbspark.llm.spelling import spelling_variants, typed_words, vocabulary_of
+
+    return spelling_variants(vocabulary_of(typed_words(table(spark, folder, "documents"))))
