@@ -184,3 +184,28 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     from plumbspark.llm.spelling import spelling_variants, typed_words, vocabulary_of
 
     return spelling_variants(vocabulary_of(typed_words(table(spark, folder, "documents"))))
+
+
+ORACLE["op13_block_top_k"] = """
+WITH v AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.r, q.vec_id AS query_id, d.vec_id,
+           CAST(coalesce(list_sum(list_transform(list_zip(q.w, d.w), lambda p: coalesce(p[1] * p[2], 0))), 0) AS BIGINT) AS score
+    FROM v q JOIN v d ON q.r <> d.r WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 5
+"""
+
+
+@query
+def op13_block_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    from plumbspark.llm.topk import block_index, integer_vectors, top_k
+
+    vectors = integer_vectors(table(spark, folder, "embeddings"))
+    return top_k(vectors, block_index(vectors), F.col("vec_id") % 50 == 0, k=5)
