@@ -209,3 +209,10 @@ def op13_block_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
     vectors = integer_vectors(table(spark, folder, "embeddings"))
     return top_k(vectors, block_index(vectors), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    from plumbspark.llm.conversation_repair import damaged, repaired, summaries
+
+    return summaries(repaired(damaged(table(spark, folder, "conversations"))))
