@@ -371,7 +371,9 @@ class Transaction:
         self._drop(table, [p for p, label in labels.items() if p in now and label is not None and label < below])
         edge = [p for p, label in labels.items() if p in now and label == below]
         if border is not None and edge:
-            self._rewrite(table, edge, lambda rows: W.delete_where(rows, border))
+            condition = F.expr(border) if isinstance(border, str) else border
+            holding = self._paths(self._scan(table, edge, F.col("_metadata.file_path")).where(condition))
+            self._rewrite(table, holding, lambda rows: W.delete_where(rows, border))
 
     def apply(self, operations: Sequence[W.Operation]) -> None:
         """Operations of ``plumbspark.operators.writes`` in order, on stored tables."""

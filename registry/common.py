@@ -184,18 +184,18 @@ def clefs(spark: SparkSession, folder: str) -> DataFrame:
 # --- keyed writes: target = all orders; batch = all orders under other keys ---------------
 # Doubled keys: half of the batch meets a target row, half is new. Every ninth key is NULL.
 
-ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
-TARGET_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
+TARGET_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"
 BATCH_SQL = """
 SELECT CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderkey * 2 END AS o_orderkey,
-       o_custkey, 'X' AS o_orderstatus, o_totalprice + 1 AS o_totalprice, o_orderpriority
+       o_custkey, 'X' AS o_orderstatus, o_totalprice + 1 AS o_totalprice, o_orderdate, o_orderpriority
 FROM orders
 """
 # Halved keys: every key of the batch occurs about twice; position = row number of the batch.
 TWICE_SQL = """
 SELECT CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderkey // 2 END AS o_orderkey,
-       o_custkey, 'X' AS o_orderstatus, o_totalprice + 1 AS o_totalprice, o_orderpriority,
+       o_custkey, 'X' AS o_orderstatus, o_totalprice + 1 AS o_totalprice, o_orderdate, o_orderpriority,
        o_orderkey AS position
 FROM orders
 """
@@ -212,6 +212,7 @@ def _batch(spark: SparkSession, folder: str, key: Column) -> DataFrame:
         "o_custkey",
         F.lit("X").alias("o_orderstatus"),
         (F.col("o_totalprice") + 1).alias("o_totalprice"),
+        "o_orderdate",
         "o_orderpriority",
         F.col("o_orderkey").alias("position"),
     )
@@ -226,4 +227,4 @@ def twice(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rounded_price(df: DataFrame) -> DataFrame:
-    return df.withColumn("o_totalprice", F.round("o_totalprice", 2))
+    return df.withColumn("o_totalprice", F.round("o_totalprice", 2)).withColumn("o_orderdate", time_text(F.col("o_orderdate")))

@@ -24,7 +24,9 @@ from registry.common import (
     twice,
 )
 
-_COLS = "o_orderkey, o_custkey, o_orderstatus, ROUND(o_totalprice, 2) AS o_totalprice, o_orderpriority"
+_COLS = f"""o_orderkey, o_custkey, o_orderstatus, ROUND(o_totalprice, 2) AS o_totalprice,
+    {time_text_sql('o_orderdate')} AS o_orderdate, o_orderpriority"""
+_EVENT_COLS = f"event_id, {time_text_sql('ts')} AS ts, user_id, event_type, value, props"
 
 
 @query("write_insert", f"{WRITE_SQL} SELECT {_COLS} FROM target UNION ALL SELECT {_COLS} FROM batch")
@@ -46,6 +48,12 @@ def write_routed_counts(spark, folder):
     return W.routed_counts(mixed)
 
 
+def event_rows(df):
+    """All columns of events, times as text and NaN as NULL."""
+    value = F.nanvl("value", F.lit(None).cast("double"))
+    return df.withColumn("ts", time_text(F.col("ts"))).withColumn("value", value)
+
+
 _KEPT = "SELECT * FROM target t WHERE NOT EXISTS (SELECT 1 FROM {0} b WHERE b.o_orderkey = t.o_orderkey)"
 
 
@@ -81,7 +89,7 @@ def write_replace_chunked(spark, folder):
 
 
 def _upsert_sql(updated: set[str]) -> str:
-    cols = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+    cols = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
     pick = ", ".join(
         (f"CASE WHEN b.o_orderkey IS NOT NULL THEN b.{c} ELSE t.{c} END" if c in updated
          else f"CASE WHEN t.o_orderkey IS NOT NULL THEN t.{c} ELSE b.{c} END") + f" AS {c}"
@@ -93,7 +101,7 @@ def _upsert_sql(updated: set[str]) -> str:
     SELECT {_COLS} FROM merged UNION ALL SELECT {_COLS} FROM batch WHERE o_orderkey IS NULL"""
 
 
-@query("write_upsert", _upsert_sql({"o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"}))
+@query("write_upsert", _upsert_sql({"o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"}))
 def write_upsert(spark, folder):
     return rounded_price(W.upsert(target(spark, folder), batch(spark, folder), ["o_orderkey"]))
 
@@ -106,7 +114,7 @@ def write_upsert_subset(spark, folder):
 
 @query(
     "write_insert_if_absent",
-    f"""{WRITE_SQL}, moved AS (SELECT o_orderkey + 100 AS o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, position FROM twice),
+    f"""{WRITE_SQL}, moved AS (SELECT o_orderkey + 100 AS o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, position FROM twice),
     firsts AS (SELECT * FROM moved WHERE position = (SELECT MIN(position) FROM moved x WHERE x.o_orderkey = moved.o_orderkey))
     SELECT {_COLS} FROM target UNION ALL
     SELECT {_COLS} FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM target t WHERE t.o_orderkey = f.o_orderkey)
@@ -122,7 +130,7 @@ def write_insert_if_absent(spark, folder):
     f"""{WRITE_SQL}, a AS (SELECT * FROM target UNION ALL SELECT * FROM batch),
     b AS (SELECT * FROM a WHERE NOT COALESCE(o_totalprice > 400000, FALSE)),
     c AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'U' ELSE o_orderstatus END AS o_orderstatus,
-          CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM b)
+          CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM b)
     SELECT {_COLS} FROM c""",
 )
 def write_operations(spark, folder):
@@ -136,21 +144,21 @@ def write_operations(spark, folder):
 
 @query(
     "write_delete_where",
-    f"SELECT event_id, user_id, event_type, value FROM ({DIRTY_EVENTS_SQL}) WHERE NOT COALESCE(event_type = 'error', FALSE)",
+    f"SELECT {_EVENT_COLS} FROM ({DIRTY_EVENTS_SQL}) WHERE NOT COALESCE(event_type = 'error', FALSE)",
 )
 def write_delete_where(spark, folder):
     kept = W.delete_where(dirty_events(spark, folder), "event_type = 'error'")
-    return kept.select("event_id", "user_id", "event_type", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
+    return event_rows(kept)
 
 
 @query(
     "write_update_where",
-    f"""SELECT event_id, CASE WHEN user_id < 50 THEN event_type || '!' ELSE event_type END AS event_type,
-        CASE WHEN user_id < 50 THEN user_id + 1000 ELSE user_id END AS user_id FROM ({DIRTY_EVENTS_SQL})""",
+    f"""SELECT event_id, {time_text_sql('ts')} AS ts, CASE WHEN user_id < 50 THEN event_type || '!' ELSE event_type END AS event_type,
+        CASE WHEN user_id < 50 THEN user_id + 1000 ELSE user_id END AS user_id, value, props FROM ({DIRTY_EVENTS_SQL})""",
 )
 def write_update_where(spark, folder):
-    e = dirty_events(spark, folder).select("event_id", "user_id", "event_type")
-    return W.update_where(e, "user_id < 50", {"event_type": "event_type || '!'", "user_id": "user_id + 1000"})
+    changed = {"event_type": "event_type || '!'", "user_id": "user_id + 1000"}
+    return event_rows(W.update_where(dirty_events(spark, folder), "user_id < 50", changed))
 
 
 @query("write_truncate", f"{WRITE_SQL} SELECT {_COLS} FROM batch")
@@ -204,37 +212,11 @@ def partition_hash_counts(spark, folder):
     return P.partition_counts(table(spark, folder, "customer"), B.hash_partition(F.col("c_custkey"), 4))
 
 
-@query(
-    "pruned_daily_agg",
-    """SELECT event_type, COUNT(*) AS count, ROUND(AVG(value), 6) AS avg_value FROM events
-       WHERE ts >= TIMESTAMP '2024-01-24 00:00:00' AND ts < TIMESTAMP '2024-01-31 00:00:00' GROUP BY event_type""",
-)
-def pruned_daily_agg(spark, folder):
-    low, high = (F.lit(datetime(2024, 1, d)).cast("timestamp_ntz") for d in (24, 31))
-    week = P.within(table(spark, folder, "events"), "ts", low, high)
-    return week.groupBy("event_type").agg(F.count(F.lit(1)).alias("count"), F.round(F.avg("value"), 6).alias("avg_value"))
-
-
-@query(
-    "partition_stats",
-    f"""SELECT {_DAY} AS partition_name, COUNT(*) AS row_count, {time_text_sql('MIN(ts)')} AS min_ts,
-        {time_text_sql('MAX(ts)')} AS max_ts FROM events GROUP BY 1""",
-)
-def partition_stats(spark, folder):
-    out = P.partition_stats(table(spark, folder, "events"), B.daily_partition(F.col("ts"), "events"), "ts")
-    return out.withColumn("min_ts", time_text(F.col("min_ts"))).withColumn("max_ts", time_text(F.col("max_ts")))
-
-
-@query("retention_prune", "SELECT event_id, event_type, value FROM events WHERE ts >= TIMESTAMP '2024-01-17 00:00:00'")
-def retention_prune(spark, folder):
-    return P.prune_older(table(spark, folder, "events"), "ts", AS_OF, 14).select("event_id", "event_type", "value")
-
-
 @query(
     "partition_rejects",
-    """SELECT event_id, event_type FROM events
+    f"""SELECT {_EVENT_COLS} FROM events
        WHERE NOT COALESCE(ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00', FALSE)""",
 )
 def partition_rejects(spark, folder):
     _, rejected = P.split_by_bounds(table(spark, folder, "events"), "ts", datetime(2024, 1, 5), datetime(2024, 1, 20))
-    return rejected.select("event_id", "event_type")
+    return event_rows(rejected)

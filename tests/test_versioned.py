@@ -228,3 +228,13 @@ def test_folding_loses_no_key():
     assert len(folded) < len(words) // 16
     hit = lambda x: (folded[V._words(x, len(folded))] & V._marks(x)) == V._marks(x)
     assert hit(h).all() and hit(h + np.uint64(12345)).mean() < 0.01
+
+
+def test_stored_queries_prune_their_partitions(spark, sf, plan):
+    import __spark_entry__ as E
+    from registry.stored import stored
+
+    text = plan(E.queries()["pruned_daily_agg"](spark, sf))
+    assert "PartitionFilters: [isnotnull(day" in text and "events_20240124" in text
+    days = stored(spark, sf, "events").partitions("events")
+    assert days.count() == 30 and days.where("files < 1 OR bytes < 1").isEmpty()
