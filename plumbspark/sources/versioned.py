@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbspark.functions.columns import all_set, quoted
+from plumbspark.functions.shared_dir import hadoop, names_in, remove
 from plumbspark.functions.sizes import is_small
 from plumbspark.operators import writes as W
 from plumbspark.operators.checks import duplicate_keys, violation_count
@@ -51,14 +52,8 @@ class Touched:
 # --- files of any store that Hadoop reads ------------------------------------------------
 
 
-def _hadoop(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def _read_text(spark: SparkSession, path: str) -> str:
-    at, fs = _hadoop(spark, path)
+    at, fs = hadoop(spark, path)
     stream = fs.open(at)
     try:
         return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -69,7 +64,7 @@ def _read_text(spark: SparkSession, path: str) -> str:
 def _publish_text(spark: SparkSession, path: str, text: str) -> bool:
     """The text appears under ``path`` as a whole, or not at all if there is a file already."""
     jvm = spark._jvm
-    draft, fs = _hadoop(spark, f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+    draft, fs = hadoop(spark, f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
     out = fs.create(draft, False)
     out.write(bytearray(text.encode()))
     out.close()
@@ -147,12 +142,11 @@ def _hash(keys: Sequence[str]) -> Column:
 class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        at, fs = _hadoop(spark, f"{self.folder}/log")
-        fs.mkdirs(at)
-        self._log, self._fs = at, fs
+        log, fs = hadoop(spark, f"{self.folder}/log")
+        fs.mkdirs(log)
 
     def versions(self) -> list[int]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._log)]
+        names = names_in(self.spark, f"{self.folder}/log")
         return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
 
     def version(self) -> int:
@@ -430,8 +424,7 @@ class Transaction:
     def rollback(self) -> None:
         """The staged files go; the snapshot that readers see was never touched."""
         for folder in self._folders:
-            at, fs = _hadoop(self.spark, folder)
-            fs.delete(at, True)
+            remove(self.spark, folder)
         self._folders = []
 
     def commit(

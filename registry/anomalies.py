@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbspark.operators import anomaly as A
 from plumbspark.operators import drift as D
+from plumbspark.operators.distance import two_sample_distances
 from registry.common import DIRTY_EVENTS_SQL, dirty_events, query, rounded, table
 
 _DIRTY = f"WITH dirty AS ({DIRTY_EVENTS_SQL})"
@@ -213,3 +214,19 @@ def _bin_sql(value: str, lo: str, hi: str, bins: int) -> str:
 def drift_psi(spark, folder):
     before, after = _periods(spark, folder)
     return rounded(D.population_stability(before, after, "value"))
+
+
+def _distance_sql(c: str) -> str:
+    return f"""SELECT '{c}' AS column_name, MAX(n_a) AS n_baseline, MAX(n_b) AS n_current, ROUND(MAX(gap), 6) AS ks,
+      arg_min(v, ROW(-gap, v)) AS ks_at, ROUND(SUM(gap * (next - v)), 6) AS wasserstein FROM (
+        SELECT v, n_a, n_b, lead(v) OVER (ORDER BY v) AS next, ABS(SUM(a) OVER (ORDER BY v) / n_a - SUM(b) OVER (ORDER BY v) / n_b) AS gap FROM (
+          SELECT CAST({c} AS DOUBLE) AS v, CAST(COUNT(*) FILTER (WHERE {_BEFORE}) AS DOUBLE) AS a, CAST(COUNT(*) FILTER (WHERE {_AFTER}) AS DOUBLE) AS b
+          FROM ({DIRTY_EVENTS_SQL}) WHERE {c} IS NOT NULL GROUP BY 1), (
+          SELECT COUNT({c}) FILTER (WHERE {_BEFORE}) AS n_a, COUNT({c}) FILTER (WHERE {_AFTER}) AS n_b FROM ({DIRTY_EVENTS_SQL})))"""
+
+
+@query("drift_ks", "\nUNION ALL ".join(_distance_sql(c) for c in ("event_id", "user_id", "value")))
+def drift_ks(spark, folder):
+    cut = F.lit(_CUT).cast("timestamp_ntz")
+    e = dirty_events(spark, folder)
+    return rounded(two_sample_distances(e.where(F.col("ts") < cut), e.where(F.col("ts") >= cut), ["event_id", "user_id", "value"]))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbspark.functions.shared_dir import shared_folder
 from plumbspark.operators import profile as P
+from plumbspark.operators import profile_state as S
 from registry.common import DIRTY_EVENTS_SQL, dirty_events, query, rounded, table, time_text, time_text_sql
 
 _TYPES = {
@@ -187,3 +189,32 @@ def _profile_sql() -> str:
 def profile_columns(spark, folder):
     p = P.column_profile(dirty_events(spark, folder), "events").drop("top_values")
     return rounded(p.withColumn("min_date", time_text(F.col("min_date"))).withColumn("max_date", time_text(F.col("max_date"))))
+
+
+# --- states by day, merged ------------------------------------------------------------
+
+
+def _incremental_sql() -> str:
+    exact = ["min_value", "max_value", "mean_value", "std_value", "skewness", "kurtosis", *_TOPS[:2], *_DATES[:2], *_DATES[3:]]
+    return (
+        f"{_DIRTY}, base AS ({_base_sql('dirty', _TYPES)}), num AS ({_numeric_sql('dirty', ['event_id', 'user_id', 'value'])}), "
+        f"cat AS ({_CATEGORICAL_SQL}), dates AS ({_DATES_SQL}) "
+        f"SELECT b.column_name, b.data_type, b.kind, b.total_count, b.null_count, b.null_percentage, {', '.join(exact)}, "
+        f"ROUND(CAST({S.UNIQUE_ERROR!r} AS DOUBLE), 6) AS unique_error, "
+        f"CASE WHEN b.kind = 'numeric' THEN ROUND(CAST({S.RANK_ERROR!r} AS DOUBLE), 6) END AS rank_error "
+        "FROM base b LEFT JOIN num n USING (column_name) LEFT JOIN cat c USING (column_name) LEFT JOIN dates d USING (column_name)"
+    )
+
+
+@query("profile_incremental", _incremental_sql())
+def profile_incremental(spark, folder):
+    """Days are profiled as they come, one of them twice; the profile is merged from what was stored. The estimates
+    themselves, which SQL can't state, are held against their errors in the tests."""
+    events = dirty_events(spark, folder).withColumn("day", F.date_format("ts", "yyyyMMdd"))
+    out = shared_folder(spark, "profile")
+    for days in ("day < '20240111'", "day BETWEEN '20240111' AND '20240120'", "day >= '20240120'"):
+        S.update_states(events.where(days), "day", out)
+    top = S.merged_top_values(spark, out, events, "day", k=1).select("column_name", F.col("value").alias("top_value"), F.col("count").alias("top_value_count"))
+    whole = S.merged_profile(spark, out).drop("unique_estimate", "q25", "median", "q75")
+    whole = whole.join(top, "column_name", "left").join(S.merged_date_parts(spark, out), "column_name", "left")
+    return rounded(whole.withColumn("min_date", time_text(F.col("min_date"))).withColumn("max_date", time_text(F.col("max_date"))))

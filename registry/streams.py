@@ -117,3 +117,41 @@ def stream_check_run(spark, folder):
     check = TableCheck("events", row_count_min=1, anomaly_rules=(Rule("large", "value > 400"),), null_limits=(NullLimit("user_id"),))
     B.check_stream(_stream(spark, folder), check, AS_OF, f"{out}/history", f"{out}/checkpoint")
     return table_status(spark.read.parquet(f"{out}/history"))
+
+
+def _arrivals(spark, folder, purpose, parts):
+    """Events that come in several loads: the k-th holds all times, of every ``parts``-th event."""
+    out = shared_folder(spark, purpose)
+    events = table(spark, folder, "events")
+    for k in range(parts):
+        events.where(F.col("event_id") % parts == k).write.mode("append").parquet(f"{out}/in")
+        yield out, S.file_stream(spark, f"{out}/in", events.schema, "ts"), k
+
+
+@query(
+    "stream_late_rows",
+    f"""WITH loads AS (SELECT *, event_id % 4 AS load FROM events),
+    marks AS (SELECT load, date_trunc('milliseconds', MAX(ts)) AS t FROM loads GROUP BY load),
+    known AS (SELECT a.load, MAX(b.t) - INTERVAL 1 HOUR AS mark FROM marks a JOIN marks b ON b.load < a.load GROUP BY a.load)
+    SELECT l.event_id, {time_text_sql('l.ts')} AS ts, l.user_id, l.event_type, l.value, l.props, {time_text_sql('mark')} AS mark,
+           load AS batch_id FROM loads l JOIN known USING (load) WHERE l.ts <= mark""",
+)
+def stream_late_rows(spark, folder):
+    for out, stream, _ in _arrivals(spark, folder, "late", 4):
+        B.keep_late(stream, "ts", "1 hour", out, f"{out}/checkpoint")
+    return _timed(B.late_rows(spark, out, stream.schema), "ts", "mark")
+
+
+@query(
+    "stream_upsert_compacted",
+    """SELECT user_id, event_id, event_type, value FROM events WHERE event_id IN (
+         SELECT arg_max(event_id, ROW(event_id % 4, event_id)) FROM events GROUP BY user_id)""",
+)
+def stream_upsert_compacted(spark, folder):
+    """The log is folded into its base after the third load, while the fourth is still to come, and again at the end."""
+    for out, stream, k in _arrivals(spark, folder, "compacted", 4):
+        changes = stream.select("user_id", "event_id", "event_type", "value")
+        B.upsert_stream(changes, f"{out}/log", f"{out}/checkpoint")
+        if k >= 2:
+            B.compact(spark, f"{out}/log", ["user_id"], "event_id")
+    return B.current_rows(spark, f"{out}/log", ["user_id"], "event_id")

@@ -124,3 +124,122 @@ def test_shared_folder_needs_a_setting_on_a_cluster():
 def test_window_metrics_aggregate_before_the_shuffle(spark, sf, plan):
     e = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     assert "partial_count" in plan(W.tumbling_metrics(e, "ts", "event_type", "value"))
+
+
+def dropped(spark, src, out, ck):
+    """What Spark's own stateful operator counts as dropped behind the watermark."""
+    stream = S.file_stream(spark, src, SCHEMA, "ts", files_per_batch=1)
+    once = stream.withWatermark("ts", "1 hour").dropDuplicates(["id", "ts"])
+    with S.LateRows(spark) as late:
+        return late.of(S.run_available(once, out, ck))
+
+
+def loads(n=5):
+    """Every load reaches further and holds rows of all earlier times."""
+    return [[(100 * k + i, at(1 + k * i // 10, i % 24, k), i, "a", 1.0) for i in range(20)] + [(100 * k + 99, None, 1, "a", 1.0)] for k in range(n)]
+
+
+def test_late_rows_are_kept_and_agree_with_the_counter(spark, tmp_path, rows):
+    src, counted = str(tmp_path / "in"), 0
+    for part in loads():
+        add_file(spark, src, part)
+        counted += dropped(spark, src, str(tmp_path / "o"), str(tmp_path / "c"))
+        stream = S.file_stream(spark, src, SCHEMA, "ts", files_per_batch=1)
+        B.keep_late(stream, "ts", "1 hour", str(tmp_path / "run"), str(tmp_path / "run_ck"))
+    late = B.late_rows(spark, str(tmp_path / "run"), stream.schema)
+    assert late.count() == counted > 10
+    whole = late.select("id").union(spark.read.parquet(str(tmp_path / "run/on_time")).select("id"))
+    assert rows(whole) == rows(spark.read.parquet(src).select("id"))
+
+    first = dropped(spark, src, str(tmp_path / "o2"), str(tmp_path / "c2"))  # all loads in one run
+    B.keep_late(stream, "ts", "1 hour", str(tmp_path / "one"), str(tmp_path / "one_ck"), lag=2)
+    late = B.late_rows(spark, str(tmp_path / "one"), stream.schema)
+    assert late.count() == first > 5
+    assert late.where("ts > mark OR ts IS NULL").isEmpty()
+    before = rows(late)
+    batch = spark.read.schema(SCHEMA).parquet(src).withColumn("ts", F.col("ts").cast("timestamp")).where("id BETWEEN 300 AND 399")
+    assert B.late_rows(spark, str(tmp_path / "nothing"), stream.schema).collect() == []
+    B._write_batch(batch.limit(0), 3, str(tmp_path / "one/marks_unused"))  # nothing else changes when a batch is repeated
+    assert rows(B.late_rows(spark, str(tmp_path / "one"), stream.schema)) == before
+
+
+def upserts(spark, tmp_path, n=4):
+    src, log = str(tmp_path / "in"), str(tmp_path / "log")
+    for k in range(n):
+        add_file(spark, src, [(10 * k + i, at(1), None if i == 9 else (i + k) % 7, f"b{k}", float(i)) for i in range(10)])
+        yield k, log, lambda: B.upsert_stream(S.file_stream(spark, src, SCHEMA, "ts").select("user", "id", "kind"), log, str(tmp_path / "ck"))
+
+
+@pytest.mark.parametrize("at_batch", [0, 1, 2, 3, None])
+def test_compaction_at_any_batch_changes_nothing(spark, tmp_path, rows, at_batch):
+    for k, log, run in upserts(spark, tmp_path):
+        run()
+        want = rows(B.current_rows(spark, log, ["user"], "id"))
+        if k == at_batch or (at_batch is None and k):
+            assert B.compact(spark, log, ["user"], "id") == k - 1
+            assert rows(B.current_rows(spark, log, ["user"], "id")) == want
+    assert B.compact(spark, log, ["user"], "id", upto=3) == 3
+    assert rows(B.current_rows(spark, log, ["user"], "id")) == want and not [x for x in (tmp_path / "log").glob("batch_id=*")]
+    assert len(list((tmp_path / "log-base").glob("upto=*"))) == 1
+
+
+def test_compaction_that_fails_between_its_writes(spark, tmp_path, rows, monkeypatch):
+    for k, log, run in upserts(spark, tmp_path):
+        run()
+    want = rows(B.current_rows(spark, log, ["user"], "id"))
+    saved = spark.read.parquet(f"{log}/batch_id=1").cache()
+    saved.count()
+
+    def fail(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(B, "remove", fail)
+        with pytest.raises(OSError):
+            B.compact(spark, log, ["user"], "id", upto=2)
+    assert rows(B.current_rows(spark, log, ["user"], "id")) == want  # base and batches are both there
+    assert B.compact(spark, log, ["user"], "id", upto=2) == 2
+    assert rows(B.current_rows(spark, log, ["user"], "id")) == want
+    B._write_batch(saved, 1, log)  # Spark repeats a batch that the base holds
+    assert rows(B.current_rows(spark, log, ["user"], "id")) == want
+    (tmp_path / "log-base/upto=9").mkdir()  # a base that was never finished
+    assert rows(B.current_rows(spark, log, ["user"], "id")) == want
+
+
+def test_timers_fire_in_a_silent_stream_and_once(spark, tmp_path):
+    import time
+
+    from plumbspark.streaming.silence import ROCKSDB, STORE, silence_timers
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    add_file(spark, src, [(1, at(1, 1), 1, "a", 1.0), (2, at(1, 5), 1, "a", 1.0), (3, at(1, 2), 2, "a", 1.0), (4, None, 3, "a", 1.0), (5, at(1), None, "a", 1.0)])
+    stream = S.file_stream(spark, src, SCHEMA, "ts")
+    with pytest.raises(ValueError, match="RocksDB"):
+        silence_timers(stream, "user", "ts", 3)
+    spark.conf.set(STORE, ROCKSDB)
+
+    def run(until, seconds):
+        alerts = silence_timers(stream, "user", "ts", 3)
+        query = alerts.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="500 milliseconds").start()
+        try:
+            end = time.time() + seconds
+            while time.time() < end:
+                query.processAllAvailable() if query.exception() else time.sleep(0.5)
+                try:
+                    got = sorted(((r.entity, r.last_event, r.events) for r in spark.read.parquet(out).collect()), key=repr)
+                except Exception:
+                    got = []
+                if until and len(got) >= until:
+                    return got
+            return got
+        finally:
+            query.stop()
+
+    try:
+        first = run(3, 90)
+        assert first == [(1, at(1, 5), 2), (2, at(1, 2), 1), (3, None, 1)]
+        assert run(None, 8) == first  # restarted from the checkpoint: no second alert
+        add_file(spark, src, [(6, at(2, 1), 2, "a", 1.0)])
+        assert sorted(run(4, 90), key=repr) == sorted([*first, (2, at(2, 1), 1)], key=repr)
+    finally:
+        spark.conf.unset(STORE)
