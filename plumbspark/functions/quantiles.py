@@ -2,15 +2,16 @@
 
 Spark's built-in ``percentile`` keeps a value -> count map per group in one task. Instead:
 
-1. one or more sketch rounds: ``percentile_approx`` on a grid of fractions gives
+1. sketch rounds: ``percentile_approx`` on a grid of fractions gives
    a bracket of two values around every wanted rank; the next round looks only
    inside the bracket. The sketches are coarse, because every task sends one to
-   the task that merges them; three rounds narrow 10^13 rows to a few million;
+   the task that merges them; three rounds narrow 10^13 rows to a few million.
+   Up to BRACKET_ROWS rows no round is needed: the bracket is everything;
 2. one counting pass: rows between the brackets collapse to one count per task,
    rows inside a bracket to one count per distinct value;
 3. a running sum over the bracket, which picks the two order statistics.
 
-Every size takes this way; the number of rounds alone follows the rows. A
+The number of rounds alone follows the rows. A
 bracket that missed its rank raises an error; it never yields a wrong value.
 """
 
@@ -41,17 +42,22 @@ def exact_quantiles(
     rows: int | None = None,
     rounds: int | None = None,
     few: bool | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """``[*by, n, *names]``: values counted and one quantile per fraction. NULL and NaN are no values.
 
     One row for each group, and one for a whole table, also where there is no value: ``n`` is 0 and the
-    quantiles NULL. ``rows`` and ``few`` (see ``few_groups``) save a job each when the caller knows them.
+    quantiles NULL. ``rows`` and ``few`` (see ``few_groups``) save a job each when the caller knows them; ``largest``
+    bounds the rows of a group (default: ``rows``).
     """
     by, fractions, names = list(by), [float(f) for f in fractions], list(names)
     number = value.cast("double")
     data = df.select(*by, F.when(~F.isnan(number), number).alias(_V))
     if rounds is None:
-        rounds = sketch_rounds(df.count() if rows is None else rows)
+        rows = df.count() if rows is None else rows
+        rounds = sketch_rounds(rows) if (rows if largest is None else largest) > BRACKET_ROWS else 0
+    if not rounds:
+        return _counted(data, fractions, names, by)
     if by and few is None:
         few = few_groups(df, by)
     return _bracketed(data, fractions, names, by, rounds, bool(few))
@@ -66,6 +72,27 @@ def sketch_rounds(rows: int) -> int:
     return rounds
 
 
+def _interpolated(pos: Column, a: Column, b: Column) -> Column:
+    between = (F.ceil(pos) - pos) * a + (pos - F.floor(pos)) * b
+    return F.when(a == b, a).otherwise(between)
+
+
+def _counted(data: DataFrame, fractions: list[float], names: list[str], by: list[str]) -> DataFrame:
+    """The running sum over the counts of all values; a group's missing values count nothing but keep its row."""
+    counts = data.groupBy(*by, _V).agg(F.count(_V).alias("__c"))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    end, v = F.sum("__c").over(group.orderBy(_V)), F.col(_V)
+    ranked = counts.select(*by, _V, end.alias("__end"), (end - F.col("__c")).alias("__start"), F.sum("__c").over(group).alias("__n"))
+    aggs = []
+    for i, f in enumerate(fractions):
+        pos = F.lit(f) * (F.col("__n") - 1)
+        for rank, name in ((F.floor(pos), f"__a{i}"), (F.ceil(pos), f"__b{i}")):
+            aggs.append(F.max(F.when((F.col("__start") <= rank) & (rank < F.col("__end")), v)).alias(name))
+    picked = ranked.groupBy(*by).agg(F.coalesce(F.max("__n"), F.lit(0)).alias("n"), *aggs)
+    values = [_interpolated(F.lit(f) * (F.col("n") - 1), F.col(f"__a{i}"), F.col(f"__b{i}")).alias(x) for i, (f, x) in enumerate(zip(fractions, names))]
+    return picked.select(*by, "n", *values)
+
+
 def approx_quantiles(
     df: DataFrame,
     value: Column,
@@ -192,8 +219,7 @@ def _bracketed(
         return F.max(F.when(here, found))
 
     picked = ranked.groupBy(*by, "q", "pos", "n").agg(at(F.floor("pos")).alias("a"), at(F.ceil("pos")).alias("b"))
-    between = (F.ceil("pos") - F.col("pos")) * F.col("a") + (F.col("pos") - F.floor("pos")) * F.col("b")
-    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(between)
+    value = _interpolated(F.col("pos"), F.col("a"), F.col("b"))
     out = picked.groupBy(*by).agg(*[F.max(F.when(F.col("q") == i, value)).alias(x) for i, x in enumerate(names)])
     every = brackets.select(*by, F.col("__n").alias("n"))
     if not by:

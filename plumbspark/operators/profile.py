@@ -7,7 +7,7 @@ state is spread over the shuffle instead of sitting in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -175,7 +175,7 @@ def _quartiles(df: DataFrame, fields: list[T.StructField], exact: bool, rows: in
     if exact and rows is None:
         rows = df.count()
     pick = exact_quantiles if exact else approx_quantiles
-    extra = {"rows": rows * len(fields), "few": True} if exact else {}  # a group for each column
+    extra = {"rows": rows * len(fields), "few": True, "largest": rows} if exact else {}  # a group for each column
     names = ["q25_value", "median_value", "q75_value"]
     out = pick(values, F.col("value"), [0.25, 0.5, 0.75], names, by=["column_name"], **extra)
     return out.select("column_name", *names, (F.col("q75_value") - F.col("q25_value")).alias("iqr_value"))
@@ -390,10 +390,13 @@ def table_summary(base: DataFrame) -> DataFrame:
     )
 
 
-def profile_all(tables: dict[str, DataFrame], exact: bool = True) -> DataFrame:
-    """Base profile of several tables, one branch per table under a union."""
-    parts = [
-        base_profile(df, exact=exact).select(F.lit(name).alias("table_name"), "*")
-        for name, df in tables.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+def profile_all(tables: dict[str, DataFrame], exact: bool = True, long_text: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """The column profile of several tables, one branch per table under a union; what a kind of column doesn't have
+    is NULL. ``long_text``: by table, text columns that are counted by their digest."""
+    parts = [column_profile(df, name, exact, long_text=(long_text or {}).get(name, ())) for name, df in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def top_text(top: Column) -> Column:
+    """``top_values`` as one text, ``value:count`` joined by commas."""
+    return F.array_join(F.transform(top, lambda t: F.concat(t["value"], F.lit(":"), t["count"].cast("string"))), ",")

@@ -70,11 +70,12 @@ def anomaly_zscore_thresholds(spark, folder):
 @query(
     "anomaly_iqr_documents",
     """WITH q AS (SELECT quantile_cont(n_chars, 0.25) AS q1, quantile_cont(n_chars, 0.75) AS q3 FROM documents)
-    SELECT doc_id, CAST(n_chars AS DOUBLE) AS value, 'iqr' AS method FROM documents, q
+    SELECT doc_id, CAST(n_chars AS DOUBLE) AS value, 'iqr' AS method,
+           ROUND(CASE WHEN n_chars > q3 + 1.5 * (q3 - q1) THEN n_chars - q3 ELSE q1 - n_chars END / NULLIF(q3 - q1, 0), 6) AS score FROM documents, q
     WHERE n_chars < q1 - 1.5 * (q3 - q1) OR n_chars > q3 + 1.5 * (q3 - q1)""",
 )
 def anomaly_iqr_documents(spark, folder):
-    return A.detect_anomalies(table(spark, folder, "documents"), "n_chars", ["doc_id"]).drop("score")
+    return rounded(A.detect_anomalies(table(spark, folder, "documents"), "n_chars", ["doc_id"]))
 
 
 @query(
@@ -177,7 +178,7 @@ def _drift_stats(c: str, where: str) -> str:
 
 
 def _both(where: str) -> str:
-    return _drift_stats("user_id", where) + " UNION ALL " + _drift_stats("value", where)
+    return " UNION ALL ".join(_drift_stats(c, where) for c in ("event_id", "user_id", "value"))
 
 
 _BEFORE, _AFTER = f"ts < {_CUT_SQL}", f"ts >= {_CUT_SQL}"
@@ -193,7 +194,7 @@ _BEFORE, _AFTER = f"ts < {_CUT_SQL}", f"ts >= {_CUT_SQL}"
 )
 def drift_profile(spark, folder):
     before, after = _periods(spark, folder)
-    return rounded(D.drift_profile(before, after, ["user_id", "value"]))
+    return rounded(D.drift_profile(before, after, ["event_id", "user_id", "value"]))
 
 
 def _bin_sql(value: str, lo: str, hi: str, bins: int) -> str:

@@ -290,12 +290,14 @@ def check_run_summary(spark, folder):
 
 @query(
     "anomaly_samples",
-    """SELECT table_name, anomaly_type, sample_no, event_id FROM (
+    """SELECT table_name, anomaly_type, sample_no, event_id, data_sample FROM (
          SELECT 'events' AS table_name, anomaly_type, event_id,
+                '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '","user_id":' || user_id || ',"event_type":"' ||
+                event_type || '","value":' || value || ',"props":"' || replace(props, '"', '\\"') || '"}' AS data_sample,
                 CAST(row_number() OVER (PARTITION BY anomaly_type ORDER BY event_id) AS INTEGER) AS sample_no
-         FROM (SELECT event_id, 'large' AS anomaly_type FROM events WHERE value > 200
-               UNION ALL SELECT event_id, 'error' FROM events WHERE event_type = 'error')) WHERE sample_no <= 5""",
+         FROM (SELECT *, 'large' AS anomaly_type FROM events WHERE value > 200
+               UNION ALL SELECT *, 'error' FROM events WHERE event_type = 'error')) WHERE sample_no <= 5""",
 )
 def anomaly_samples(spark, folder):
     check = C.TableCheck("events", anomaly_rules=(C.Rule("large", "value > 200"), C.Rule("error", "event_type = 'error'")))
-    return C.rule_samples(table(spark, folder, "events"), check, ["event_id"]).drop("data_sample")
+    return C.rule_samples(table(spark, folder, "events"), check, ["event_id"])

@@ -88,3 +88,19 @@ def test_approximate_is_close(spark, sf):
     a = Q.approx_quantiles(li, F.col("l_quantity"), [0.5], ["m"]).first()
     b = Q.exact_quantiles(li, F.col("l_quantity"), [0.5], ["m"]).first()
     assert abs(a.m - b.m) <= 1
+
+
+def test_no_round_gives_the_same(spark):
+    rng = np.random.default_rng(9)
+    rows = [("hot", float(x)) for x in rng.normal(0, 1, 2000).round(1)] + [(None, float(x)) for x in range(7)]
+    rows += [("few", 1.0), ("few", None), ("few", float("nan")), ("none", None), ("inf", float("inf")), ("inf", -1.0)]
+    df = spark.createDataFrame(rows, "g STRING, v DOUBLE").repartition(5)
+    got = {r.g: list(r)[1:] for r in Q.exact_quantiles(df, F.col("v"), FRACTIONS, NAMES, by=["g"], rounds=0).collect()}
+    assert set(got) == {"hot", None, "few", "none", "inf"} and got["none"] == [0] + [None] * len(FRACTIONS)
+    for g in ("hot", None, "few"):
+        values = [v for k, v in rows if k == g and v is not None and v == v]
+        assert got[g][0] == len(values) and got[g][1:] == pytest.approx(expected(values))
+    whole = Q.exact_quantiles(df.where("g <> 'inf'"), F.col("v"), FRACTIONS, NAMES).first()
+    assert list(whole)[1:] == pytest.approx(expected([v for k, v in rows if k not in ("inf", None) and v is not None and v == v]))
+    for nothing in (df.where("g = 'none'"), df.limit(0)):
+        assert [tuple(r) for r in Q.exact_quantiles(nothing, F.col("v"), [0.5], ["m"]).collect()] == [(0, None)]
