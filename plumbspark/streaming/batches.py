@@ -6,13 +6,13 @@ a batch that Spark repeats leaves the same rows behind.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from plumbspark.functions.columns import all_set, quoted
+from plumbspark.functions.columns import all_set, clean_double, quoted
 from plumbspark.functions.shared_dir import exists, names_in, remove
 from plumbspark.operators.checks import TableCheck
 from plumbspark.operators.writes import upsert
@@ -153,3 +153,18 @@ def late_rows(spark: SparkSession, out: str, schema) -> DataFrame:
     if not [n for n in names_in(spark, f"{out}/late") if n.startswith("batch_id=")]:
         return spark.createDataFrame([], f"{kinds}, mark timestamp, batch_id bigint")
     return spark.read.schema(f"{kinds}, mark timestamp, batch_id bigint").parquet(f"{out}/late")
+
+
+def flag_stream(stream: DataFrame, limits: Callable[[], DataFrame], value: str, log: str, checkpoint: str) -> StreamingQuery:
+    """Every micro-batch with ``is_anomaly``, by the bounds that ``limits`` gives when the batch is run.
+
+    ``limits`` returns a row of ``iqr_thresholds``; NULL bounds flag nothing. The flagged rows are kept by batch, and a
+    repeated batch is flagged anew. ``windows.flagged_rate`` makes rates of them.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        v, bounds = clean_double(batch, value), limits().first()
+        outside = [v < F.lit(bounds.lower_bound).cast("double"), v > F.lit(bounds.upper_bound).cast("double")]
+        _write_batch(batch.withColumn("is_anomaly", F.coalesce(outside[0] | outside[1], F.lit(False))), batch_id, log)
+
+    return _start(stream, each, checkpoint)

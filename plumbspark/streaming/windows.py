@@ -66,6 +66,23 @@ def sliding_anomaly_rate(
     )
 
 
+def flagged_rate(stream: DataFrame, ts: str, length: str = "2 days", slide: str = "1 day", lateness: str = LATENESS) -> DataFrame:
+    """Share of flagged rows (``is_anomaly``, see ``batches.flag_stream``) per sliding window."""
+    return (
+        stream.select(ts, "is_anomaly")
+        .withWatermark(ts, lateness)
+        .groupBy(F.window(ts, length, slide).alias("w"))
+        .agg(F.count(F.lit(1)).alias("total"), F.count_if("is_anomaly").alias("anomalies"))
+        .select(
+            F.col("w.start").alias("window_start"),
+            F.col("w.end").alias("window_end"),
+            "total",
+            "anomalies",
+            F.round(F.try_divide("anomalies", "total") * 100, 2).alias("anomaly_rate"),
+        )
+    )
+
+
 def silence_alerts(
     stream: DataFrame, entity: str, ts: str, hours: int, lateness: str = LATENESS
 ) -> DataFrame:

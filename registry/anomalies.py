@@ -231,3 +231,40 @@ def drift_ks(spark, folder):
     cut = F.lit(_CUT).cast("timestamp_ntz")
     e = dirty_events(spark, folder)
     return rounded(two_sample_distances(e.where(F.col("ts") < cut), e.where(F.col("ts") >= cut), ["event_id", "user_id", "value"]))
+
+
+@query(
+    "anomaly_by_method",
+    f"""{_DIRTY}, {_iqr_sql('dirty')}, z AS (SELECT AVG(value) AS mean, stddev_samp(value) AS std FROM dirty)
+    SELECT 'iqr' AS method, COUNT(*) AS flagged, ROUND(MIN(value), 6) AS lowest, ROUND(MAX(value), 6) AS highest FROM dirty, lim
+    WHERE value < lower_bound OR value > upper_bound
+    UNION ALL SELECT 'zscore', COUNT(*), ROUND(MIN(value), 6), ROUND(MAX(value), 6) FROM dirty, z WHERE ABS((value - mean) / std) > 3
+    UNION ALL SELECT 'unknown', 0, NULL, NULL
+    UNION ALL SELECT 'bounds', COUNT(*), ROUND(MIN(value), 6), ROUND(MAX(value), 6) FROM dirty WHERE value < 1 OR value > 300""",
+)
+def anomaly_by_method(spark, folder):
+    """Methods by name: two built-in ones, one that is added here, and one that nobody knows."""
+    events = dirty_events(spark, folder)
+
+    def bounds(df, column, by=(), low=1.0, high=300.0):
+        v = F.nanvl(F.col(column), F.lit(None).cast("double"))
+        off = F.greatest(low - v, v - high)
+        return df.withColumn("__value", v).withColumn("__score", off).withColumn("is_anomaly", F.coalesce(off > 0, F.lit(False)))
+
+    def counted(method):
+        found = A.detect_anomalies(events, "value", ["event_id"], method)
+        return found.agg(
+            F.lit(method).alias("method"), F.count(F.lit(1)).alias("flagged"), F.min("value").alias("lowest"), F.max("value").alias("highest")
+        )
+
+    A.register_detector("bounds", bounds)
+    try:
+        out = counted("iqr").unionByName(counted("zscore")).unionByName(counted("bounds"))
+        try:
+            A.detect_anomalies(events, "value", ["event_id"], "unknown")
+        except ValueError:
+            none = spark.createDataFrame([("unknown", 0, None, None)], "method string, flagged bigint, lowest double, highest double")
+            out = out.unionByName(none)
+    finally:
+        del A.DETECTORS["bounds"]
+    return rounded(out)

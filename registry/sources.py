@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
+from plumbspark.functions.shared_dir import shared_folder
 from plumbspark.sources import tables as S
 from registry.common import TABLES, query, table
 
@@ -87,3 +90,25 @@ def table_row_counts(spark, folder):
 @query("sample_rows", "SELECT event_id, user_id, event_type, value FROM events ORDER BY event_id LIMIT 100")
 def sample_rows(spark, folder):
     return S.sample_rows(table(spark, folder, "events").select("event_id", "user_id", "event_type", "value"), ["event_id"], 100)
+
+
+_OBSERVED = {"events": "value > 20", "orders": "o_orderstatus = 'F'", "lineitem": "l_quantity < 10"}
+
+
+@query(
+    "observed_metrics",
+    "\nUNION ALL ".join(
+        f"""SELECT '{t}' AS table_name, COUNT(*) AS row_count, (SELECT COUNT(*) FROM information_schema.columns WHERE table_name = '{t}') AS column_count,
+            TRUE AS timed FROM {t} WHERE {c}"""
+        for t, c in _OBSERVED.items()
+    ),
+)
+def observed_metrics(spark, folder):
+    """Rows and columns of results, counted while they are written, and the time that took."""
+    out, rows = shared_folder(spark, "observed"), []
+    for t, condition in _OBSERVED.items():
+        result, watch = S.observed(table(spark, folder, t).where(condition), t)
+        start = time.perf_counter()
+        result.write.parquet(f"{out}/{t}")
+        rows.append((t, watch.get["row_count"], watch.get["column_count"], time.perf_counter() - start > 0))
+    return spark.createDataFrame(rows, "table_name string, row_count bigint, column_count bigint, timed boolean")

@@ -155,3 +155,23 @@ def stream_upsert_compacted(spark, folder):
         if k >= 2:
             B.compact(spark, f"{out}/log", ["user_id"], "event_id")
     return B.current_rows(spark, f"{out}/log", ["user_id"], "event_id")
+
+
+@query(
+    "stream_sliding_refreshed",
+    f"""WITH loads AS (SELECT *, event_id % 3 AS load FROM events),
+    known AS (SELECT a.load, quantile_cont(b.value, 0.25) AS q1, quantile_cont(b.value, 0.75) AS q3
+              FROM range(3) a(load) JOIN loads b ON b.load <= a.load GROUP BY a.load),
+    w AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) - to_days(CAST(k AS INTEGER)) AS a,
+                 value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) AS bad FROM loads JOIN known USING (load), range(2) r(k)),
+    c AS (SELECT a, COUNT(*) AS total, COUNT(*) FILTER (WHERE bad) AS anomalies FROM w, {_MARK} m
+          WHERE a + INTERVAL 2 DAY <= mark GROUP BY a)
+    SELECT {time_text_sql('a')} AS window_start, {time_text_sql('a + INTERVAL 2 DAY')} AS window_end, total, anomalies,
+           ROUND(100.0 * anomalies / total, 2) AS anomaly_rate FROM c""",
+)
+def stream_sliding_refreshed(spark, folder):
+    """Bounds come from all events that have arrived when a batch is run."""
+    for out, stream, _ in _arrivals(spark, folder, "refreshed", 3):
+        B.flag_stream(stream, lambda out=out: iqr_thresholds(spark.read.parquet(f"{out}/in"), "value"), "value", f"{out}/flagged", f"{out}/checkpoint")
+    flagged = S.file_stream(spark, f"{out}/flagged", spark.read.parquet(f"{out}/flagged").schema)
+    return _timed(_finished(spark, W.flagged_rate(flagged, "ts"), "refreshed_rates"), "window_start", "window_end")
