@@ -15,6 +15,8 @@ from plumbspark.llm.storage import written
 WINDOW = 8
 #: Matched windows that make an item found; an item with fewer windows needs all of them.
 ENOUGH = 6
+#: So many different beginnings of item windows go to the tasks; beyond it every window of every text is hashed.
+STARTS = 50_000
 NUMBER, UNIT, NAME = "§d", "§u", "§n"
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg t gram grams kilogram kilograms pound pounds "
@@ -57,33 +59,45 @@ def _templates(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _hashes(tokens: str) -> Column:
-    return F.transform(tokens, lambda t: F.xxhash64(t))
+def _start(tokens: str, at: Column, size: int) -> Column:
+    """A hash of the first two tokens of a window, or of the one that it has."""
+    return F.xxhash64(*[F.get(tokens, at + k) for k in range(min(2, size))])
 
 
-def _windows(rows: DataFrame, key: str, at: str, size: int) -> DataFrame:
+def _windows(rows: DataFrame, key: str, at: str, size: int, starts: list[int] | None) -> DataFrame:
     """(key, at, size, window): a hash of each run of ``size`` template tokens, and one of the same run of folded
-    tokens where it isn't the same. No folded token looks like a placeholder, so both kinds share one column."""
+    tokens where it isn't the same. No folded token looks like a placeholder, so both kinds share one column.
+
+    With ``starts`` only the runs that begin like one of them are hashed: the others match nothing."""
     n = F.lit(size)
-    some = rows.where((F.size("template") >= n) & (F.get("template", F.lit(0)) != ""))
-    hashed = some.select(key, _hashes("template").alias("t"), _hashes("plain").alias("p"))
+    whole = f"size(template) >= {size} AND template[0] != ''"
+    # no filter on the texts' arrays, and none that Spark infers from an inner explode: either computes them twice
+    places = F.expr(f"CASE WHEN {whole} THEN sequence(0, size(template) - {size}) ELSE array() END")
+    if starts is not None:
+        known = ", ".join(f"{h}L" if h > -(2**63) else "(-9223372036854775807L - 1L)" for h in starts)
+        begins = [f"xxhash64({', '.join(f'get({c}, i + {k})' for k in range(min(2, size)))}) IN ({known})" for c in ("template", "plain")]
+        places = F.expr(f"filter(CASE WHEN {whole} THEN sequence(0, size(template) - {size}) ELSE array() END, i -> {' OR '.join(begins)})")
     both = F.transform(
-        F.sequence(F.lit(1), F.size("t") - n + 1),
-        lambda i: F.array_distinct(F.array(F.xxhash64(F.slice("t", i, n)), F.xxhash64(F.slice("p", i, n)))),
+        places,
+        lambda i: F.struct(
+            i.alias("at"),
+            F.array_distinct(F.array(F.xxhash64(F.slice("template", i + 1, n)), F.xxhash64(F.slice("plain", i + 1, n)))).alias("windows"),
+        ),
     )
-    each = hashed.select(key, n.alias("size"), F.posexplode(both).alias(at, "windows"))
+    each = rows.select(key, n.alias("size"), F.explode_outer(both).alias("w")).where("w IS NOT NULL")
+    each = each.select(key, "size", F.col("w.at").alias(at), "w.windows")
     return each.select(key, "size", at, F.explode("windows").alias("window"))
 
 
 def item_windows(items: DataFrame, size: int = WINDOW, slot_heavy: bool = False) -> DataFrame:
-    """(item_id, ipos, size, window, slots, n_windows) of the windows in which at least half of the tokens are
+    """(item_id, ipos, size, window, start, slots, n_windows) of the windows in which at least half of the tokens are
     words, twice: by the template with ``slots`` (place in the window, value), and by the folded tokens, where
     these differ, without slots. With ``slot_heavy`` the other windows are there too, by the folded tokens only.
-    An item of fewer tokens than ``size`` is one window."""
+    An item of fewer tokens than ``size`` is one window. ``start`` hashes a window's first tokens."""
     made = _templates(items, "item_id").where(F.get("template", F.lit(0)) != "").withColumn("n", F.least(F.size("template"), F.lit(size)))
     places = F.sequence(F.lit(1), F.size("template") - F.col("n") + 1)
     each = made.select(
-        "item_id", "n", "raw", "template", _hashes("template").alias("t"), _hashes("plain").alias("plain"), F.explode(places).alias("p")
+        "item_id", "n", "raw", "template", "plain", F.explode(places).alias("p")
     )
     part = F.slice("template", F.col("p"), F.col("n"))
     slots = F.filter(
@@ -97,16 +111,20 @@ def item_windows(items: DataFrame, size: int = WINDOW, slot_heavy: bool = False)
         "item_id",
         (F.col("p") - 1).alias("ipos"),
         F.col("n").alias("size"),
-        F.xxhash64(F.slice("t", F.col("p"), F.col("n"))).alias("window"),
+        F.xxhash64(F.slice("template", F.col("p"), F.col("n"))).alias("window"),
         F.xxhash64(F.slice("plain", F.col("p"), F.col("n"))).alias("plain"),
+        *[
+            F.when(F.col("n") == 1, _start(c, F.col("p") - 1, 1)).otherwise(_start(c, F.col("p") - 1, 2)).alias(f"{c}_start")
+            for c in ("template", "plain")
+        ],
         slots.alias("slots"),
     )
     wordy = 2 * F.size("slots") <= F.col("size")
     found = found if slot_heavy else found.where(wordy)
     totals = found.groupBy("item_id").agg(F.count("*").alias("n_windows"))
     none = F.filter("slots", lambda s: F.lit(False)).alias("slots")
-    by_template = found.where(wordy).select("item_id", "ipos", "size", "window", "slots")
-    by_plain = found.where("plain != window").select("item_id", "ipos", "size", F.col("plain").alias("window"), none)
+    by_template = found.where(wordy).select("item_id", "ipos", "size", "window", F.col("template_start").alias("start"), "slots")
+    by_plain = found.where("plain != window").select("item_id", "ipos", "size", F.col("plain").alias("window"), F.col("plain_start").alias("start"), none)
     return by_template.unionByName(by_plain).join(totals, "item_id")
 
 
@@ -137,12 +155,13 @@ def contaminated(
     """
     rows = rows_of(docs, id_col, text_col).where("doc_id IS NOT NULL AND text IS NOT NULL")
     named = items.select(items[item_id_col].cast("bigint").alias("item_id"), items[item_text_col].alias("text"))
-    wanted = item_windows(named.where("item_id IS NOT NULL AND text IS NOT NULL").distinct(), size, slot_heavy)
+    wanted = written(item_windows(named.where("item_id IS NOT NULL AND text IS NOT NULL").distinct(), size, slot_heavy), "item-windows")
     texts = _templates(rows, "doc_id")
     keys = broadcast_if_small(wanted.select("item_id", "ipos", "size", "window", "slots", "n_windows"))
     found = None
     for n in sorted(r["size"] for r in wanted.select("size").distinct().collect()):  # one, or the short items' lengths too
-        hits = _windows(texts, "doc_id", "pos", n).join(keys, ["size", "window"])
+        starts = [r.start for r in wanted.where(F.col("size") == n).select("start").distinct().limit(STARTS + 1).collect()]
+        hits = _windows(texts, "doc_id", "pos", n, starts if len(starts) <= STARTS else None).join(keys, ["size", "window"])
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_matched long, n_windows long")

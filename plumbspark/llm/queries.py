@@ -122,7 +122,7 @@ def _template_sql(source: str, key: str) -> str:
 
     units = ", ".join(f"'{u}'" for u in UNITS)
     return f"""
-    SELECT {key}, raw, list_transform(range(1, len(raw) + 1), lambda i: CASE
+    SELECT {key}, raw, list_transform(raw, lambda t: replace(lower(upper(t)), 'ß', 'ss')) AS plain, list_transform(range(1, len(raw) + 1), lambda i: CASE
                WHEN regexp_matches(raw[i], '^\\p{{N}}') THEN '§d'
                WHEN i > 1 AND lower(raw[i]) IN ({units}) AND regexp_matches(raw[i - 1], '^\\p{{N}}') THEN '§u'
                WHEN regexp_matches(raw[i], '^\\p{{Lu}}') THEN '§n'
@@ -139,26 +139,37 @@ def _template_sql(source: str, key: str) -> str:
 ORACLE["op9_template_decontamination"] = f"""
 WITH items AS ({_template_sql("(SELECT DISTINCT item_id, text FROM benchmark)", "item_id")}
 ), iw AS (
-    SELECT item_id, p - 1 AS ipos, n, template[p : p + n - 1] AS w, raw[p : p + n - 1] AS r FROM (
+    SELECT item_id, p - 1 AS ipos, n, template[p : p + n - 1] AS w, plain[p : p + n - 1] AS pl, raw[p : p + n - 1] AS r FROM (
         SELECT *, unnest(range(1, len(template) - n + 2)) AS p FROM (
             SELECT *, least(len(template), 8) AS n FROM items))
-), wanted AS (
-    SELECT *, count(*) OVER (PARTITION BY item_id) AS n_windows
-    FROM iw WHERE 2 * len(list_filter(w, lambda t: starts_with(t, '§'))) <= n
-), docs AS ({_template_sql("documents", "doc_id")}
+), counted AS (
+    SELECT *, count(*) OVER (PARTITION BY item_id) AS n_windows,
+           2 * len(list_filter(w, lambda t: starts_with(t, '§'))) <= n AS wordy FROM iw
+), wanted AS (  -- by the template with its slots, and word for word in any case without
+    SELECT item_id, ipos, n, n_windows, w AS k, w AS slots, r FROM counted WHERE wordy
+    UNION ALL SELECT item_id, ipos, n, n_windows, pl, [], [] FROM counted WHERE pl <> w
+), docs AS MATERIALIZED (SELECT row_number() OVER () AS d, * FROM ({_template_sql("documents", "doc_id")})
+), tokens AS (
+    SELECT d, doc_id, unnest(range(1, len(raw) + 1)) AS p, unnest(template) AS t, unnest(plain) AS f, unnest(raw) AS r FROM docs
+), runs AS (
+    SELECT doc_id, d, p, list(t) OVER w AS t, list(f) OVER w AS f, list(r) OVER w AS r
+    FROM tokens WINDOW w AS (PARTITION BY d ORDER BY p ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)
 ), dw AS (
-    SELECT doc_id, p - 1 AS pos, n, template[p : p + n - 1] AS w, raw[p : p + n - 1] AS dr FROM (
-        SELECT *, unnest(range(1, len(template) - n + 2)) AS p FROM docs, (SELECT DISTINCT n FROM wanted))
+    SELECT DISTINCT doc_id, d, p, n, unnest([hash(t[1:n]), hash(f[1:n])]) AS h, r[1:n] AS dr
+    FROM runs, (SELECT DISTINCT n FROM wanted) WHERE len(r) >= n
 ), hits AS (
-    SELECT doc_id, item_id, pos, ipos, pos - ipos AS shift, n_windows, w, r, dr FROM dw JOIN wanted USING (n, w)
-), slots AS (
-    SELECT doc_id, item_id, shift, unnest(r) AS iv, unnest(dr) AS dv, unnest(w) AS t FROM hits
+    SELECT doc_id, item_id, p - 1 AS pos, ipos, p - 1 - ipos AS shift, n_windows, slots, r, dr
+    FROM dw JOIN wanted ON dw.n = wanted.n AND dw.h = hash(wanted.k)
+), found AS (
+    SELECT doc_id, item_id, shift, unnest(r) AS iv, unnest(list_slice(dr, 1, len(r))) AS dv, unnest(slots) AS t FROM hits
 ), bad AS (
-    SELECT DISTINCT doc_id, item_id, shift FROM slots WHERE starts_with(t, '§')
+    SELECT DISTINCT doc_id, item_id, shift FROM found WHERE starts_with(t, '§')
     GROUP BY doc_id, item_id, shift, lower(iv) HAVING count(DISTINCT lower(dv)) > 1
+), many AS (
+    SELECT doc_id, item_id FROM hits GROUP BY ALL HAVING count(DISTINCT ipos) >= least(6, any_value(n_windows))
 ), offsets AS (
     SELECT doc_id, item_id, shift, count(DISTINCT ipos) AS n, any_value(n_windows) AS n_windows
-    FROM hits ANTI JOIN bad USING (doc_id, item_id, shift) GROUP BY ALL
+    FROM hits SEMI JOIN many USING (doc_id, item_id) ANTI JOIN bad USING (doc_id, item_id, shift) GROUP BY ALL
 )
 SELECT doc_id, item_id, CAST(least(sum(n), any_value(n_windows)) AS BIGINT) AS n_matched, any_value(n_windows) AS n_windows
 FROM offsets GROUP BY doc_id, item_id HAVING sum(n) >= least(6, any_value(n_windows))
