@@ -174,10 +174,10 @@ class TokenCounter:
 
 class Encoder:
     """Ids by the tokenizers library. Where the vocabulary's pre-tokenizer drops all white space, texts
-    are cut at ASCII white space and the ids of a chunk are remembered, up to ``memory`` chunks; else
-    whole texts go to the library."""
+    are cut at ASCII white space and the ids of a chunk are remembered: up to ``words`` chunks as they stand, in flat
+    arrays, and ``memory`` lower-cased ones without their tails; else whole texts go to the library."""
 
-    def __init__(self, path: str, memory: int = 250_000):
+    def __init__(self, path: str, memory: int = 250_000, words: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -188,16 +188,21 @@ class Encoder:
         self.width = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self.memory = memory
         self.known: dict[str, bytes] = {}
+        self.words = words
+        self._forget()
         symbols = byte_symbols()
         self._symbols = {c: "".join(symbols[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
+    def _forget(self) -> None:
+        self._seen, self._ids, self._ends = pa.array([], pa.string()), np.empty(0, self.width), np.zeros(1, np.int64)
+
     def _bytes(self, ids: list[int]) -> bytes:
         return array("H" if self.width is np.uint16 else "I", ids).tobytes()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for a in range(0, len(texts), 2048):  # an encoding holds far more than its ids
-            part = self.library.encode_batch(texts[a : a + 2048], add_special_tokens=False)
+            part = self.library.encode_batch_fast(texts[a : a + 2048], add_special_tokens=False)
             out += [self._bytes(e.ids) for e in part]
         return out
 
@@ -227,33 +232,55 @@ class Encoder:
             sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.width().itemsize
             return np.frombuffer(b"".join(parts), self.width), np.concatenate([[0], np.cumsum(sizes)])
         words = Words(texts)
-        core = pc.ascii_rtrim(words.unique, ".,")
+        at = self._places(words.unique)
+        out, ends_at = ragged_take(self._ids, self._ends, at[words.code])
+        return out, ends_at[words.start]
+
+    def _places(self, chunks: pa.Array) -> np.ndarray:
+        """Where the flat arrays have the ids of each of the different ``chunks``; only new ones are encoded."""
+        at = pc.index_in(chunks, value_set=self._seen)
+        if at.null_count and len(self._seen) + at.null_count > self.words:
+            self._forget()
+            at = pa.nulls(len(chunks), pa.int32())
+        at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            new = chunks.take(pa.array(fresh))
+            ids, ends = self._chunk_ids(new)
+            at[fresh] = len(self._seen) + np.arange(len(fresh))
+            self._seen = pa.concat_arrays([self._seen, new])
+            self._ids = np.concatenate([self._ids, ids])
+            self._ends = np.concatenate([self._ends, self._ends[-1] + ends[1:]])
+        return at
+
+    def _chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks one after another, and the chunks' offsets. A chunk of plain letters is a head and perhaps a
+        tail of points and commas; any other is a head."""
+        from plumbspark.llm.blocks import ragged_take
+
+        core = pc.ascii_rtrim(chunks, ".,")
         plain = pc.match_substring_regex(core, "^[A-Za-zÀ-ÖØ-öø-ÿ]+$").to_numpy(zero_copy_only=False)
         chosen = pa.array(plain)
-        full, core = words.unique.filter(chosen), core.filter(chosen)
+        full, core = chunks.filter(chosen), core.filter(chosen)
         heads = pc.utf8_lower(core).dictionary_encode()
-        made = self._lookup(heads.dictionary.to_pylist(), self._plain)
-        codes = heads.indices.to_numpy(zero_copy_only=False)
+        own, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
         short = pc.binary_length(core).to_numpy(zero_copy_only=False)
         tailed = np.flatnonzero(pc.binary_length(full).to_numpy(zero_copy_only=False) > short)
-        ids: list[bytes] = [b""] * len(words.unique)
-        own = np.flatnonzero(plain)
-        for i, c in zip(own.tolist(), codes.tolist()):
-            ids[i] = made[c]
-        ends: dict[str, bytes] = {}
-        lengths = pc.utf8_length(core.take(pa.array(tailed))).to_pylist()
-        for i, w, n in zip(own[tailed].tolist(), full.take(pa.array(tailed)).to_pylist(), lengths):
-            tail = w[n:]
-            if tail not in ends:
-                ends[tail] = self._whole([tail])[0]
-            ids[i] += ends[tail]
-        rest = np.flatnonzero(~plain)
-        for i, v in zip(rest.tolist(), self._lookup(words.unique.filter(pa.array(~plain)).to_pylist(), self._whole)):
-            ids[i] = v
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width().itemsize
-        flat = np.frombuffer(b"".join(ids), self.width)
-        out, ends_at = ragged_take(flat, np.concatenate([[0], np.cumsum(sizes)]), words.code)
-        return out, ends_at[words.start]
+        letters = pc.utf8_length(core.take(pa.array(tailed))).to_pylist()
+        tails = pa.array([w[n:] for w, n in zip(full.take(pa.array(tailed)).to_pylist(), letters)], pa.string()).dictionary_encode()
+        made = [b"", *self._lookup(heads.dictionary.to_pylist(), self._plain)]
+        first_rest = len(made)
+        made += self._lookup(chunks.filter(pa.array(~plain)).to_pylist(), self._whole)
+        first_tail = len(made)
+        made += self._whole(tails.dictionary.to_pylist())
+        pieces = np.zeros((len(chunks), 2), np.int64)  # 0 is the empty piece
+        pieces[own, 0] = 1 + heads.indices.to_numpy(zero_copy_only=False)
+        pieces[own[tailed], 1] = first_tail + tails.indices.to_numpy(zero_copy_only=False)
+        pieces[rest, 0] = first_rest + np.arange(len(rest))
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // self.width().itemsize
+        flat = np.frombuffer(b"".join(made), self.width)
+        ids, ends = ragged_take(flat, np.concatenate([[0], np.cumsum(sizes)]), pieces.ravel())
+        return ids, ends[::2]
 
 
 def _drops_white_space(spec: dict) -> bool:
