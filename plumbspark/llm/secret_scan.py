@@ -7,6 +7,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +26,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+_PEM_END = re.compile(r"-----END ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
 #: The shortest base secret, an assignment, has 14 bytes: 19 base64 or 28 hex characters. Each alphabet has its own
 #: runs, so that neither cuts the other's.
 _BASE64 = (re.compile(r"[A-Za-z0-9+/]{19,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{19,}={0,2}"))
@@ -142,12 +144,15 @@ def signed_token(text: str) -> bool:
     return len(raw[2]) >= 128 if head["alg"][:2] in ("RS", "PS") else head["alg"] != "none" and len(raw[2]) >= 32
 
 
-def _hidden_text(data: bytes) -> bool:
-    """Encoded printable text that itself holds a base secret."""
-    if any(b < 32 and b not in (9, 10, 13) or b > 126 for b in data):
+def _hidden_text(data: bytes, depth: int) -> bool:
+    """Encoded printable UTF-8 text that itself holds a base secret, or one encoded again, ``depth`` times at most."""
+    if any(b < 32 and b not in (9, 10, 13) or b == 127 for b in data):
         return False
-    text = data.decode("ascii")
-    return any(kind != "hex" for _, _, kind in base_spans(text))
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return any(kind != "hex" for _, _, kind in base_spans(text)) or depth > 0 and bool(confirmed_spans(text, depth - 1))
 
 
 def _tokens(text: str) -> Iterator[Span]:
@@ -167,23 +172,28 @@ def _tokens(text: str) -> Iterator[Span]:
 
 
 def _pem(text: str) -> Iterator[Span]:
-    missing = set()
+    """Each END belongs to the nearest BEGIN of its label before it, so a label's blocks never share a character."""
+    opened, pairs = {}, []
+    marks = [(m.start(), m.end(), m[1], True) for m in _PEM.finditer(text)]
+    if not marks:
+        return
+    marks += [(m.start(), m.end(), m[1], False) for m in _PEM_END.finditer(text)]
+    for start, stop, label, begins in sorted(marks):
+        if begins:
+            opened[label] = start, stop
+        elif label in opened:
+            pairs.append((*opened.pop(label), start, stop))
     past = 0
-    for m in _PEM.finditer(text):
-        close = f"-----END {m[1]}-----"
-        if m.start() < past or m[1] in missing:
-            continue
-        end = text.find(close, m.end())
-        if end < 0:
-            missing.add(m[1])
+    for start, body_at, end, stop in sorted(pairs):
+        if start < past:
             continue
-        lines = [x for x in re.split(r"\s+|\\n", text[m.end() : end].strip()) if x]
+        lines = [x for x in re.split(r"\s+|\\n", text[body_at:end].strip()) if x]
         locked = "Proc-Type:" in lines
         body = "".join(x for x in lines if re.fullmatch(r"[A-Za-z0-9+/]+={0,2}", x)) if not locked else ""
         data = _decoded(body) if body else None
         if locked or data and (private_der(data) or private_openssh(data)):
-            past = end + len(close)
-            yield m.start(), past, "pem"
+            past = stop
+            yield start, past, "pem"
 
 
 def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
@@ -213,21 +223,23 @@ def _from_hex(text: str) -> bytes | None:
     return bytes.fromhex(text) if len(text) % 2 == 0 else None
 
 
-def confirmed_spans(text: str) -> list[Span]:
+def confirmed_spans(text: str, depth: int = 2) -> list[Span]:
     """Candidates that decode to what they claim to be: signed tokens, keys in PEM, base64 (of either alphabet,
     also wrapped over lines of one width) or hex, and encoded text that holds a secret. What lies inside a
-    reported PEM block or a reported longer candidate is not reported again."""
+    reported PEM block or a reported longer candidate is not reported again. Decoded text is searched for encoded text
+    in turn, ``depth`` times."""
     found = [*_tokens(text), *_pem(text)]
-    blocks_ = [(a, b) for a, b, kind in found if kind == "pem"]
+    blocks_ = sorted((a, b) for a, b, kind in found if kind == "pem")
     runs = {(m.start(), m.end(), m[0]) for pattern in _BASE64 for m in pattern.finditer(text)}
     candidates = [(*c, _decoded) for c in runs.union(_wrapped(text))]
     candidates += [(m.start(), m.end(), m[0], _from_hex) for m in _HEX_ANY.finditer(text)]
     past = 0
     for start, end, body, decode in sorted(candidates, key=lambda c: (c[0], -c[1])):
         data = decode(body) if end > past else None
-        if not data or any(a <= start < b for a, b in blocks_):
+        block = bisect_right(blocks_, (start, len(text) + 1)) - 1  # blocks don't overlap
+        if not data or block >= 0 and start < blocks_[block][1]:
             continue
-        kind = "key" if private_der(data) or private_openssh(data) else "hidden" if _hidden_text(data) else None
+        kind = "key" if private_der(data) or private_openssh(data) else "hidden" if _hidden_text(data, depth) else None
         if kind:
             found.append((start, end, kind))
             past = end

@@ -254,3 +254,28 @@ def test_scan(docs, odd, real):
     assert got == sorted(want, key=repr)
     assert any(":" in w[-1] and "pem" in w[-1] for w in want)
     assert secret_spans(docs([])).count() == 0
+
+
+def test_many_marks_take_linear_time():
+    import time
+
+    from plumbspark.llm.secret_scan import confirmed_spans
+
+    begin, end = "-----BEGIN PRIVATE KEY-----\n", "-----END PRIVATE KEY-----\n"
+    for text in (begin * 180_000 + end, (begin + end) * 90_000, begin + end * 180_000):
+        start = time.process_time()
+        assert [s for s in confirmed_spans(text) if s[2] == "pem"] == []
+        assert time.process_time() - start < 8
+
+
+def test_encoded_text_in_utf8_and_encoded_twice():
+    from base64 import b64encode
+
+    from plumbspark.llm.secret_scan import confirmed_spans
+
+    once = b64encode("note é password=hunter2xyz ü".encode()).decode()
+    twice = b64encode(f"see {once} there".encode()).decode()
+    for body in (once, twice, b64encode(twice.encode()).decode()):
+        assert confirmed_spans(f"a {body} b") == [(2, 2 + len(body), "hidden")]
+    clean = b64encode("schöne Grüße ohne Geheimnis, nur Text".encode()).decode()
+    assert confirmed_spans(f"a {clean} b") == [] == confirmed_spans("a " + b64encode(clean.encode()).decode())
