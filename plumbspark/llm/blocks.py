@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 12 << 20
+#: Rows of a block at most: some operators hold its row numbers in 18 bits.
+BLOCK_ROWS = 1 << 17
 
 
 def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -25,15 +27,15 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 
 def blocks(batches: Iterable[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Slices of about ``limit`` bytes of text at most (a longer text is a slice of its own), with their
-    texts, NULL read as empty."""
+    """Slices of about ``limit`` bytes of text and BLOCK_ROWS rows at most (a longer text is a slice of its own), with
+    their texts, NULL read as empty."""
     for batch in batches:
         if not batch.num_rows:
             continue
         text = batch.column("text")
         text = pc.fill_null(text, "") if text.null_count else text
         ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
-        part = (ends - 1).clip(0) // limit
+        part = (ends - 1).clip(0) // limit + np.arange(batch.num_rows) // BLOCK_ROWS
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield batch.slice(a, b - a), text.slice(a, b - a)

@@ -279,3 +279,14 @@ def test_encoded_text_in_utf8_and_encoded_twice():
         assert confirmed_spans(f"a {body} b") == [(2, 2 + len(body), "hidden")]
     clean = b64encode("schöne Grüße ohne Geheimnis, nur Text".encode()).decode()
     assert confirmed_spans(f"a {clean} b") == [] == confirmed_spans("a " + b64encode(clean.encode()).decode())
+
+
+def test_blocks_bound_rows_and_bytes():
+    import pyarrow as pa
+
+    from plumbspark.llm import blocks as B
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300_000)), pa.array(["ab", None, "é"] * 100_000)], ["doc_id", "text"])
+    for limit in (B.BLOCK_BYTES, 1000):
+        sizes = [len(texts) for _, texts in B.blocks([batch], limit)]
+        assert sum(sizes) == 300_000 and max(sizes) <= min(B.BLOCK_ROWS, limit)
