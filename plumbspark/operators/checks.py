@@ -363,6 +363,7 @@ def one_of(column: str, values: Sequence[str]) -> Column:
 
 
 # Fixed value: the e-mail pattern of the row constraint.
+#: Fixed value: what an e-mail address has to look like.
 EMAIL_PATTERN = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
 
 
