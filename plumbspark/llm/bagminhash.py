@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,22 +11,28 @@ from pyspark.sql import functions as F
 
 from plumbspark.functions.sizes import broadcast_if_small
 from plumbspark.llm.blocks import Words, blocks, chain, ids_of, mix, rows_of, windows
-from plumbspark.llm.components import components
+from plumbspark.llm.components import components, joined_components
 from plumbspark.llm.storage import written
 
 SHINGLE = 5
 BANDS = 25
 BAND_ROWS = 5
 THRESHOLD = 0.8
-#: Star rounds before the remaining pairs of mixed buckets are compared in blocks of so many documents.
+#: Star rounds before the remaining pairs of mixed buckets are compared in blocks of so many documents and bytes.
 ROUNDS = 2
 BLOCK = 1024
+BLOCK_BAGS = 16 << 20
 #: Pairs for each bucket row up to which no further star round is worth its jobs.
-PAIRS_PER_ROW = 4
+PAIRS_PER_ROW = 64
+#: A band key of more documents is hot: its rows meet its size by broadcast, where they lie.
+HOT = 500
 #: Bytes of a sketch, one for each component, and how far below the threshold two sketches' agreement may lie:
 #: four and a half deviations at similarity 0.8.
 SKETCH = 1024
 SKETCH_SLACK = 0.056
+#: A pair's first bytes are looked at before the others, with the slack of so few.
+HEAD = 128
+HEAD_SLACK = 0.16
 
 _ID_BITS = np.uint64(46)
 _ID_MASK = np.uint64((1 << 46) - 1)
@@ -106,7 +111,7 @@ def signed(rows: DataFrame, size: int, bands: int, band_rows: int) -> DataFrame:
     """(doc_id, digest, keys): a digest of the text (NULL for NULL) and its band keys (none without words)."""
 
     def sign(batches):
-        for part, texts in blocks(batches, 6 << 20):
+        for part, texts in blocks(batches, 3 << 20):
             words = Words(texts)
             bags = shingle_bags(words, size)
             keys = band_keys(signatures(*bags, len(texts), bands * band_rows), bands, band_rows).view(np.int64)
@@ -120,58 +125,101 @@ def signed(rows: DataFrame, size: int, bands: int, band_rows: int) -> DataFrame:
 
 
 def sketched(rows: DataFrame, size: int, bands: int, band_rows: int) -> DataFrame:
-    """(rep, keys, sketch): the band keys, and one byte of each component of a longer signature."""
+    """(rep, keys, sketch, shingles, times): the band keys, one byte of each component of a longer signature, and
+    the text's bag as two arrays."""
 
     def sketch(batches):
-        for part, texts in blocks(batches, 6 << 20):
-            bags = shingle_bags(Words(texts), size)
+        for part, texts in blocks(batches, 3 << 20):
+            row, shingle, times = bags = shingle_bags(Words(texts), size)
             keys = band_keys(signatures(*bags, len(texts), bands * band_rows), bands, band_rows).view(np.int64)
             bits = (mix(signatures(*bags, len(texts), SKETCH).view(np.uint64)) >> np.uint64(56)).astype(np.uint8)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), bands).cast(pa.list_(pa.int64()))
-            raw = pa.array([x.tobytes() for x in bits], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids_of(part), lists, raw], ["rep", "keys", "sketch"])
-
-    return rows.mapInArrow(sketch, "rep long, keys array<bigint>, sketch binary")
-
-
-def _pairs_across(found: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """(a, b): the pairs of each bucket in ``found`` (key, n, rep, root) that lie in different components and whose
-    sketches agree in a share of ``least`` or more.
-
-    A bucket is dealt into blocks by a hash of the document and compared block by block inside tasks, so
-    no pair becomes a row before it has passed. A pair counts in the first band that it shares.
-    """
+            ends = np.searchsorted(row, np.arange(len(texts) + 1))
+            cuts = [slice(a, b) for a, b in zip(ends[:-1], ends[1:])]
+            times = times.astype(np.uint32)
+            columns = [[x.tobytes() for x in bits], [shingle[c].tobytes() for c in cuts], [times[c].tobytes() for c in cuts]]
+            arrays = [ids_of(part), lists, *(pa.array(c, pa.binary()) for c in columns)]
+            yield pa.RecordBatch.from_arrays(arrays, ["rep", "keys", "sketch", "shingles", "times"])
+
+    return rows.mapInArrow(sketch, "rep long, keys array<bigint>, sketch binary, shingles binary, times binary")
+
+
+def _overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Sum of the lesser counts over sum of the greater, of two bags (shingles in rising order, times)."""
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    at = np.searchsorted(a[0], b[0]).clip(max=len(a[0]) - 1)
+    same = a[0][at] == b[0]
+    common = int(np.minimum(a[1][at[same]], b[1][same]).sum())
+    return common / (int(a[1].sum()) + int(b[1].sum()) - common)
+
+
+def _links_in_block(table: pa.Table, threshold: float) -> pa.Table:
+    """(a, b): links that join the components of one pair of chunks of a bucket, as few as join them.
+
+    Each document is held against those of other components only; a link merges two components, so the pairs
+    still open between them are not looked at any more. A pair counts in the first band that it shares."""
+    rep, root, chunk = (table.column(c).to_numpy() for c in ("rep", "root", "chunk"))
+    n = len(rep)
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(n, -1)
+    head = np.ascontiguousarray(sketch[:, :HEAD])
+    keys = np.array(table.column("keys").to_pylist(), np.int64).reshape(n, -1)
+    bags = [
+        (np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint32))
+        for s, t in zip(table.column("shingles").to_pylist(), table.column("times").to_pylist())
+    ]
+    band = int(np.flatnonzero(keys[0] == table.column("key")[0].as_py())[0])
+    across = table.column("low")[0] != table.column("high")[0]
+    part = np.unique(root, return_inverse=True)[1]
+    left, right = [], []
+    for i in range(n - 1):
+        apart = part[i + 1 :] != part[i]
+        if across:
+            apart &= chunk[i + 1 :] != chunk[i]
+        at = np.flatnonzero(apart) + i + 1
+        if len(at) and band:
+            at = at[~(keys[at, :band] == keys[i, :band]).any(axis=1)]
+        if len(at):
+            at = at[(head[at] == head[i]).mean(axis=1) >= threshold - HEAD_SLACK]
+        if not len(at):
+            continue
+        agree = (sketch[at] == sketch[i]).mean(axis=1)
+        for j in at[np.argsort(-agree, kind="stable")][: int((agree >= threshold - SKETCH_SLACK).sum())]:
+            if part[j] != part[i] and _overlap(bags[i], bags[j]) >= threshold:
+                left.append(min(rep[i], rep[j]))
+                right.append(max(rep[i], rep[j]))
+                part[part == part[j]] = part[i]
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+
+def _links_across(found: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links of ``threshold`` or more between different components of each bucket in ``found`` (key, rep,
+    root).
+
+    A bucket is dealt into chunks by a hash of the document, as many as its documents and the bytes of its bags
+    ask for, and compared chunk by chunk inside tasks: no pair becomes a row unless it joins two components."""
     # an id that stands over several texts has several sketches; those of this bucket count
-    rows = found.join(sketches, "rep").where(F.array_contains("keys", F.col("key"))).select(
-        "key", "rep", "root", "sketch", "keys", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks")
-    )
+    rows = found.join(sketches, "rep").where(F.array_contains("keys", F.col("key")))
+    rows = rows.select("key", "rep", "root", "keys", "sketch", "shingles", "times")
+    weight = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("bytes"))
+    chunks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BAGS), F.lit(1)).cast("int")
+    rows = rows.join(broadcast_if_small(weight.select("key", chunks.alias("chunks"))), "key")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
 
     def compare(table: pa.Table) -> pa.Table:
-        rep, root, chunk = (table.column(c).to_numpy() for c in ("rep", "root", "chunk"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
-        keys = np.array(table.column("keys").to_pylist(), np.int64).reshape(len(rep), -1)
-        band = int(np.flatnonzero(keys[0] == table.column("key")[0].as_py())[0])
-        left, right = [], []
-        for i in range(len(rep) - 1):
-            after = slice(i + 1, len(rep))
-            apart = root[after] != root[i]
-            if table.column("low")[0] != table.column("high")[0]:
-                apart &= chunk[after] != chunk[i]
-            at = np.flatnonzero(apart) + i + 1
-            if len(at) and band:
-                at = at[~(keys[at, :band] == keys[i, :band]).any(axis=1)]
-            if len(at):
-                at = at[(sketch[at] == sketch[i]).mean(axis=1) >= least]
-                left.append(np.full(len(at), rep[i]))
-                right.append(rep[at])
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-
-    wanted = rows.select("key", "rep", "root", "sketch", "keys", "chunk", "low", "high")
-    return wanted.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long")
+        return _links_in_block(table, threshold)
+
+    return rows.drop("chunks", "other").groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _with_sizes(keyed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The bucket rows (rep, key) with their bucket's columns in ``sizes``, a written table; buckets without are left
+    out. Hot keys, fewer than one row in HOT, are broadcast if measured small, so that none fills a task."""
+    hot = broadcast_if_small(sizes.where(F.col("n") > HOT))
+    rest = keyed.join(hot.select("key"), "key", "left_anti").join(sizes.where(F.col("n") <= HOT), "key")
+    return keyed.join(hot, "key").select(rest.columns).union(rest)
 
 
 def verified(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
@@ -241,12 +289,13 @@ def near_duplicates(
     """(doc_id, class_id) for each row: documents linked by a weighted shingle similarity of ``threshold`` or
     more share a class, named by its least id. Words are runs without ASCII white space, as they stand.
 
-    Equal texts are one document up to the last join. Of a bucket (equal band key) only its least document
-    meets the others; after components are known, buckets that still hold several of them meet again with
-    another pivot, and at last their pairs across components are compared by sketch, in blocks, and those
-    that could reach the threshold by text. So a bucket of copies costs its length, and no candidate pair
-    that could join two classes is left out. A pair at the threshold shares no bucket with probability
-    (1 - threshold^5)^25, 5 in 100,000, and fails the sketches' test in 1 of 100,000 cases.
+    Equal texts are one document up to the last join. Each document first meets the least of its buckets'
+    (equal band keys) least documents alone; after components are known, buckets that still hold several of
+    them meet again with another pivot, and at last their pairs across components are compared in blocks inside
+    tasks: by sketch, and by bag where that could reach the threshold, until the components are joined. So a
+    bucket of copies costs its length, and no candidate pair that could join two classes is left out. A pair at
+    the threshold shares no bucket with probability (1 - threshold^5)^25, 5 in 100,000, and fails the sketches'
+    tests in fewer than 2 of 100,000 cases.
 
     Rows with one id are one document. A NULL text is alone in its class; empty texts are equal texts;
     a NULL id gets the class of an equal text, else NULL. An empty table gives no rows.
@@ -257,27 +306,28 @@ def near_duplicates(
     copies = written(copies.where("rep IS NOT NULL"), "near-copies")
     keyed = copies.select("rep", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
-    shared = written(keyed.join(sizes, "key").select("key", "rep", "pivot", "n"), "near-buckets")
+    shared = written(_with_sizes(keyed, written(sizes, "near-sizes")), "near-buckets")
     named = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        return written(verified(written(pairs, "near-candidates"), named, size), "near-pairs")
+    def stars(found: DataFrame) -> DataFrame:
+        """Links (a, b) of each document of ``found`` (rep, pivot) with the least of its buckets' pivots."""
+        pairs = found.groupBy("rep").agg(F.min("pivot").alias("pivot")).select(*_ordered(F.col("pivot"), F.col("rep"))).distinct()
+        return verified(written(pairs, "near-candidates"), named, size).where(F.col("similarity") >= threshold).select("a", "b")
 
-    pairs = shared.where("rep != pivot").select(*_ordered(F.col("pivot"), F.col("rep"))).distinct()
-    checked = [links_of(pairs)]
-    edges = [checked[0].where(F.col("similarity") >= threshold).select("a", "b"), _links_by_id(marks, copies)]
-    roots = components(edges[0].union(edges[1]))
-    many = shared.where("n > 2").select("key", "rep")
+    links = stars(shared.where("rep != pivot")).union(_links_by_id(marks, copies))
+    roots = components(written(links, "near-links"))
+    many = shared.where("n > 1").select("key", "rep")
     for turn in range(ROUNDS + 1):
         found = many.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
         found = found.select("key", "rep", F.coalesce("root", "rep").alias("root"))
         mixed = found.groupBy("key").agg(
             F.min("root").alias("low"),
             F.max("root").alias("high"),
-            F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("pivot"),
+            F.min_by(F.struct("rep", "root"), F.xxhash64("rep", F.lit(turn))).alias("at"),
             F.count("*").alias("n"),
         )
-        found = written(found.join(mixed.where("low != high").select("key", "pivot", "n"), "key"), "near-mixed")
+        mixed = mixed.where("low != high").select("key", "n", F.col("at.rep").alias("pivot"), F.col("at.root").alias("pivot_root"))
+        found = written(_with_sizes(found, written(mixed, "near-mixed-keys")), "near-mixed")
         squares = found.groupBy("key", "root").agg(F.count("*").alias("c"), F.first("n").alias("n"))
         cost = squares.agg(F.sum(F.col("c") * (F.col("n") - F.col("c"))).alias("cross"), F.sum("c").alias("rows")).first()
         if not cost.rows:
@@ -286,18 +336,10 @@ def near_duplicates(
         if last:
             held = named.join(broadcast_if_small(found.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
             sketches = written(sketched(held, size, bands, band_rows), "near-sketches")
-            new = _pairs_across(found.select("key", "n", "rep", "root"), sketches, threshold - SKETCH_SLACK)
+            new = _links_across(found.select("key", "rep", "root"), sketches, threshold)
         else:
-            pivots = found.where("rep = pivot").select("key", F.col("root").alias("pivot_root")).dropDuplicates(["key"])
-            new = found.join(pivots, "key").where("rep != pivot AND root != pivot_root")
-            new = new.select(*_ordered(F.col("pivot"), F.col("rep")))
-        before = reduce(DataFrame.union, [c.select("a", "b") for c in checked])
-        tried = links_of(new.distinct().join(before, ["a", "b"], "left_anti"))
-        checked.append(tried)
-        fresh = tried.where(F.col("similarity") >= threshold).select("a", "b")
-        if not fresh.isEmpty():
-            edges.append(fresh)
-            roots = components(reduce(DataFrame.union, edges))
+            new = stars(found.where("root != pivot_root"))
+        roots = joined_components(roots, written(new, "near-links"))
         if last:
             break
         many = found.select("key", "rep")

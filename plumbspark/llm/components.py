@@ -34,3 +34,17 @@ def components(links: DataFrame) -> DataFrame:
         left = left.where("a2 != b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct()
         left = written(left, "component-links")
     return roots if roots is not None else links.sparkSession.createDataFrame([], "node long, root long")
+
+
+def joined_components(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after further links (a, b), a written table: the links between components are
+    contracted, not the nodes'."""
+    if links.isEmpty():
+        return roots
+    ends = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("a2")), "a", "left")
+    ends = ends.join(roots.select(F.col("node").alias("b"), F.col("root").alias("b2")), "b", "left")
+    ends = written(ends.select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b")), "component-links")
+    moved = components(ends).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    known = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    new = moved.select(F.col("root").alias("node"), F.col("to").alias("root")).join(roots.select("node"), "node", "left_anti")
+    return written(known.union(new), "component-roots")
