@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbspark.functions.sizes import broadcast_if_small
-from plumbspark.llm.blocks import Words, blocks, chain, ids_of, mix, rows_of, windows
+from plumbspark.llm.blocks import Words, blocks, chain, ids_of, mix, release, rows_of, windows
 from plumbspark.llm.components import components, joined_components
 from plumbspark.llm.storage import written
 
@@ -120,6 +120,7 @@ def signed(rows: DataFrame, size: int, bands: int, band_rows: int) -> DataFrame:
             digests = [None if t is None else hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in part.column("text").to_pylist()]
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].ravel()))
             yield pa.RecordBatch.from_arrays([ids_of(part), pa.array(digests, pa.binary()), lists], ["doc_id", "digest", "keys"])
+            release()
 
     return rows.mapInArrow(sign, "doc_id long, digest binary, keys array<bigint>")
 
@@ -140,6 +141,7 @@ def sketched(rows: DataFrame, size: int, bands: int, band_rows: int) -> DataFram
             columns = [[x.tobytes() for x in bits], [shingle[c].tobytes() for c in cuts], [times[c].tobytes() for c in cuts]]
             arrays = [ids_of(part), lists, *(pa.array(c, pa.binary()) for c in columns)]
             yield pa.RecordBatch.from_arrays(arrays, ["rep", "keys", "sketch", "shingles", "times"])
+            release()
 
     return rows.mapInArrow(sketch, "rep long, keys array<bigint>, sketch binary, shingles binary, times binary")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -42,6 +43,16 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
             pa.default_memory_pool().release_unused()
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker outlives its task, and the next stage's needs room."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def ids_of(batch: pa.RecordBatch) -> pa.Array:
     return batch.column("doc_id")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbspark.llm.blocks import Words, blocks, held_out, ids_of, rows_of, split_flat, windows
+from plumbspark.llm.blocks import Words, blocks, held_out, ids_of, release, rows_of, split_flat, windows
 from plumbspark.llm.labelled import FIT_PARTS, FIT_ROWS, bounded, calibrated, fold, labels_of, teaching
 from plumbspark.llm.storage import written
 
@@ -193,17 +194,34 @@ def quality_scores(
 
 
 def kept_by_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, that score ``threshold`` or more. Every row is scored in its task by the
-    model of quality_scores; without labels to learn from all rows stay."""
-    model = fit_quality(written(text_statistics(docs), "quality-statistics"), labels)
+    """The rows of ``docs``, all columns, that score ``threshold`` or more by the model of quality_scores; without
+    labels to learn from all rows stay. The rows are written with their statistics, computed once; only texts, then
+    only statistics, pass through Python."""
+    name = "statistics"
+    while name in docs.columns:
+        name += "_"
+
+    @F.arrow_udf("array<double>")
+    def statistics_of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            found = [np.empty((0, len(NAMES)))]
+            for _, texts in blocks([pa.RecordBatch.from_arrays([part], ["text"])], 3 << 20):
+                found.append(statistics(texts))
+                release()
+            x = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(found).ravel()), len(NAMES))
+            yield x.cast(pa.list_(pa.float64()))
+
+    held = written(docs.withColumn(name, statistics_of("text")), "quality-rows")
+    model = fit_quality(held.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(name).alias("x")), labels)
     if model is None:
-        return docs
+        return held.select(*docs.columns)
 
-    def keep(batches):
-        for part, texts in blocks(batches, 4 << 20):
-            yield part.filter(pa.array(model.score(statistics(texts)) >= threshold))
+    @F.arrow_udf("double")
+    def score_of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for x in parts:
+            yield pa.array(model.score(x.flatten().to_numpy().reshape(len(x), -1)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return held.where(score_of(name) >= threshold).select(*docs.columns)
 
 
 __all__ = ["QualityModel", "fit_quality", "kept_by_quality", "labels_of", "quality_scores", "statistics", "text_statistics"]
