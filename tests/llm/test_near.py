@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import bag, near_classes, similarity
-from plumbspark.llm.bagminhash import near_duplicates, one_of_each, signatures
-from plumbspark.llm.components import components
+from plumbspark.llm.bagminhash import SKETCH, _links_in_block, near_duplicates, one_of_each, shingle_bags, signatures
+from plumbspark.llm.blocks import Words, mix
+from plumbspark.llm.components import components, joined_components
 
 
 def sketch(counts, m=4096):
@@ -48,6 +50,37 @@ def test_classes(docs, real):
     assert got == near_classes(pairs)
 
 
+def test_whole_table_against_all_pairs(spark):
+    """Every link of 0.8 or more between any two documents, and no other."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.class_id for r in near_duplicates(table).collect()}
+    assert got == near_classes([(r.doc_id, r.text) for r in table.collect()])
+
+
+def test_links_in_a_block_join_components_once():
+    """Of copies with few edits, one link for each merge; blocks of one chunk and of two agree."""
+    draw = random.Random(5)
+    base = " ".join(f"w{draw.randrange(900)}" for _ in range(200))
+    texts = [edited(base, 2, draw) for _ in range(12)] + [edited(base, 60, draw) for _ in range(3)]
+    bags = shingle_bags(Words(pa.array(texts)))
+    size = len(texts)
+    bits = (mix(signatures(*bags, size, SKETCH).view(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+    own = [(bags[1][bags[0] == i].tobytes(), bags[2][bags[0] == i].astype(np.uint32).tobytes()) for i in range(size)]
+
+    def block(chunk, low, high):
+        columns = {"key": [7] * size, "low": [low] * size, "high": [high] * size, "chunk": chunk, "rep": list(range(size))}
+        columns |= {"root": list(range(size)), "keys": [[7, 100 + i] for i in range(size)], "sketch": [x.tobytes() for x in bits]}
+        found = _links_in_block(pa.table(columns | {"shingles": [o[0] for o in own], "times": [o[1] for o in own]}), 0.8)
+        return list(zip(*(found.column(c).to_pylist() for c in "ab")))
+
+    one = block([0] * size, 0, 0)
+    two = block([i % 2 for i in range(size)], 0, 1)
+    want = near_classes(list(enumerate(texts)))
+    for links in (one, two):
+        assert len(links) == size - len(set(want.values())) and all(want[a] == want[b] for a, b in links)
+    assert all(a % 2 != b % 2 for a, b in two)
+
+
 def test_a_bucket_of_chained_links(docs):
     """Neighbours in the chain are near, its ends are not; no pivot is near to all."""
     words = [f"c{i}" for i in range(260)]
@@ -93,3 +126,13 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 103: 100, 105: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_joined_by_further_links(spark):
+    first = [(0, 1), (1, 2), (5, 6), (8, 9)]
+    more = [(2, 6), (20, 9), (30, 31)]
+    roots = components(spark.createDataFrame(first, "a long, b long"))
+    got = joined_components(roots, spark.createDataFrame(more, "a long, b long"))
+    want = components(spark.createDataFrame(first + more, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert joined_components(roots, spark.createDataFrame([], "a long, b long")) is roots
