@@ -51,6 +51,16 @@ def test_stages_and_run(spark):
     assert a.drop(columns="ids").equals(b.drop(columns="ids")) and all(map(np.array_equal, a.ids, b.ids))
 
 
+def test_benchmark_items_without_an_id(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    item = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
+    texts = [(None, item), (None, "some other words of no item at all " * 3), (None, None), (-1, item.upper()), (-1, "a second text of that id")]
+    made = spark.createDataFrame(texts, "doc_id long, text string")
+    left = P.benchmark_items(spark, docs.limit(20).unionByName(made, allowMissingColumns=True), SF)
+    assert left.columns == docs.columns
+    assert sorted(r.text or "" for r in left.where("doc_id IS NULL OR doc_id = -1").collect()) == ["", texts[4][1], texts[1][1]]
+
+
 def test_all_registered():
     assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
