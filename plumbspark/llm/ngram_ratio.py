@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,13 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbspark.functions.sizes import broadcast_if_small
-from plumbspark.llm.blocks import Words, blocks, chain, ids_of, mix, rows_of, split_flat, windows
-from plumbspark.llm.storage import written
+from plumbspark.llm.blocks import Words, blocks, chain, ids_of, mix, release, rows_of, split_flat, windows
 
-#: The trusted n-grams' ratios go to the tasks while they measure so many bytes at most.
-SHARED_BYTES = 64 << 20
-#: An n-gram of more than this share of all is frequent: there are fewer than 2^16, whatever the corpus.
-FREQUENT = 1 / (1 << 16)
+#: Bytes of text whose n-grams are counted in one task.
+PART_BYTES = 48 << 20
+#: Bytes of text whose n-grams are sent together, a chunk.
+CHUNK_BYTES = 16 << 20
+#: An n-gram in more rows of a chunk than this is frequent there: its counts are sent once for the chunk, not by row.
+FREQUENT = 8
+#: Log ratios are added up as multiples of 2^-32: the order of a sum never matters.
+UNIT = 1 << 32
 #: Mean log ratio of a text's n-grams, in nats, from which it counts as target-like.
 THRESHOLD = -0.2
 _SYMBOLS = np.zeros(256, bool)
@@ -60,60 +65,140 @@ def gram_hashes(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([words.row, words.row[at]]), np.concatenate([single, double])
 
 
-def gram_buckets(words: Words, hashes: np.ndarray, bits: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of each word and each pair of neighbouring words: the first ``bits`` of its hash, or all 64."""
+def gram_buckets(words: Words, hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of each word and each pair of neighbouring words: the first ``bits`` of its hash."""
     row, found = gram_hashes(words, hashes)
-    return row, found.view(np.int64) if bits is None else (found >> np.uint64(64 - bits)).astype(np.int64)
+    return row, (found >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Whole numbers of columns of one length, byte by byte of their places, compressed."""
+    planes = [np.ascontiguousarray(c, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns]
+    return len(columns[0]).to_bytes(8, "little") + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, columns: int) -> list[np.ndarray]:
+    n = int.from_bytes(data[:8], "little")
+    if not n:
+        return [np.empty(0, np.int64)] * columns
+    raw = pa.decompress(data[8:], decompressed_size=8 * n * columns, codec="zstd")
+    planes = np.frombuffer(raw, np.uint8).reshape(columns, 8, n)
+    return [np.ascontiguousarray(p.T).view(np.int64).ravel() for p in planes]
+
+
+def steps(key: np.ndarray) -> np.ndarray:
+    """Rising keys as differences, the first as it is."""
+    return np.diff(key, prepend=0)
+
+
+def postings(key: np.ndarray, row: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, row, times) by key and row."""
+    if not len(key):
+        return key, row, row
+    width = int(row.max()).bit_length()
+    if bits + width < 64:
+        both = np.sort(key << width | row)
+        key, row = both >> width, both & ((1 << width) - 1)
+    else:
+        order = np.lexsort((row, key))
+        key, row = key[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]))
+    return key[first], row[first], np.diff(first, append=len(key))
+
+
+def part_of(key: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """The part of each key: equal ranges of keys, in order."""
+    top = min(bits, 32)
+    return (key.view(np.uint64) >> np.uint64(bits - top)).astype(np.int64) * parts >> top
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, bits: int | None = None) -> tuple[float, int, DataFrame]:
-    """log p(n-gram | trusted) - log p(n-gram | raw): that of all n-grams no trusted text holds, the number of
-    n-grams in all documents, and a table (key, raw, gain) of the others with what theirs is above it.
+#: ``light``: (key step, 2 * row + trusted, times); ``heavy``: (key step, times, times in trusted texts); for a chunk's
+#: own row ``judged``: (id, whether it is NULL, base counts, n-grams) and ``held``, ``rest``: the rows of each frequent
+#: n-gram (their number; row step, times).
+SENT = "part int, chunk long, light binary, heavy binary, judged binary, held binary, rest binary"
+#: ``sums``: (row, units) of the light n-grams; ``gains``: units of each of the part's frequent n-grams.
+SETTLED = "chunk long, part int, sums binary, gains binary, judged binary, held binary, rest binary, base double"
 
-    One is added to each raw count, and as many in all as there are different n-grams (with ``bits``, buckets)
-    to the trusted counts in the raw proportions, so a small target says little rather than less.
 
-    The raw counts are of all documents, the trusted of those whose id is in ``trusted``. Each block sums its
-    texts; the counts stay in Spark and grow with the corpus."""
+def sent_grams(docs: DataFrame, trusted: DataFrame, bits: int, parts: int) -> DataFrame:
+    """The n-grams of each chunk by part, counted, each part's in a partition of its own."""
     ids = trusted.select(F.col(trusted.columns[0]).cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     marked = docs.join(broadcast_if_small(ids.withColumn("trusted", F.lit(1))), "doc_id", "left")
 
-    def count(batches):
-        for part, texts in blocks(batches, 6 << 20):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in blocks(batches, CHUNK_BYTES):
             words = Words(texts)
-            row, key = gram_buckets(words, words.hashes(), bits)
-            good = pc.fill_null(part.column("trusted"), 0).to_numpy(zero_copy_only=False).astype(bool)
-            own, code = np.unique(key, return_inverse=True)
-            raw, target = np.bincount(code, minlength=len(own)), np.bincount(code[good[row]], minlength=len(own))
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(raw), pa.array(target)], ["key", "raw", "target"])
-
-    found = marked.select("text", "trusted").mapInArrow(count, "key long, raw long, target long")
-    sums = found.groupBy("key").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    # n-grams without a trusted text need no row of their own: one row under NULL counts them
-    held = sums.groupBy(F.when(F.col("target") > 0, F.col("key")).alias("key"))
-    held = written(held.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"), F.count("*").alias("n")), "ngram-counts")
-    total = held.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("raw", "target", "n")]).first()
-    kinds = max(1, total.n) if bits is None else 1 << bits
-    share = (F.col("raw") + 1) / F.lit(float(total.raw + kinds))
-    base = float(np.log(kinds / (total.target + kinds)))
-    ratio = F.log((F.col("target") + kinds * share) / F.lit(float(total.target + kinds)) / share)
-    return base, total.raw, held.where("key IS NOT NULL").select("key", "raw", (ratio - base).alias("gain"))
-
-
-def _sorted(gains: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    table = gains.select("key", "gain").toArrow()
-    key, gain = table["key"].to_numpy(), table["gain"].to_numpy()
-    order = np.argsort(key)
-    return key[order], gain[order]
-
-
-def _looked_up(held: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(whether it is held, gain or 0) of each key."""
-    if not len(held[0]):
-        return np.zeros(len(key), bool), np.zeros(len(key))
-    at = np.searchsorted(held[0], key).clip(max=len(held[0]) - 1)
-    there = held[0][at] == key
-    return there, np.where(there, held[1][at], 0.0)
+            hashes = words.hashes()
+            base = base_counts(texts, words, hashes)
+            good = pc.fill_null(rows.column("trusted"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            chunk = rows.column("number")[0].as_py()
+            row, key = gram_buckets(words, hashes, bits)
+            n_grams = np.bincount(row, minlength=len(texts))
+            key, row, times = postings(key, row, bits)
+            start = np.flatnonzero(np.diff(key, prepend=-1))
+            held = np.diff(start, append=len(key))
+            often = held > FREQUENT
+            heavy = np.repeat(often, held)
+            whole, target = (np.add.reduceat(x, start)[often] if len(start) else start for x in (times, times * good[row]))
+            light = key[~heavy], 2 * row[~heavy] + good[row[~heavy]], times[~heavy]
+            common = key[start[often]], whole, target
+            ids, missing = ids_of(rows), ids_of(rows).is_null().to_numpy(zero_copy_only=False)
+            judged = packed(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), missing, *base.values(), n_grams)
+            step = np.diff(row[heavy], prepend=0)
+            at = np.concatenate([[0], np.cumsum(held[often])])[:-1]
+            step[at] = row[heavy][at]
+            out = [(chunk % parts, chunk, None, None, judged, packed(held[often]), packed(step, times[heavy]))]
+            numbers = np.arange(parts + 1)
+            cuts = [np.searchsorted(part_of(k, bits, parts), numbers) for k in (light[0], common[0])]
+            for p in range(parts):
+                (a, b), (c, d) = ((int(x[p]), int(x[p + 1])) for x in cuts)
+                if a < b or c < d:
+                    some, most = ([x[i:j] for x in xs] for xs, i, j in ((light, a, b), (common, c, d)))
+                    out.append((p, chunk, packed(steps(some[0]), *some[1:]), packed(steps(most[0]), *most[1:]), None, None, None))
+            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], SENT_NAMES)
+            release()
+
+    numbered = marked.select("doc_id", "text", "trusted", F.monotonically_increasing_id().alias("number"))
+    return numbered.mapInArrow(send, SENT).repartitionById(parts, F.col("part"))
+
+
+SENT_NAMES = [c.split()[0] for c in SENT.split(", ")]
+SETTLED_NAMES = [c.split()[0] for c in SETTLED.split(", ")]
+
+
+class Part:
+    """The n-grams that all chunks sent to a part, told apart by key."""
+
+    def __init__(self, sent: list[tuple[int, bytes, bytes]]):
+        keys, raw, target = [], [], []
+        self.rows = []
+        for _, light, heavy in sent:
+            step, row, times = unpacked(light, 3)
+            common, whole, good = unpacked(heavy, 3)
+            keys += [np.cumsum(step), np.cumsum(common)]
+            raw += [times, whole]
+            target += [times * (row & 1), good]
+            self.rows.append(((row >> 1).astype(np.int32), times.astype(np.int32), len(common)))
+        key = np.concatenate(keys) if keys else np.empty(0, np.int64)
+        self.order = np.argsort(key)
+        self.start = np.flatnonzero(np.diff(key[self.order], prepend=-1))
+        self.raw, self.target = (np.add.reduceat(np.concatenate(x)[self.order], self.start) if len(key) else key for x in (raw, target))
+
+    def gains(self, kinds: int, n_raw: int) -> np.ndarray:
+        """Units of each n-gram sent, in the order sent: its log ratio above that of one that no trusted text holds."""
+        own = np.log1p(self.target * ((n_raw + kinds) / kinds) / (self.raw + 1))
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.repeat(np.rint(own * UNIT).astype(np.int64), np.diff(self.start, append=len(self.order)))
+        return out
+
+
+def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kinds, raw, target) of a part."""
+    part = Part([(0, r["light"], r["heavy"]) for b in batches for r in b.select(["light", "heavy"]).to_pylist() if r["light"]])
+    sums = [[len(part.start)], [int(part.raw.sum())], [int(part.target.sum())]]
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in sums], ["kinds", "raw", "target"])
+    release()
 
 
 def quality_rules(
@@ -123,70 +208,101 @@ def quality_rules(
     bits: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
-    shared_bytes: int = SHARED_BYTES,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """The base counts, base_failed, ``ratio`` and kept of each document.
 
     ``ratio`` is the mean over a text's words and word pairs of log p(trusted) - log p(raw); a text is kept
     if the base rules pass and the ratio reaches ``threshold``, each document by itself, without a draw.
     ``trusted``: a table whose first column names the documents of the target. Without trusted documents
-    the ratio says nothing and all that pass the base rules are kept. N-grams are told apart by 64-bit hashes,
-    or by their first ``bits``. Ratios of the trusted n-grams go to the tasks while they measure ``shared_bytes``
-    at most; beyond that only the frequent ones do, and the others meet the documents' n-grams in a join, to
-    the same result.
+    the ratio says nothing and all that pass the base rules are kept. One is added to each raw count, and as many in
+    all as there are different n-grams to the trusted counts in the raw proportions, so a small target says little
+    rather than less.
+
+    N-grams are told apart by the first bits of their hashes, 20 more than the bytes of all texts need (48 to 63), so
+    one in a million meets another at most below 8 TB; or by their first ``bits``, which are then the n-grams of the smoothing.
+    Texts are read once. Each chunk sends its n-grams, sorted and coded, to parts of the keys (``part_bytes`` of text
+    for each); a part counts them and returns what each row gains, or, for n-grams that many rows of a chunk hold,
+    what each of those is worth: no part meets a common n-gram row by row. Log ratios are added up in whole units
+    of 2^-32, so a repeated run keeps the same documents.
 
     One row for each row of ``docs``, repeated rows and NULL ids included. A NULL or empty text has no words:
     ratio 0, base_failed. An empty table gives no rows.
     """
     rows = rows_of(docs, id_col, text_col)
-    base_ratio, n_raw, gains = log_ratios(rows, trusted, bits)
-    whole = 16 * gains.count() <= shared_bytes
-    held = rows.sparkSession.sparkContext.broadcast(_sorted(gains if whole else gains.where(F.col("raw") > n_raw * FREQUENT)))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first().bytes
+    fixed, bits = bits, bits or min(63, max(48, size.bit_length() + 20))
+    parts = 1 + size // part_bytes
+    sent = sent_grams(rows, trusted, bits, parts)
+    sums = sent.mapInArrow(tally, "kinds long, raw long, target long").agg(
+        F.struct(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("kinds", "raw", "target")]).alias("totals")
+    )
 
-    def judge(batches):
-        for part, texts in blocks(batches, 6 << 20):
-            words = Words(texts)
-            hashes = words.hashes()
-            base = base_counts(texts, words, hashes)
-            row, key = gram_buckets(words, hashes, bits)
-            own, code = np.unique(key, return_inverse=True)
-            there, gain = _looked_up(held.value, own)
-            n = np.bincount(row, minlength=len(texts))
-            total = n * base_ratio + np.bincount(row, weights=gain[code], minlength=len(texts))
-            arrays = [ids_of(part), *map(pa.array, base.values()), pa.array(n), pa.array(total)]
-            judged = pa.RecordBatch.from_arrays(arrays, ["doc_id", *base, "n_grams", "total"])
-            if whole:
-                yield judged
-                continue
-            number = part.column("number").to_numpy()
-            kind = pa.struct(judged.schema)
-            # keys of their own, so that these rows are dealt evenly; they count no n-gram
-            apart = pa.array(mix(number.astype(np.uint64)).view(np.int64))
-            filled = pa.StructArray.from_arrays(judged.columns, fields=list(judged.schema))
-            names = ["number", "key", "n", "judged"]
-            yield pa.RecordBatch.from_arrays([pa.array(number), apart, pa.array(np.zeros(len(texts), np.int64)), filled], names)
-            rest = np.flatnonzero(~there[code])
-            pair, times = np.unique(row[rest] * max(1, len(own)) + code[rest], return_counts=True)
-            pair_row, pair_key = pair // max(1, len(own)), own[pair % max(1, len(own))]
-            for at in range(0, len(pair), 50_000):
-                cut = slice(at, at + 50_000)
-                arrays = [pa.array(number[pair_row[cut]]), pa.array(pair_key[cut]), pa.array(times[cut])]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(times[cut]), kind)], names)
-
-    columns = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-    schema = f"doc_id long, {columns}, n_grams long, total double"
-    if whole:
-        judged = rows.mapInArrow(judge, schema)
-    else:
-        numbered = rows.withColumn("number", F.monotonically_increasing_id())
-        dealt = numbered.mapInArrow(judge, f"number long, key long, n long, judged struct<{schema.replace(' long', ': long').replace(' double', ': double')}>")
-        rare = gains.where(F.col("raw") <= n_raw * FREQUENT).select("key", "gain")
-        met = dealt.join(rare, "key", "left").groupBy("number")
-        met = met.agg(F.sum(F.col("n") * F.coalesce("gain", F.lit(0.0))).alias("more"), F.first("judged", ignorenulls=True).alias("judged"))
-        judged = met.select("judged.*", "more").withColumn("total", F.col("total") + F.col("more")).drop("more")
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, own, totals, number = [], [], None, 0
+        for r in (r for b in batches for r in b.to_pylist()):
+            totals, number = r["totals"], r["part"]
+            if r["light"]:
+                found.append((r["chunk"], r["light"], r["heavy"]))
+            else:
+                own.append((r["chunk"], r["judged"], r["held"], r["rest"]))
+        if totals is None:
+            return
+        kinds = 1 << fixed if fixed else max(1, totals["kinds"])
+        base = float(np.log(kinds / (totals["target"] + kinds)))
+        kept = [pa.int64(), pa.int32(), *[pa.binary()] * 5, pa.float64()]
+        for chunk, *texts in own:
+            out = [chunk, -1, None, None, *texts, base]
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(out, kept)], SETTLED_NAMES)
+        part = Part(found)
+        gains, at = part.gains(kinds, totals["raw"]), 0
+        for (chunk, *_), (row, times, common) in zip(found, part.rows):
+            end = at + len(row)
+            more = np.rint(np.bincount(row, weights=gains[at:end] * times)).astype(np.int64)
+            there = np.flatnonzero(more)
+            out = [chunk, number, packed(there, more[there]), packed(gains[end : end + common]), None, None, None, None]
+            at = end + common
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(out, kept)], SETTLED_NAMES)
+        del part, gains
+        release()
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, told in _by_chunk(batches):
+            ids, missing, *base, n_grams = unpacked(own["judged"], 8)
+            total = np.zeros(len(ids), np.int64)
+            for t in told:
+                row, more = unpacked(t["sums"], 2)
+                total[row] += more
+            gains = np.concatenate([unpacked(t["gains"], 1)[0] for t in told]) if told else np.empty(0, np.int64)
+            held = unpacked(own["held"], 1)[0]
+            step, times = unpacked(own["rest"], 2)
+            last = np.cumsum(step)
+            start = np.cumsum(held) - held
+            row = last - np.repeat(last[start] - step[start], held)
+            np.add.at(total, row, np.repeat(gains, held) * times)
+            mean = (n_grams * own["base"] + total / UNIT) / np.maximum(1, n_grams)
+            arrays = [pa.array(ids, mask=missing.astype(bool)), *map(pa.array, base), pa.array(np.round(mean, 9))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *COUNTS, "ratio"])
+
+    settled = sent.withColumn("totals", sums.scalar()).mapInArrow(settle, SETTLED)
+    met = settled.repartition(parts, "chunk").sortWithinPartitions("chunk", "part")
+    judged = met.mapInArrow(judge, f"doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, ratio double")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    ratio = F.col("total") / F.greatest(F.col("n_grams"), F.lit(1))
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & (ratio >= threshold)).alias("kept"), F.round(ratio, 9).alias("ratio"),
-    )
+    return judged.select("doc_id", *COUNTS, failed.alias("base_failed"), (~failed & (F.col("ratio") >= threshold)).alias("kept"), "ratio")
+
+
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[dict]]]:
+    """Each chunk's own row, which comes first, and the rows that its parts told, in order of keys."""
+    own, told = None, []
+    for r in (r for b in batches for r in b.to_pylist()):
+        if r["judged"] is None:
+            told.append(r)
+            continue
+        if own is not None:
+            yield own, told
+        own, told = r, []
+    if own is not None:
+        yield own, told

@@ -68,8 +68,8 @@ def test_ratio_tells_all_ngrams_apart(docs, odd, spark):
     n, seen, total = len(raw), sum(target.values()), sum(raw.values()) + len(raw)
     logs = {g: math.log((target[g] + n * (raw[g] + 1) / total) / (seen + n) * total / (raw[g] + 1)) for g in raw}
     want = sorted(((i, sum(logs[g] for g in own) / max(1, len(own))) for (i, _), own in zip(pairs, grams)), key=repr)
-    for shared in (1 << 20, 0):
-        got = sorted(((r.doc_id, r.ratio) for r in quality_rules(docs(pairs), trusted, shared_bytes=shared).collect()), key=repr)
+    for part in (1 << 30, 1 << 13):
+        got = sorted(((r.doc_id, r.ratio) for r in quality_rules(docs(pairs), trusted, part_bytes=part).collect()), key=repr)
         assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([r for _, r in got], [r for _, r in want], atol=1e-8)
 
 
