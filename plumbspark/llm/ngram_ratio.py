@@ -18,7 +18,7 @@ PART_BYTES = 48 << 20
 #: Bytes of text whose n-grams are sent together, a chunk.
 CHUNK_BYTES = 16 << 20
 #: An n-gram in more rows of a chunk than this is frequent there: its counts are sent once for the chunk, not by row.
-FREQUENT = 8
+FREQUENT = 32
 #: Log ratios are added up as multiples of 2^-32: the order of a sum never matters.
 UNIT = 1 << 32
 #: Mean log ratio of a text's n-grams, in nats, from which it counts as target-like.
@@ -106,18 +106,44 @@ def postings(key: np.ndarray, row: np.ndarray, bits: int) -> tuple[np.ndarray, n
     return key[first], row[first], np.diff(first, append=len(key))
 
 
+def packed_rows(held: np.ndarray, row: np.ndarray, times: np.ndarray) -> list[bytes]:
+    """Rows and times of n-grams, ``held`` of them each, rising: first rows, steps to the next ones; what isn't 1 apart."""
+    first = np.zeros(len(row), bool)
+    first[np.cumsum(held) - held] = True
+    several, often = np.flatnonzero(held > 1), np.flatnonzero(times > 1)
+    parts = [packed(row[first]), packed(np.diff(row, prepend=0)[~first]), packed(steps(several), held[several])]
+    return [*parts, packed(steps(often), times[often])]
+
+
+def unpacked_rows(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(held, row, times)"""
+    (begin,), (step,), (several, number), (often, more) = (unpacked(d, k) for d, k in zip(data, (1, 1, 2, 2)))
+    held = np.ones(len(begin), np.int64)
+    held[np.cumsum(several)] = number
+    start = np.cumsum(held) - held
+    row = np.empty(len(begin) + len(step), np.int64)
+    first = np.zeros(len(row), bool)
+    first[start] = True
+    row[first], row[~first] = begin, step
+    last = np.cumsum(row)
+    row = last - np.repeat(last[start] - begin, held)
+    times = np.ones(len(row), np.int64)
+    times[np.cumsum(often)] = more
+    return held, row, times
+
+
 def part_of(key: np.ndarray, bits: int, parts: int) -> np.ndarray:
     """The part of each key: equal ranges of keys, in order."""
     top = min(bits, 32)
     return (key.view(np.uint64) >> np.uint64(bits - top)).astype(np.int64) * parts >> top
 
 
-#: ``light``: (key step, 2 * row + trusted, times); ``heavy``: (key step, times, times in trusted texts); for a chunk's
-#: own row ``judged``: (id, whether it is NULL, base counts, n-grams) and ``held``, ``rest``: the rows of each frequent
-#: n-gram (their number; row step, times).
-SENT = "part int, chunk long, light binary, heavy binary, judged binary, held binary, rest binary"
+#: A chunk's rows are numbered with its ``trusted`` ones first. ``light``: the n-grams and their rows; ``heavy``: (key step,
+#: times, times in trusted texts) of the frequent ones; for a chunk's own row ``judged``: (id, whether it is NULL, base
+#: counts, n-grams) and ``rest``: the rows of the frequent n-grams.
+SENT = "part int, chunk long, trusted int, light array<binary>, heavy binary, judged binary, rest array<binary>"
 #: ``sums``: (row, units) of the light n-grams; ``gains``: units of each of the part's frequent n-grams.
-SETTLED = "chunk long, part int, sums binary, gains binary, judged binary, held binary, rest binary, base double"
+SETTLED = "chunk long, part int, sums binary, gains binary, judged binary, rest array<binary>, base double"
 
 
 def sent_grams(docs: DataFrame, trusted: DataFrame, bits: int, parts: int) -> DataFrame:
@@ -132,30 +158,34 @@ def sent_grams(docs: DataFrame, trusted: DataFrame, bits: int, parts: int) -> Da
             base = base_counts(texts, words, hashes)
             good = pc.fill_null(rows.column("trusted"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             chunk = rows.column("number")[0].as_py()
+            order = np.argsort(1 - good, kind="stable")
+            place = np.empty(len(good), np.int64)
+            place[order] = np.arange(len(good))
             row, key = gram_buckets(words, hashes, bits)
             n_grams = np.bincount(row, minlength=len(texts))
-            key, row, times = postings(key, row, bits)
+            key, row, times = postings(key, place[row], bits)
             start = np.flatnonzero(np.diff(key, prepend=-1))
             held = np.diff(start, append=len(key))
             often = held > FREQUENT
             heavy = np.repeat(often, held)
-            whole, target = (np.add.reduceat(x, start)[often] if len(start) else start for x in (times, times * good[row]))
-            light = key[~heavy], 2 * row[~heavy] + good[row[~heavy]], times[~heavy]
-            common = key[start[often]], whole, target
+            n_good = int(good.sum())
+            whole, target = (np.add.reduceat(x, start)[often] if len(start) else start for x in (times, times * (row < n_good)))
+            common, keys, held_light = key[start[often]], key[start[~often]], held[~often]
+            row_at = np.concatenate([[0], np.cumsum(held_light)])
+            row_light, times_light = row[~heavy], times[~heavy]
             ids, missing = ids_of(rows), ids_of(rows).is_null().to_numpy(zero_copy_only=False)
-            judged = packed(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), missing, *base.values(), n_grams)
-            step = np.diff(row[heavy], prepend=0)
-            at = np.concatenate([[0], np.cumsum(held[often])])[:-1]
-            step[at] = row[heavy][at]
-            out = [(chunk % parts, chunk, None, None, judged, packed(held[often]), packed(step, times[heavy]))]
-            numbers = np.arange(parts + 1)
-            cuts = [np.searchsorted(part_of(k, bits, parts), numbers) for k in (light[0], common[0])]
+            columns = [pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), missing, *base.values(), n_grams]
+            rest = packed_rows(held[often], row[heavy], times[heavy])
+            out = [(chunk % parts, chunk, n_good, None, None, packed(*[c[order] for c in columns]), rest)]
+            cuts = [np.searchsorted(part_of(k, bits, parts), np.arange(parts + 1)) for k in (keys, common)]
             for p in range(parts):
                 (a, b), (c, d) = ((int(x[p]), int(x[p + 1])) for x in cuts)
                 if a < b or c < d:
-                    some, most = ([x[i:j] for x in xs] for xs, i, j in ((light, a, b), (common, c, d)))
-                    out.append((p, chunk, packed(steps(some[0]), *some[1:]), packed(steps(most[0]), *most[1:]), None, None, None))
-            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+                    own = slice(row_at[a], row_at[b])
+                    light = [packed(steps(keys[a:b])), *packed_rows(held_light[a:b], row_light[own], times_light[own])]
+                    out.append((p, chunk, n_good, light, packed(steps(common[c:d]), whole[c:d], target[c:d]), None, None))
+            lists = pa.list_(pa.binary())
+            kinds = [pa.int32(), pa.int64(), pa.int32(), lists, pa.binary(), pa.binary(), lists]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], SENT_NAMES)
             release()
 
@@ -170,16 +200,18 @@ SETTLED_NAMES = [c.split()[0] for c in SETTLED.split(", ")]
 class Part:
     """The n-grams that all chunks sent to a part, told apart by key."""
 
-    def __init__(self, sent: list[tuple[int, bytes, bytes]]):
+    def __init__(self, sent: list[dict]):
         keys, raw, target = [], [], []
         self.rows = []
-        for _, light, heavy in sent:
-            step, row, times = unpacked(light, 3)
-            common, whole, good = unpacked(heavy, 3)
+        for r in sent:
+            (step,), (held, row, times) = unpacked(r["light"][0], 1), unpacked_rows(r["light"][1:])
+            common, whole, good = unpacked(r["heavy"], 3)
+            start = np.cumsum(held) - held
+            sums = [np.add.reduceat(x, start) if len(start) else start for x in (times, times * (row < r["trusted"]))]
             keys += [np.cumsum(step), np.cumsum(common)]
-            raw += [times, whole]
-            target += [times * (row & 1), good]
-            self.rows.append(((row >> 1).astype(np.int32), times.astype(np.int32), len(common)))
+            raw += [sums[0], whole]
+            target += [sums[1], good]
+            self.rows.append((held.astype(np.int32), row.astype(np.int32), times.astype(np.int32), len(common)))
         key = np.concatenate(keys) if keys else np.empty(0, np.int64)
         self.order = np.argsort(key)
         self.start = np.flatnonzero(np.diff(key[self.order], prepend=-1))
@@ -195,7 +227,7 @@ class Part:
 
 def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kinds, raw, target) of a part."""
-    part = Part([(0, r["light"], r["heavy"]) for b in batches for r in b.select(["light", "heavy"]).to_pylist() if r["light"]])
+    part = Part([r for b in batches for r in b.to_pylist() if r["light"]])
     sums = [[len(part.start)], [int(part.raw.sum())], [int(part.target.sum())]]
     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in sums], ["kinds", "raw", "target"])
     release()
@@ -219,8 +251,9 @@ def quality_rules(
     all as there are different n-grams to the trusted counts in the raw proportions, so a small target says little
     rather than less.
 
-    N-grams are told apart by the first bits of their hashes, 20 more than the bytes of all texts need (48 to 63), so
-    one in a million meets another at most below 8 TB; or by their first ``bits``, which are then the n-grams of the smoothing.
+    N-grams are told apart by the first bits of their hashes, 12 more than the bytes of all texts need (40 to 63), so
+    fewer than one in 30,000 meets another (6 of 2.7 million at sf0.1); or by their first ``bits``, which are then the
+    n-grams of the smoothing.
     Texts are read once. Each chunk sends its n-grams, sorted and coded, to parts of the keys (``part_bytes`` of text
     for each); a part counts them and returns what each row gains, or, for n-grams that many rows of a chunk hold,
     what each of those is worth: no part meets a common n-gram row by row. Log ratios are added up in whole units
@@ -231,7 +264,7 @@ def quality_rules(
     """
     rows = rows_of(docs, id_col, text_col)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first().bytes
-    fixed, bits = bits, bits or min(63, max(48, size.bit_length() + 20))
+    fixed, bits = bits, bits or min(63, max(40, size.bit_length() + 12))
     parts = 1 + size // part_bytes
     sent = sent_grams(rows, trusted, bits, parts)
     sums = sent.mapInArrow(tally, "kinds long, raw long, target long").agg(
@@ -242,25 +275,22 @@ def quality_rules(
         found, own, totals, number = [], [], None, 0
         for r in (r for b in batches for r in b.to_pylist()):
             totals, number = r["totals"], r["part"]
-            if r["light"]:
-                found.append((r["chunk"], r["light"], r["heavy"]))
-            else:
-                own.append((r["chunk"], r["judged"], r["held"], r["rest"]))
+            (found if r["light"] else own).append(r)
         if totals is None:
             return
         kinds = 1 << fixed if fixed else max(1, totals["kinds"])
         base = float(np.log(kinds / (totals["target"] + kinds)))
-        kept = [pa.int64(), pa.int32(), *[pa.binary()] * 5, pa.float64()]
-        for chunk, *texts in own:
-            out = [chunk, -1, None, None, *texts, base]
+        kept = [pa.int64(), pa.int32(), *[pa.binary()] * 3, pa.list_(pa.binary()), pa.float64()]
+        for r in own:
+            out = [r["chunk"], -1, None, None, r["judged"], r["rest"], base]
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(out, kept)], SETTLED_NAMES)
         part = Part(found)
         gains, at = part.gains(kinds, totals["raw"]), 0
-        for (chunk, *_), (row, times, common) in zip(found, part.rows):
-            end = at + len(row)
-            more = np.rint(np.bincount(row, weights=gains[at:end] * times)).astype(np.int64)
+        for r, (held, row, times, common) in zip(found, part.rows):
+            end = at + len(held)
+            more = np.rint(np.bincount(row, weights=np.repeat(gains[at:end], held) * times)).astype(np.int64)
             there = np.flatnonzero(more)
-            out = [chunk, number, packed(there, more[there]), packed(gains[end : end + common]), None, None, None, None]
+            out = [r["chunk"], number, packed(steps(there), more[there]), packed(gains[end : end + common]), None, None, None]
             at = end + common
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(out, kept)], SETTLED_NAMES)
         del part, gains
@@ -271,14 +301,10 @@ def quality_rules(
             ids, missing, *base, n_grams = unpacked(own["judged"], 8)
             total = np.zeros(len(ids), np.int64)
             for t in told:
-                row, more = unpacked(t["sums"], 2)
-                total[row] += more
+                step, more = unpacked(t["sums"], 2)
+                total[np.cumsum(step)] += more
             gains = np.concatenate([unpacked(t["gains"], 1)[0] for t in told]) if told else np.empty(0, np.int64)
-            held = unpacked(own["held"], 1)[0]
-            step, times = unpacked(own["rest"], 2)
-            last = np.cumsum(step)
-            start = np.cumsum(held) - held
-            row = last - np.repeat(last[start] - step[start], held)
+            held, row, times = unpacked_rows(own["rest"])
             np.add.at(total, row, np.repeat(gains, held) * times)
             mean = (n_grams * own["base"] + total / UNIT) / np.maximum(1, n_grams)
             arrays = [pa.array(ids, mask=missing.astype(bool)), *map(pa.array, base), pa.array(np.round(mean, 9))]
