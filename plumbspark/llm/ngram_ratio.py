@@ -14,7 +14,7 @@ from plumbspark.functions.sizes import broadcast_if_small
 from plumbspark.llm.blocks import Words, blocks, chain, ids_of, mix, release, rows_of, split_flat, windows
 
 #: Bytes of text whose n-grams are counted in one task.
-PART_BYTES = 48 << 20
+PART_BYTES = 32 << 20
 #: Bytes of text whose n-grams are sent together, a chunk.
 CHUNK_BYTES = 16 << 20
 #: An n-gram in more rows of a chunk than this is frequent there: its counts are sent once for the chunk, not by row.
@@ -163,6 +163,7 @@ def sent_grams(docs: DataFrame, trusted: DataFrame, bits: int, parts: int) -> Da
             place[order] = np.arange(len(good))
             row, key = gram_buckets(words, hashes, bits)
             n_grams = np.bincount(row, minlength=len(texts))
+            del words, hashes
             key, row, times = postings(key, place[row], bits)
             start = np.flatnonzero(np.diff(key, prepend=-1))
             held = np.diff(start, append=len(key))
@@ -202,26 +203,32 @@ class Part:
 
     def __init__(self, sent: list[dict]):
         keys, raw, target = [], [], []
-        self.rows = []
         for r in sent:
             (step,), (held, row, times) = unpacked(r["light"][0], 1), unpacked_rows(r["light"][1:])
             common, whole, good = unpacked(r["heavy"], 3)
             start = np.cumsum(held) - held
             sums = [np.add.reduceat(x, start) if len(start) else start for x in (times, times * (row < r["trusted"]))]
             keys += [np.cumsum(step), np.cumsum(common)]
-            raw += [sums[0], whole]
-            target += [sums[1], good]
-            self.rows.append((held.astype(np.int32), row.astype(np.int32), times.astype(np.int32), len(common)))
+            raw += [sums[0].astype(np.int32), whole.astype(np.int32)]
+            target += [sums[1].astype(np.int32), good.astype(np.int32)]
         key = np.concatenate(keys) if keys else np.empty(0, np.int64)
-        self.order = np.argsort(key)
-        self.start = np.flatnonzero(np.diff(key[self.order], prepend=-1))
-        self.raw, self.target = (np.add.reduceat(np.concatenate(x)[self.order], self.start) if len(key) else key for x in (raw, target))
+        del keys
+        self.order = np.argsort(key).astype(np.int32)
+        key = key[self.order]
+        self.start = np.flatnonzero(np.diff(key, prepend=-1))
+        self.raw, self.target = (
+            np.add.reduceat(np.concatenate(x)[self.order], self.start, dtype=np.int64) if len(key) else key for x in (raw, target)
+        )
 
     def gains(self, kinds: int, n_raw: int) -> np.ndarray:
         """Units of each n-gram sent, in the order sent: its log ratio above that of one that no trusted text holds."""
-        own = np.log1p(self.target * ((n_raw + kinds) / kinds) / (self.raw + 1))
+        units = self.raw + 1.0
+        np.divide(self.target, units, out=units)
+        units *= (n_raw + kinds) / kinds
+        np.log1p(units, out=units)
+        units *= UNIT
         out = np.empty(len(self.order), np.int64)
-        out[self.order] = np.repeat(np.rint(own * UNIT).astype(np.int64), np.diff(self.start, append=len(self.order)))
+        out[self.order] = np.repeat(np.rint(units, out=units), np.diff(self.start, append=len(self.order)))
         return out
 
 
@@ -284,16 +291,16 @@ def quality_rules(
         for r in own:
             out = [r["chunk"], -1, None, None, r["judged"], r["rest"], base]
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(out, kept)], SETTLED_NAMES)
-        part = Part(found)
-        gains, at = part.gains(kinds, totals["raw"]), 0
-        for r, (held, row, times, common) in zip(found, part.rows):
-            end = at + len(held)
+        gains, at = Part(found).gains(kinds, totals["raw"]), 0
+        for r in found:
+            held, row, times = unpacked_rows(r["light"][1:])
+            end, common = at + len(held), int.from_bytes(r["heavy"][:8], "little")
             more = np.rint(np.bincount(row, weights=np.repeat(gains[at:end], held) * times)).astype(np.int64)
             there = np.flatnonzero(more)
             out = [r["chunk"], number, packed(steps(there), more[there]), packed(gains[end : end + common]), None, None, None]
             at = end + common
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(out, kept)], SETTLED_NAMES)
-        del part, gains
+        del gains
         release()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
