@@ -17,6 +17,8 @@ from plumbspark.llm.blocks import Words, blocks, chain, ids_of, mix, release, ro
 PART_BYTES = 32 << 20
 #: Bytes of text whose n-grams are sent together, a chunk.
 CHUNK_BYTES = 16 << 20
+#: Bytes of text that are cut into words at a time.
+BLOCK_BYTES = 4 << 20
 #: An n-gram in more rows of a chunk than this is frequent there: its counts are sent once for the chunk, not by row.
 FREQUENT = 32
 #: Log ratios are added up as multiples of 2^-32: the order of a sum never matters.
@@ -97,11 +99,14 @@ def postings(key: np.ndarray, row: np.ndarray, bits: int) -> tuple[np.ndarray, n
         return key, row, row
     width = int(row.max()).bit_length()
     if bits + width < 64:
-        both = np.sort(key << width | row)
-        key, row = both >> width, both & ((1 << width) - 1)
-    else:
-        order = np.lexsort((row, key))
-        key, row = key[order], row[order]
+        both = key << width
+        both |= row
+        both.sort()
+        first = np.flatnonzero(np.diff(both, prepend=-1))
+        times, both = np.diff(first, append=len(both)), both[first]
+        return both >> width, both & ((1 << width) - 1), times
+    order = np.lexsort((row, key))
+    key, row = key[order], row[order]
     first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]))
     return key[first], row[first], np.diff(first, append=len(key))
 
@@ -153,18 +158,25 @@ def sent_grams(docs: DataFrame, trusted: DataFrame, bits: int, parts: int) -> Da
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in blocks(batches, CHUNK_BYTES):
-            words = Words(texts)
-            hashes = words.hashes()
-            base = base_counts(texts, words, hashes)
             good = pc.fill_null(rows.column("trusted"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             chunk = rows.column("number")[0].as_py()
             order = np.argsort(1 - good, kind="stable")
-            place = np.empty(len(good), np.int64)
+            place = np.empty(len(good), np.int32)
             place[order] = np.arange(len(good))
-            row, key = gram_buckets(words, hashes, bits)
-            n_grams = np.bincount(row, minlength=len(texts))
-            del words, hashes
-            key, row, times = postings(key, place[row], bits)
+            base, keys, places, at = [], [], [], 0
+            for _, some in blocks([rows], BLOCK_BYTES):
+                words = Words(some)
+                hashes = words.hashes()
+                row, key = gram_buckets(words, hashes, bits)
+                n_grams = np.bincount(row, minlength=len(some))
+                base.append([*base_counts(some, words, hashes).values(), n_grams])
+                keys.append(key)
+                places.append(place[at + row])
+                at += len(some)
+            base = [np.concatenate(c) for c in zip(*base)]
+            keys, places = np.concatenate(keys), np.concatenate(places)
+            key, row, times = postings(keys, places, bits)
+            del words, hashes, keys, places
             start = np.flatnonzero(np.diff(key, prepend=-1))
             held = np.diff(start, append=len(key))
             often = held > FREQUENT
@@ -175,7 +187,7 @@ def sent_grams(docs: DataFrame, trusted: DataFrame, bits: int, parts: int) -> Da
             row_at = np.concatenate([[0], np.cumsum(held_light)])
             row_light, times_light = row[~heavy], times[~heavy]
             ids, missing = ids_of(rows), ids_of(rows).is_null().to_numpy(zero_copy_only=False)
-            columns = [pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), missing, *base.values(), n_grams]
+            columns = [pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), missing, *base]
             rest = packed_rows(held[often], row[heavy], times[heavy])
             out = [(chunk % parts, chunk, n_good, None, None, packed(*[c[order] for c in columns]), rest)]
             cuts = [np.searchsorted(part_of(k, bits, parts), np.arange(parts + 1)) for k in (keys, common)]
