@@ -21,7 +21,7 @@ from plumbspark.llm.packing import packed
 from plumbspark.llm.quality import kept_by_quality
 from plumbspark.llm.queries import END_ID, SEQUENCE, table, vocabulary
 from plumbspark.llm.storage import written
-from plumbspark.llm.token_files import id_type, ids_listed
+from plumbspark.llm.token_files import LISTED
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     number = "row_number"
     while number in docs.columns:
         number += "_"
-    numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered-rows")
+    numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered-rows", codec="zstd")
     found = contaminated(numbered, table(spark, sf_dir, "benchmark"), id_col=number, slot_heavy=True)
     found = written(found.select(F.col("doc_id").alias(number)).distinct(), "contaminated")
     return numbered.join(broadcast_if_small(found), number, "left_anti").select(*docs.columns)
@@ -53,8 +53,7 @@ def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences along the curve, with their ids."""
-    file = vocabulary("word_bpe_49k.json")
-    return ids_listed(packed(docs, file, END_ID, SEQUENCE), id_type(file, END_ID))
+    return packed(docs, vocabulary("word_bpe_49k.json"), END_ID, SEQUENCE, form=LISTED)
 
 
 STAGES = [

@@ -309,3 +309,13 @@ def counter(path: str) -> TokenCounter:
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
+
+
+def forget() -> None:
+    """Frees what this worker's encoders hold: it outlives the tasks that encode, and another stage's need the room."""
+    from plumbspark.llm.blocks import release
+
+    if encoder.cache_info().currsize or counter.cache_info().currsize:
+        encoder.cache_clear()
+        counter.cache_clear()
+        release()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbspark.llm.blocks import mix
 from plumbspark.llm.storage import written
-from plumbspark.llm.token_files import flat_ids, id_type, slices, tokenized
+from plumbspark.llm.token_files import IDS, Form, id_type, slices, tokenized
 
 DIMENSIONS = 3
 BITS = 12
@@ -47,28 +47,25 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def signs(ids: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """+1 or -1 for each id and dimension, from the id's hash: the row of a sparse random projection."""
+def signs(ids: np.ndarray, dimension: int) -> np.ndarray:
+    """+1 or -1 for each id, from the id's hash: one dimension of a sparse random projection."""
     h = mix(ids.astype(np.uint64) + np.uint64(0x5EED))
-    return 1.0 - 2.0 * ((h[:, None] >> np.arange(dimensions, dtype=np.uint64)) & np.uint64(1)).astype(np.float64)
+    return 1 - 2 * ((h >> np.uint64(dimension)) & np.uint64(1)).astype(np.int8)
 
 
-def projected(tokens: DataFrame, kind: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """Adds ``point``: the mean of the projected one-hot vectors of the document's ids."""
+def projection(dimensions: int = DIMENSIONS):
+    """A function of all ids and the documents' first places: the mean of each document's projected one-hot vectors."""
+    tables: list[np.ndarray] = []
 
-    def project(batches):
-        table = signs(np.arange(1 << 16), dimensions)
-        for b in slices(batches):
-            ids = flat_ids(b.column("ids"), kind)
-            if len(ids) and ids.max() >= len(table):
-                table = signs(np.arange(int(ids.max()) + 1), dimensions)
-            n = b.column("n_tokens").to_numpy()
-            starts = np.cumsum(n) - n
-            point = np.add.reduceat(table[ids], starts) / n[:, None]
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(point.ravel()), dimensions).cast(pa.list_(pa.float64()))
-            yield b.append_column("point", lists)
+    def project(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        need = max(1 << 16, int(ids.max(initial=0)) + 1)
+        if not tables or len(tables[0]) < need:
+            tables[:] = [signs(np.arange(need), k) for k in range(dimensions)]
+        n = np.diff(np.append(starts, len(ids)))
+        # whole numbers: the sums are exact in any order
+        return np.column_stack([np.add.reduceat(t[ids], starts, dtype=np.int64) / n for t in tables])
 
-    return tokens.mapInArrow(project, "doc_id long, n_tokens long, ids binary, point array<double>")
+    return project
 
 
 def curve_order(points: DataFrame, bits: int = BITS, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -92,10 +89,16 @@ def curve_order(points: DataFrame, bits: int = BITS, dimensions: int = DIMENSION
 
 
 def packed(
-    docs: DataFrame, vocabulary: str, end_id: int, length: int = 2048, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    vocabulary: str,
+    end_id: int,
+    length: int = 2048,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    form: Form = IDS,
 ) -> DataFrame:
     """Pieces of documents in sequences of ``length`` ids: doc_id, start, length, doc_tokens, sequence_id, offset, and
-    ids as bytes of ``id_type``.
+    ids as bytes of ``id_type``, or in another ``form``.
 
     Documents lie one after another along the Hilbert curve; a sequence is ``length`` ids of that line, so
     only the very last one needs padding. Rows are dealt out by ranges of (curve, hash of the id, doc_id), so
@@ -107,7 +110,7 @@ def packed(
     """
     spark, kind = docs.sparkSession, id_type(vocabulary, end_id)
     width = np.dtype(kind).itemsize
-    points = written(projected(tokenized(docs, vocabulary, end_id, id_col, text_col), kind), "packing-points")
+    points = written(tokenized(docs, vocabulary, end_id, id_col, text_col, projection()), "packing-points", codec="zstd")
     order = [F.col("curve"), F.xxhash64("doc_id"), F.col("doc_id")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     line = curve_order(points).repartitionByRange(parts, *order).sortWithinPartitions(*order, "ids")
@@ -121,7 +124,8 @@ def packed(
             yield b.drop_columns(["curve"]).append_column("local", pa.array((ends - n).astype(np.int64)))
             at = int(ends[-1])
 
-    laid = written(line.mapInArrow(walk, "doc_id long, n_tokens long, ids binary, range int, local long"), "packing-line")
+    walked = line.mapInArrow(walk, "doc_id long, n_tokens long, ids binary, range int, local long")
+    laid = written(walked, "packing-line", codec="zstd")
     totals = laid.groupBy("range").agg(F.sum("n_tokens").alias("n"))
     # one row a range, never a row a document
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -141,11 +145,10 @@ def packed(
                     size = min(length - offset, n - start)
                     rows.append((doc_id, start, size, n, (at + start) // length, offset, ids[width * start : width * (start + size)]))
                     start += size
-            columns = zip(*rows) if rows else [[]] * 7
-            kinds = [pa.int64()] * 6 + [pa.binary()]
-            names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            *numbers, parts = zip(*rows) if rows else [[]] * 7
+            names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", form.name]
+            arrays = [*(pa.array(c, pa.int64()) for c in numbers), form.make(list(parts), kind)]
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return placed.mapInArrow(
-        cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    )
+    schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long"
+    return placed.mapInArrow(cut, f"{schema}, {form.name} {form.type}")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbspark.llm.blocks import Words, blocks, held_out, ids_of, release, rows_of, split_flat, windows
+from plumbspark.llm.bpe import forget
 from plumbspark.llm.labelled import FIT_PARTS, FIT_ROWS, bounded, calibrated, fold, labels_of, teaching
 from plumbspark.llm.storage import written
 
@@ -203,6 +204,7 @@ def kept_by_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3)
 
     @F.arrow_udf("array<double>")
     def statistics_of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget()  # of a pipeline that ran before in this session
         for part in parts:
             found = [np.empty((0, len(NAMES)))]
             for _, texts in blocks([pa.RecordBatch.from_arrays([part], ["text"])], 3 << 20):
@@ -211,7 +213,7 @@ def kept_by_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3)
             x = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(found).ravel()), len(NAMES))
             yield x.cast(pa.list_(pa.float64()))
 
-    held = written(docs.withColumn(name, statistics_of("text")), "quality-rows")
+    held = written(docs.withColumn(name, statistics_of("text")), "quality-rows", codec="zstd")
     model = fit_quality(held.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(name).alias("x")), labels)
     if model is None:
         return held.select(*docs.columns)

@@ -16,6 +16,7 @@ repeated task harmless on any store that Spark can write.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbspark.functions.shared_dir import shared_folder
-from plumbspark.llm.blocks import blocks, ids_of, rows_of
+from plumbspark.llm.blocks import blocks, ids_of, release, rows_of
 from plumbspark.llm.bpe import encoder
 from plumbspark.llm.storage import written
 
@@ -74,6 +75,35 @@ def decode_block(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return lengths, unpack(control, data, n_ids)
 
 
+@dataclass(frozen=True)
+class Form:
+    """The column that stands for each row's ids: ``make`` takes the rows' bytes and their ``id_type``. Made where the ids
+    arise, so that they don't pass through a second Python worker."""
+
+    name: str
+    type: str
+    make: Callable[[list[bytes | memoryview], str], pa.Array]
+
+
+def _as_bytes(parts: list[bytes | memoryview], kind: str) -> pa.Array:
+    return pa.array([bytes(x) for x in parts], pa.binary())
+
+
+def _as_crc32(parts: list[bytes | memoryview], kind: str) -> pa.Array:
+    wide = parts if kind == "<u4" else (np.frombuffer(x, kind).astype("<u4") for x in parts)
+    return pa.array([zlib.crc32(x) for x in wide], pa.int64())
+
+
+def _as_list(parts: list[bytes | memoryview], kind: str) -> pa.Array:
+    ends = np.cumsum([0, *(memoryview(x).nbytes // np.dtype(kind).itemsize for x in parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), kind).astype(np.int32)))
+
+
+IDS = Form("ids", "binary", _as_bytes)
+CRC32 = Form("ids_crc32", "long", _as_crc32)
+LISTED = Form("ids", "array<int>", _as_list)
+
+
 @dataclass(frozen=True)
 class TokenFiles:
     """Where the files lie, the ids by rank, and each shard's first position."""
@@ -88,8 +118,16 @@ def id_type(vocabulary: str, end_id: int) -> str:
     return "<u2" if max(encoder(vocabulary).library.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
 
 
-def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's ids with the end id as bytes of ``id_type``, and their number."""
+def tokenized(
+    docs: DataFrame,
+    vocabulary: str,
+    end_id: int,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    point: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
+) -> DataFrame:
+    """Each document's ids with the end id as bytes of ``id_type``, and their number. ``point`` makes a column of that name
+    in the same pass: a row of numbers for each document, from all ids one after another and the documents' first places."""
     kind = id_type(vocabulary, end_id)
 
     def encode(batches):
@@ -100,11 +138,18 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_
             offsets = offsets + np.arange(len(offsets))
             ends = pa.py_buffer((ids.itemsize * offsets).astype(np.int32))
             column = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, ends, pa.py_buffer(ids)])
-            yield pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [ids_of(rows), pa.array(np.diff(offsets).astype(np.int64)), column], ["doc_id", "n_tokens", "ids"]
             )
+            if point is not None:
+                at = point(ids, offsets[:-1])
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(at.ravel()), at.shape[1]).cast(pa.list_(pa.float64()))
+                out = out.append_column("point", lists)
+            yield out
+            release()
 
-    return rows_of(docs, id_col, text_col).mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
+    schema = "doc_id long, n_tokens long, ids binary" + (", point array<double>" if point is not None else "")
+    return rows_of(docs, id_col, text_col).mapInArrow(encode, schema)
 
 
 def flat_ids(column: pa.BinaryArray, kind: str) -> np.ndarray:
@@ -194,8 +239,8 @@ def write_token_files(tokens: DataFrame, kind: str, path: str, shards: int | Non
     return TokenFiles(path, id_of_rank, starts)
 
 
-def read_token_files(spark: SparkSession, files: TokenFiles) -> DataFrame:
-    """Each document from the files: doc_id, start (ids of all documents before it), n_tokens, ids (bytes)."""
+def read_token_files(spark: SparkSession, files: TokenFiles, form: Form = IDS) -> DataFrame:
+    """Each document from the files: doc_id, start (ids of all documents before it), n_tokens, ids (32-bit, in ``form``)."""
     ids_by_rank = spark.sparkContext.broadcast(files.id_of_rank)
 
     def read(batches):
@@ -205,33 +250,36 @@ def read_token_files(spark: SparkSession, files: TokenFiles) -> DataFrame:
                 lengths, ranks = decode_block(payload)
                 ids = ids_by_rank.value[ranks].astype("<u4")
                 ends = np.cumsum(lengths, dtype=np.int64)
-                raw = memoryview(ids.tobytes())
+                raw = memoryview(ids).cast("B") if len(ids) else memoryview(b"")
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(doc_ids, pa.int64()),
                         pa.array(begin + ends - lengths),
                         pa.array(lengths.astype(np.int64)),
-                        pa.array([bytes(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends, lengths.astype(int))], pa.binary()),
+                        form.make([raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), lengths.tolist())], "<u4"),
                     ],
-                    ["doc_id", "start", "n_tokens", "ids"],
+                    ["doc_id", "start", "n_tokens", form.name],
                 )
 
     # one small row a shard: the number of shards is a setting, whatever the corpus
     stored = spark.read.parquet(files.path).join(F.broadcast(files.starts), "shard")
     # a few blocks at a time through Arrow: a block holds at most BLOCK_IDS ids and one document's more
     begun = stored.select((F.col("shard_start") + F.col("start")).alias("begin"), "doc_ids", "payload")
-    return begun.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return begun.mapInArrow(read, f"doc_id long, start long, n_tokens long, {form.name} {form.type}")
 
 
-def token_file_round_trip(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode ``docs``, write the files and read them back: doc_id, start, n_tokens, ids.
+def token_file_round_trip(
+    docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", form: Form = IDS
+) -> DataFrame:
+    """Encode ``docs``, write the files and read them back: doc_id, start, n_tokens, ids (in ``form``).
 
     One row for each row of ``docs``. NULL and empty texts hold the end id alone; NULL doc_ids come first,
     repeated doc_ids follow each other in the order of their ids' hash; an empty table gives no rows.
     """
     spark = docs.sparkSession
     tokens = written(tokenized(docs, vocabulary, end_id, id_col, text_col), "token-ids")
-    return read_token_files(spark, write_token_files(tokens, id_type(vocabulary, end_id), shared_folder(spark, "token-files")))
+    files = write_token_files(tokens, id_type(vocabulary, end_id), shared_folder(spark, "token-files"))
+    return read_token_files(spark, files, form)
 
 
 def crc_of(rows: DataFrame, kind: str = "<u4") -> DataFrame:
@@ -239,24 +287,8 @@ def crc_of(rows: DataFrame, kind: str = "<u4") -> DataFrame:
 
     def crc(batches):
         for b in slices(batches):
-            ids = (np.frombuffer(x, kind).astype("<u4") for x in b.column("ids").to_pylist())
-            sums = pa.array([zlib.crc32(x) for x in ids], pa.int64())
+            sums = CRC32.make(b.column("ids").to_pylist(), kind)
             yield b.drop_columns(["ids"]).append_column("ids_crc32", sums)
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "ids")
     return rows.mapInArrow(crc, f"{kept}, ids_crc32 long")
-
-
-def ids_listed(rows: DataFrame, kind: str) -> DataFrame:
-    """The bytes in ``ids`` as an array of integers."""
-
-    def listed(batches):
-        for b in slices(batches):
-            at = b.schema.get_field_index("ids")
-            ids = flat_ids(b.column("ids"), kind).astype(np.int32)
-            sizes = [len(x) // np.dtype(kind).itemsize for x in b.column("ids").to_pylist()]
-            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            yield b.set_column(at, "ids", pa.ListArray.from_arrays(ends, pa.array(ids)))
-
-    fields = ", ".join(f"{f.name} {'array<int>' if f.name == 'ids' else f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(listed, fields)

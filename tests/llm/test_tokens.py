@@ -6,10 +6,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from plumbspark.llm.bpe import Encoder, TokenCounter
-from plumbspark.llm.packing import hilbert_key, packed
+from plumbspark.llm.blocks import mix
+from plumbspark.llm.bpe import Encoder, TokenCounter, encoder, forget
+from plumbspark.llm.packing import hilbert_key, packed, projection
 from plumbspark.llm.token_counts import token_counts
-from plumbspark.llm.token_files import crc_of, decode_block, encode_block, id_type, pack, token_file_round_trip, unpack
+from plumbspark.llm.token_files import CRC32, LISTED, crc_of, decode_block, encode_block, id_type, pack, token_file_round_trip, tokenized, unpack
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -119,3 +120,47 @@ def test_copies_follow_each_other(docs):
     out = packed(docs(pairs), WORD, 1, 100_000).toPandas().sort_values("offset")
     places = np.flatnonzero(out.doc_id % 2 == 0)
     assert places.max() - places.min() == len(places) - 1
+
+
+def test_ids_pass_through_one_python_worker(docs, odd, rows, plan):
+    """The forms of the ids arise where the ids do, and equal a second pass over the bytes."""
+    table, kind = docs(odd + [(50, "word " * 5000)]), id_type(WORD, 1)
+    files, made = token_file_round_trip(table, WORD, 1), token_file_round_trip(table, WORD, 1, form=CRC32)
+    columns = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert rows(made, *columns) == rows(crc_of(files), *columns) and plan(made).count("MapInArrow") == 1
+    pieces = packed(table, WORD, 1, 64)
+    columns = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32"]
+    made = packed(table, WORD, 1, 64, form=CRC32)
+    assert rows(made, *columns) == rows(crc_of(pieces, kind), *columns) and plan(made).count("MapInArrow") == 1
+    made = packed(table, WORD, 1, 64, form=LISTED)
+    want = {(r.sequence_id, r.offset): np.frombuffer(r.ids, kind).tolist() for r in pieces.collect()}
+    assert {(r.sequence_id, r.offset): r.ids for r in made.collect()} == want
+    assert plan(tokenized(table, WORD, 1, point=projection())).count("MapInArrow") == 1
+    assert packed(docs([]), WORD, 1, form=LISTED).count() == 0 and token_file_round_trip(docs([]), WORD, 1, form=CRC32).count() == 0
+
+
+def test_projected_points_are_means_of_signs():
+    ids, starts = np.array([5, 9, 9, 70000, 1, 1], np.uint32), np.array([0, 4, 5])
+    got = projection(3)(ids, starts)
+    bits = mix(ids.astype(np.uint64) + np.uint64(0x5EED))
+    for k in range(3):
+        sign = 1.0 - 2.0 * ((bits >> np.uint64(k)) & np.uint64(1)).astype(float)
+        assert got[:, k].tolist() == [sign[:4].mean(), sign[4], sign[5]]
+
+
+def test_encoders_are_forgotten():
+    encoder(WORD).encode(pa.array(["some words"]))
+    assert encoder.cache_info().currsize
+    forget()
+    assert not encoder.cache_info().currsize
+
+
+def test_packing_tables_are_held_tightly(docs, odd, tmp_path, monkeypatch):
+    """Texts and ids between the jobs of the pipeline take no more room than they need."""
+    from plumbspark.llm import storage
+
+    monkeypatch.setattr(storage, "shared_folder", lambda spark, purpose: str(tmp_path / purpose))
+    packed(docs(odd), WORD, 1, 64)
+    for name in ("packing-points", "packing-line"):
+        files = [p.name for p in (tmp_path / name).glob("part-*")]
+        assert files and all(".zstd." in f for f in files)
