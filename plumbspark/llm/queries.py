@@ -38,18 +38,17 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    from plumbspark.llm.token_files import crc_of, token_file_round_trip
+    from plumbspark.llm.token_files import CRC32, token_file_round_trip
 
-    return crc_of(token_file_round_trip(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), END_ID))
+    return token_file_round_trip(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), END_ID, form=CRC32)
 
 
 @query
 def op7_hilbert_packing(spark: SparkSession, folder: str) -> DataFrame:
     from plumbspark.llm.packing import packed
-    from plumbspark.llm.token_files import crc_of, id_type
+    from plumbspark.llm.token_files import CRC32
 
-    file = vocabulary("word_bpe_49k.json")
-    return crc_of(packed(table(spark, folder, "documents"), file, END_ID, SEQUENCE), id_type(file, END_ID))
+    return packed(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), END_ID, SEQUENCE, form=CRC32)
 
 
 @query

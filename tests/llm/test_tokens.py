@@ -139,6 +139,16 @@ def test_ids_pass_through_one_python_worker(docs, odd, rows, plan):
     assert packed(docs([]), WORD, 1, form=LISTED).count() == 0 and token_file_round_trip(docs([]), WORD, 1, form=CRC32).count() == 0
 
 
+def test_registered_queries_read_ids_in_one_pass(spark, sf, plan):
+    import corpus_pipeline
+    from plumbspark.llm.queries import QUERIES
+
+    for name in ("op5_token_files", "op7_hilbert_packing"):
+        assert plan(QUERIES[name](spark, sf)).count("MapInArrow") == 1
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    assert plan(corpus_pipeline.packing(spark, table, sf)).count("MapInArrow") == 1
+
+
 def test_projected_points_are_means_of_signs():
     ids, starts = np.array([5, 9, 9, 70000, 1, 1], np.uint32), np.array([0, 4, 5])
     got = projection(3)(ids, starts)
