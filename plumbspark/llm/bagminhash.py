@@ -224,6 +224,14 @@ def _with_sizes(keyed: DataFrame, sizes: DataFrame) -> DataFrame:
     return keyed.join(hot, "key").select(rest.columns).union(rest)
 
 
+def _rooted(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, rep, text, root): the bucket rows (rep, text, key) with their documents' roots. A document meets its root
+    once, not once for each of its buckets; the rows are written, as several jobs read them."""
+    documents = buckets.groupBy("rep", "text").agg(F.collect_list("key").alias("keys"))
+    documents = documents.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    return written(documents.select(F.explode("keys").alias("key"), "rep", "text", F.coalesce("root", "rep").alias("root")), "near-rooted")
+
+
 def verified(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     """(a, b, similarity): the overlap of the two texts' shingle multisets, sum of the lesser counts over
     sum of the greater. The texts of the pairs' documents alone are shuffled while their ids, measured, can
@@ -306,7 +314,8 @@ def near_duplicates(
     marks = written(signed(rows, size, bands, band_rows), "near-marks")
     copies = marks.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     copies = written(copies.where("rep IS NOT NULL"), "near-copies")
-    keyed = copies.select("rep", F.explode("keys").alias("key"))
+    # a document's texts apart: an id that stands over many of them is no single row below
+    keyed = copies.select("rep", F.hash("digest").alias("text"), F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
     shared = written(_with_sizes(keyed, written(sizes, "near-sizes")), "near-buckets")
     named = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -318,10 +327,9 @@ def near_duplicates(
 
     links = stars(shared.where("rep != pivot")).union(_links_by_id(marks, copies))
     roots = components(written(links, "near-links"))
-    many = shared.where("n > 1").select("key", "rep")
+    many = shared
     for turn in range(ROUNDS + 1):
-        found = many.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        found = found.select("key", "rep", F.coalesce("root", "rep").alias("root"))
+        found = _rooted(many, roots)
         mixed = found.groupBy("key").agg(
             F.min("root").alias("low"),
             F.max("root").alias("high"),
@@ -344,7 +352,7 @@ def near_duplicates(
         roots = joined_components(roots, written(new, "near-links"))
         if last:
             break
-        many = found.select("key", "rep")
+        many = found
     classed = copies.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     classed = classed.select("digest", F.coalesce("root", "rep").alias("class_id"))
     out = marks.select("doc_id", "digest").join(classed, "digest", "left")

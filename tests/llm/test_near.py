@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from brute import bag, near_classes, similarity
-from plumbspark.llm.bagminhash import SKETCH, _links_in_block, near_duplicates, one_of_each, shingle_bags, signatures
+from plumbspark.llm.bagminhash import SKETCH, _links_in_block, _rooted, near_duplicates, one_of_each, shingle_bags, signatures
 from plumbspark.llm.blocks import Words, mix
 from plumbspark.llm.components import components, joined_components
 
@@ -104,6 +104,21 @@ def test_mixed_buckets_are_compared_in_blocks(docs, monkeypatch):
     assert 1 < len(set(got.values())) < 60
 
 
+def test_documents_meet_their_roots_once(spark, rows, plan, monkeypatch):
+    """One row a text passes the join, not one a bucket; texts under one id stay rows of their own."""
+    from plumbspark.llm import bagminhash
+
+    buckets = [(i, 0, 10 * i % 7 + k) for i in range(6) for k in range(5)] + [(5, 9, 3), (5, 9, 8)]
+    table = spark.createDataFrame(buckets, "rep long, text int, key long")
+    roots = spark.createDataFrame([(1, 0), (0, 0), (5, 4), (4, 4)], "node long, root long")
+    root_of = {1: 0, 5: 4}
+    want = sorted([(k, r, t, root_of.get(r, r)) for r, t, k in buckets], key=repr)
+    assert rows(_rooted(table, roots), "key", "rep", "text", "root") == want
+    monkeypatch.setattr(bagminhash, "written", lambda df, purpose: df)
+    text = plan(_rooted(table, roots))
+    assert text.index("Generate") < text.index("Join") < text.index("collect_list")
+
+
 def test_odd_rows(docs, odd):
     got = sorted((tuple(r) for r in near_duplicates(docs(odd)).collect()), key=repr)
     want = near_classes(odd)
