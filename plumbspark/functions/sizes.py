@@ -1,4 +1,4 @@
-"""Estimated row sizes; broadcast a side of a join only after its size was measured."""
+"""Estimated row sizes; broadcast a side of a join, or gather a table, only after its size was measured."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from plumbspark.functions.columns import quoted
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 _ROW_OVERHEAD = 32
+#: Rows up to which a narrow table is better off in one partition.
+FEW_ROWS = 1 << 18
 
 _FIXED_WIDTH = {
     T.BooleanType: 1,
@@ -49,3 +51,9 @@ def is_small(df: DataFrame, row_overhead: int = _ROW_OVERHEAD) -> bool:
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """The frame with a broadcast hint if it is measured small; otherwise as it is, for a shuffled join."""
     return F.broadcast(df) if is_small(df) else df
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """A written table of FEW_ROWS rows at most, as counted, in one partition: its joins and groups need no exchange,
+    and what is made of it no more files than one. A longer table as it is. For narrow rows only."""
+    return df.coalesce(1) if df.count() <= FEW_ROWS else df

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbspark.functions.sizes import broadcast_if_small
+from plumbspark.functions.sizes import broadcast_if_small, gathered
 from plumbspark.llm.blocks import Words, blocks, chain, ids_of, mix, release, rows_of, windows
 from plumbspark.llm.components import components, joined_components
 from plumbspark.llm.storage import written
@@ -160,7 +160,7 @@ def _links_in_block(table: pa.Table, threshold: float) -> pa.Table:
     """(a, b): links that join the components of one pair of chunks of a bucket, as few as join them.
 
     Each document is held against those of other components only; a link merges two components, so the pairs
-    still open between them are not looked at any more. A pair counts in the first band that it shares."""
+    still open between them are not looked at any more. A pair counts in the bucket of the least key that it shares."""
     rep, root, chunk = (table.column(c).to_numpy() for c in ("rep", "root", "chunk"))
     n = len(rep)
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(n, -1)
@@ -170,7 +170,7 @@ def _links_in_block(table: pa.Table, threshold: float) -> pa.Table:
         (np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint32))
         for s, t in zip(table.column("shingles").to_pylist(), table.column("times").to_pylist())
     ]
-    band = int(np.flatnonzero(keys[0] == table.column("key")[0].as_py())[0])
+    earlier = keys < table.column("key")[0].as_py()
     across = table.column("low")[0] != table.column("high")[0]
     part = np.unique(root, return_inverse=True)[1]
     left, right = [], []
@@ -179,8 +179,9 @@ def _links_in_block(table: pa.Table, threshold: float) -> pa.Table:
         if across:
             apart &= chunk[i + 1 :] != chunk[i]
         at = np.flatnonzero(apart) + i + 1
-        if len(at) and band:
-            at = at[~(keys[at, :band] == keys[i, :band]).any(axis=1)]
+        lower = np.flatnonzero(earlier[i])
+        if len(at) and len(lower):
+            at = at[~(keys[at[:, None], lower] == keys[i, lower]).any(axis=1)]
         if len(at):
             at = at[(head[at] == head[i]).mean(axis=1) >= threshold - HEAD_SLACK]
         if not len(at):
@@ -194,6 +195,15 @@ def _links_in_block(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 
+def _without_copies(found: DataFrame) -> DataFrame:
+    """``found`` (key, rep, text, ...) without the buckets that hold the same documents as one of a lesser key: a pair
+    counts in the bucket of the least key that it shares, and all others of its buckets would only be sent."""
+    # compared by a sum over hashes of 64 bits, and by number, least and greatest id
+    held = F.sum(F.xxhash64("rep", "text").cast("decimal(20,0)")).alias("held")
+    sets = found.groupBy("key").agg(held, F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high"))
+    return found.join(sets.groupBy("held", "n", "low", "high").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
 def _links_across(found: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """(a, b): links of ``threshold`` or more between different components of each bucket in ``found`` (key, rep,
     root).
@@ -201,11 +211,12 @@ def _links_across(found: DataFrame, sketches: DataFrame, threshold: float) -> Da
     A bucket is dealt into chunks by a hash of the document, as many as its documents and the bytes of its bags
     ask for, and compared chunk by chunk inside tasks: no pair becomes a row unless it joins two components."""
     # an id that stands over several texts has several sketches; those of this bucket count
-    rows = found.join(sketches, "rep").where(F.array_contains("keys", F.col("key")))
-    rows = rows.select("key", "rep", "root", "keys", "sketch", "shingles", "times")
-    weight = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("bytes"))
+    light = sketches.select("rep", "keys", F.octet_length("shingles").alias("bytes"))
+    weight = found.join(light, "rep").where(F.array_contains("keys", F.col("key")))
+    weight = weight.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     chunks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BAGS), F.lit(1)).cast("int")
-    rows = rows.join(broadcast_if_small(weight.select("key", chunks.alias("chunks"))), "key")
+    weight = written(weight.select("key", chunks.alias("chunks")), "near-chunks")
+    rows = found.join(broadcast_if_small(weight), "key").join(sketches, "rep").where(F.array_contains("keys", F.col("key")))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
@@ -234,12 +245,11 @@ def _rooted(buckets: DataFrame, roots: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     """(a, b, similarity): the overlap of the two texts' shingle multisets, sum of the lesser counts over
-    sum of the greater. The texts of the pairs' documents alone are shuffled while their ids, measured, can
+    sum of the greater. The texts of the pairs' documents alone are shuffled, once, while the pairs, measured, can
     be broadcast; ``a`` may be a hot pivot, whose partition a skewed join splits. ``pairs`` is a written table."""
-    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = rows.join(broadcast_if_small(named), "doc_id", "left_semi")
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    pivots = rows.join(broadcast_if_small(pairs.select(F.col("a").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    both = rows.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).join(broadcast_if_small(pairs), "b")
+    both = both.join(pivots.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def compare(batches):
         for batch in batches:
@@ -301,7 +311,7 @@ def near_duplicates(
 
     Equal texts are one document up to the last join. Each document first meets the least of its buckets'
     (equal band keys) least documents alone; after components are known, buckets that still hold several of
-    them meet again with another pivot, and at last their pairs across components are compared in blocks inside
+    them meet again with another pivot while that halves their rows, and at last their pairs across components are compared in blocks inside
     tasks: by sketch, and by bag where that could reach the threshold, until the components are joined. So a
     bucket of copies costs its length, and no candidate pair that could join two classes is left out. A pair at
     the threshold shares no bucket with probability (1 - threshold^5)^25, 5 in 100,000, and fails the sketches'
@@ -317,19 +327,19 @@ def near_duplicates(
     # a document's texts apart: an id that stands over many of them is no single row below
     keyed = copies.select("rep", F.hash("digest").alias("text"), F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
-    shared = written(_with_sizes(keyed, written(sizes, "near-sizes")), "near-buckets")
+    shared = gathered(written(_with_sizes(keyed, written(sizes, "near-sizes")), "near-buckets"))
     named = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def stars(found: DataFrame) -> DataFrame:
         """Links (a, b) of each document of ``found`` (rep, pivot) with the least of its buckets' pivots."""
         pairs = found.groupBy("rep").agg(F.min("pivot").alias("pivot")).select(*_ordered(F.col("pivot"), F.col("rep"))).distinct()
-        return verified(written(pairs, "near-candidates"), named, size).where(F.col("similarity") >= threshold).select("a", "b")
+        return verified(gathered(written(pairs, "near-candidates")), named, size).where(F.col("similarity") >= threshold).select("a", "b")
 
     links = stars(shared.where("rep != pivot")).union(_links_by_id(marks, copies))
     roots = components(written(links, "near-links"))
     many = shared
     for turn in range(ROUNDS + 1):
-        found = _rooted(many, roots)
+        found = gathered(_rooted(many, gathered(roots)))
         mixed = found.groupBy("key").agg(
             F.min("root").alias("low"),
             F.max("root").alias("high"),
@@ -337,16 +347,17 @@ def near_duplicates(
             F.count("*").alias("n"),
         )
         mixed = mixed.where("low != high").select("key", "n", F.col("at.rep").alias("pivot"), F.col("at.root").alias("pivot_root"))
-        found = written(_with_sizes(found, written(mixed, "near-mixed-keys")), "near-mixed")
+        found = gathered(written(_with_sizes(found, gathered(written(mixed, "near-mixed-keys"))), "near-mixed"))
         squares = found.groupBy("key", "root").agg(F.count("*").alias("c"), F.first("n").alias("n"))
         cost = squares.agg(F.sum(F.col("c") * (F.col("n") - F.col("c"))).alias("cross"), F.sum("c").alias("rows")).first()
         if not cost.rows:
             break
-        last = turn == ROUNDS or cost.cross <= 2 * PAIRS_PER_ROW * cost.rows
+        # a round that left more than half of the rows has found most of what pivots can find
+        last = turn == ROUNDS or cost.cross <= 2 * PAIRS_PER_ROW * cost.rows or 2 * cost.rows > many.count()
         if last:
             held = named.join(broadcast_if_small(found.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
             sketches = written(sketched(held, size, bands, band_rows), "near-sketches")
-            new = _links_across(found.select("key", "rep", "root"), sketches, threshold)
+            new = _links_across(gathered(written(_without_copies(found).select("key", "rep", "root"), "near-distinct")), sketches, threshold)
         else:
             new = stars(found.where("root != pivot_root"))
         roots = joined_components(roots, written(new, "near-links"))

@@ -119,6 +119,69 @@ def test_documents_meet_their_roots_once(spark, rows, plan, monkeypatch):
     assert text.index("Generate") < text.index("Join") < text.index("collect_list")
 
 
+def test_buckets_of_the_same_documents_are_sent_once(spark, rows):
+    from plumbspark.llm.bagminhash import _without_copies
+
+    buckets = [(k, r, 0, r) for k, ids in {9: (1, 2), 5: (1, 2), 7: (1, 2), 8: (1, 2, 3), 4: (1, 3), 6: (3, 4)}.items() for r in ids]
+    buckets += [(3, 1, 0, 1), (3, 2, 1, 2)]  # another text under the id
+    table = spark.createDataFrame(buckets, "key long, rep long, text int, root long")
+    assert {r[0] for r in rows(_without_copies(table), "key")} == {3, 4, 5, 6, 8}
+
+
+def test_a_pair_counts_in_the_least_key_that_it_shares():
+    bags = shingle_bags(Words(pa.array(["a b c d e f"])))
+    bits = (mix(signatures(*bags, 1, SKETCH).view(np.uint64)) >> np.uint64(56)).astype(np.uint8)[0].tobytes()
+    columns = {"low": [0, 0], "high": [0, 0], "chunk": [0, 0], "rep": [1, 2], "root": [1, 2], "keys": [[9, 7, -3], [9, 7, -4]], "sketch": [bits] * 2}
+    columns |= {"shingles": [bags[1].tobytes()] * 2, "times": [bags[2].astype(np.uint32).tobytes()] * 2}
+    found = {key: _links_in_block(pa.table({"key": [key] * 2} | columns), 0.8).num_rows for key in (7, 9)}
+    assert found == {7: 1, 9: 0}
+
+
+def test_few_links_stay_in_one_partition(spark, monkeypatch):
+    """And a table of more than FEW_ROWS gives the same components by exchanges."""
+    from plumbspark.functions import sizes
+    from plumbspark.llm import components as module
+
+    write, partitions = module.written, []
+
+    def counted(df, purpose):
+        partitions.append(df.rdd.getNumPartitions())
+        return write(df, purpose)
+
+    monkeypatch.setattr(module, "written", counted)
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 60, 2)] + [(i, i + 3) for i in range(0, 50, 5)], "a long, b long").repartition(5)
+    few = sorted(map(tuple, components(links).collect()))
+    assert set(partitions) == {1}
+    monkeypatch.setattr(module, "FEW_ROWS", 0)
+    monkeypatch.setattr(sizes, "FEW_ROWS", 0)
+    assert sorted(map(tuple, components(links).collect())) == few
+
+
+def test_long_tables_give_the_same_classes(docs, monkeypatch):
+    """Tables of more than FEW_ROWS are dealt out as before; no further star round when the first finds little."""
+    from plumbspark.functions import sizes
+    from plumbspark.llm import bagminhash
+    from plumbspark.llm import components as module
+
+    write, purposes = bagminhash.written, []
+
+    def named(df, purpose):
+        purposes.append(purpose)
+        return write(df, purpose)
+
+    monkeypatch.setattr(bagminhash, "written", named)
+    monkeypatch.setattr(bagminhash, "PAIRS_PER_ROW", 0)
+    draw = random.Random(8)
+    base = " ".join(f"w{draw.randrange(900)}" for _ in range(150))
+    pairs = [(i, edited(base, draw.choice([4, 6, 8]), draw)) for i in range(60)]
+    want = near_classes(pairs)
+    assert {r.doc_id: r.class_id for r in near_duplicates(docs(pairs)).collect()} == want
+    assert purposes.count("near-candidates") == 1
+    monkeypatch.setattr(module, "FEW_ROWS", 0)
+    monkeypatch.setattr(sizes, "FEW_ROWS", 0)
+    assert {r.doc_id: r.class_id for r in near_duplicates(docs(pairs)).collect()} == want
+
+
 def test_odd_rows(docs, odd):
     got = sorted((tuple(r) for r in near_duplicates(docs(odd)).collect()), key=repr)
     want = near_classes(odd)
